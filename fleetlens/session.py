@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build(app: str = "fleetlens", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build(app: str = "fleetlens", master: str | None = None, partitions: int | None = None,
+          extra: dict[str, str] | None = None) -> SparkSession:
     """A session with adaptive execution and UTC. On a cluster leave `master`
     and `partitions` unset, so that spark-submit and AQE decide."""
     b = (
@@ -24,6 +25,8 @@ def build(app: str = "fleetlens", master: str | None = None, partitions: int | N
         b = b.master(master)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    for key, value in (extra or {}).items():
+        b = b.config(key, value)
     return b.getOrCreate()
 
 

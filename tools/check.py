@@ -8,6 +8,7 @@ import datetime
 import glob
 import math
 import os
+import signal
 import sys
 import time
 import traceback
@@ -37,16 +38,23 @@ def cell(v):
 def main() -> int:
     args = sys.argv[1:]
     folder = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = session.build("check", "local[8]", 8)
+    spark = session.build("check", "local[8]", 8, {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     db = duckdb.connect()
     for f in glob.glob(f"{folder}/*.parquet"):
         db.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    limit = int(os.environ.get("QUERY_SECONDS", "40"))
+
+    def late(*_):
+        raise TimeoutError(f"over {limit} s")
+
+    signal.signal(signal.SIGALRM, late)
     bad = 0
     for name, fn in catalogue.QUERIES.items():
         if args and not any(a in name for a in args):
             continue
         t = time.time()
+        signal.alarm(limit)
         try:
             df = fn(spark, folder)
             cols = sorted(df.columns)
@@ -70,11 +78,14 @@ def main() -> int:
                 print(f"ok     {name} {len(a)} {took:.1f}s" + ("  EMPTY" if not a else ""), flush=True)
             else:
                 bad += 1
-                only_a = [r for r in a if r not in set(b)][:2]
-                only_b = [r for r in b if r not in set(a)][:2]
+                sa, sb = set(a), set(b)
+                only_a = [r for r in a if r not in sb][:2]
+                only_b = [r for r in b if r not in sa][:2]
                 print(f"DIFF   {name} spark={len(a)} sql={len(b)} {cols}\n   spark {str(only_a)[:600]}\n   sql   {str(only_b)[:600]}", flush=True)
         except Exception as e:  # noqa: BLE001
             bad += 1
+            signal.alarm(0)
+            spark.sparkContext.cancelAllJobs()
             print(f"ERROR  {name} {str(e)[:700]}", flush=True)
             if os.environ.get("TRACE"):
                 traceback.print_exc()
