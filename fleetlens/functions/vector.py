@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetlens.functions import text
-
 
 def dot(a, b) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -27,12 +25,3 @@ def l2_normalise(a) -> Column:
     n = norm(a)
     return F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
-
-def hashed_tf(s, size: int = 64) -> Column:
-    """DP8 default encoder: signed feature hashing of the words, length one."""
-    words = text.tokens(s)
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.size(F.filter(slots, lambda x: x == i)).cast("double"))
-    return l2_normalise(counts)
