@@ -1,4 +1,4 @@
 """Imports every plan module; each registers its queries."""
 
-from fleetlens.plans import commerce, fleet, library  # noqa: F401
+from fleetlens.plans import commerce, fleet, library, retrieval  # noqa: F401
 from fleetlens.plans.registry import ORACLES, QUERIES  # noqa: F401
