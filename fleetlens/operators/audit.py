@@ -182,9 +182,9 @@ def sanitised(cases: DataFrame) -> DataFrame:
 
     phrases = F.filter(F.transform("must_contain", text.strip), lambda p: (p != "") & ~p.rlike(r"\d") & (F.size(F.split(text.squash(p), " ")) <= 2))
     told = F.flatten(F.transform("must_contain", found))
-    asked = F.transform(F.array_distinct(found(F.col("question"))), lambda x: x)
+    asked = found(F.col("question"))
     values = F.filter(F.array_distinct(F.concat(told, "facts")), lambda v: (v != 0) & ~F.array_contains(asked, v))
-    return cases.withColumn("must_contain", F.slice(phrases, 1, 3)).withColumn("facts", values)
+    return cases.withColumns({"must_contain": F.slice(phrases, 1, 3), "facts": values})
 
 
 def apply_overrides(cases: DataFrame, overrides: DataFrame, fields: list[str]) -> DataFrame:
