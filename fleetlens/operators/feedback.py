@@ -78,9 +78,11 @@ def signals(o: Column, entities: Column, slow_ms: float = ref.SLOW_MS) -> Column
 
 def with_signature(turns: DataFrame, slow_ms: float = ref.SLOW_MS) -> DataFrame:
     """DP20: turns (outcome as JSON, vehicle_id) with their signals and cluster."""
-    parsed = turns.withColumn("_o", F.from_json("outcome", OUTCOME))
-    return parsed.withColumn("signals", signals(F.col("_o"), F.col("vehicle_id"), slow_ms)).withColumn(
-        "cluster", F.element_at("signals", 1)).drop("_o")
+    # One-element arrays keep Spark from copying the long expressions into
+    # every place that reads them.
+    parsed = turns.withColumn("_o", F.explode(F.array(F.from_json("outcome", OUTCOME))))
+    signed = parsed.withColumn("signals", F.explode(F.array(signals(F.col("_o"), F.col("vehicle_id"), slow_ms))))
+    return signed.withColumn("cluster", F.element_at("signals", 1)).drop("_o")
 
 
 def flagged_turns(flags: DataFrame, turns: DataFrame) -> DataFrame:
