@@ -401,3 +401,25 @@ def interval_overlap(t):
     whole = r.where("grp = 'all'").select(F.col("grp").alias("grp_b"), F.col("low").alias("l"), F.col("high").alias("h"))
     return r.where("grp <> 'all'").join(F.broadcast(whole), F.lit(True)).select(
         F.col("grp").alias("grp_a"), "grp_b", stats.intervals_overlap(F.col("low"), F.col("high"), F.col("l"), F.col("h")).alias("within_noise"))
+
+
+@query("j21_number_matches", with_audit() + """
+    SELECT e.answer_id, e.evidence_id, count(*) AS matches FROM evidence e
+    JOIN (SELECT answer_id, CAST(regexp_extract(s1, 'is ([0-9.]+) ', 1) AS DOUBLE) AS v FROM answers
+          UNION ALL SELECT answer_id, CAST(regexp_extract(s2, 'reach ([0-9.]+) ', 1) AS DOUBLE) FROM answers) n
+      ON n.answer_id = e.answer_id AND (abs(v - actual) / actual * 100 <= 1) AND n.v >= 10 GROUP BY 1, 2""")
+def number_matches(t):
+    """Written numbers joined to the readings they agree with, within one percent."""
+    claimed = audit.claimed_numbers(answers(t)).where("size(tags) > 0 AND array_contains(array('e1', 'e2'), tags[0]) AND value >= 10")
+    e = evidence(t).select("answer_id", "evidence_id", "actual")
+    near = F.abs(F.col("value") - F.col("actual")) / F.col("actual") * 100 <= 1
+    return claimed.join(e, "answer_id").where(near).groupBy("answer_id", "evidence_id").agg(F.count("*").alias("matches"))
+
+
+@query("ud06_aggregate_functions", f"""
+    SELECT l_returnflag, {KAPPA.replace('(x - y)', '(human - judge)').replace('x * x', 'human * human').replace('y * y', 'judge * judge').replace('sum(x)', 'sum(human)').replace('sum(y)', 'sum(judge)')} AS kappa,
+           count(*) FILTER (human = judge) AS same, count(*) AS n FROM (SELECT l_returnflag, {RATINGS} FROM lineitem) GROUP BY 1""")
+def aggregate_functions(t):
+    """Kappa as a plain aggregate next to built-in ones, per group."""
+    h, j = F.least(F.lit(4), 1 + F.floor(F.col("l_quantity") / 13)).cast("int"), F.least(F.lit(4), 1 + F.floor(F.col("l_extendedprice") / 25000)).cast("int")
+    return t.lineitem.groupBy("l_returnflag").agg(stats.weighted_kappa(h, j).alias("kappa"), F.count(F.when(h == j, 1)).alias("same"), F.count("*").alias("n"))

@@ -490,3 +490,37 @@ def fleet_report(t):
     out = diagnose.fleet_report(t.clean, t.vehicles, t.baselines, "click", "view", "signup", "purchase", "error")
     return out.select("vehicle_id", "model_code", F.round("click_actual", 6).alias("click_actual"), "click_delta", "view_delta",
                       "signup_delta", "overloads", "health_last", "health_first", "scenario")
+
+
+@query("pf14_pinned_day", """
+    SELECT vehicle_id, count(*) FILTER (recorded_at >= TIMESTAMP '2024-01-15' - INTERVAL 7 DAY AND recorded_at < TIMESTAMP '2024-01-15') AS that_week,
+           count(*) FILTER (recorded_at >= TIMESTAMP '2024-01-15' - INTERVAL 14 DAY AND recorded_at < TIMESTAMP '2024-01-15') AS two_weeks FROM telemetry
+    WHERE recorded_at >= TIMESTAMP '2024-01-01' AND recorded_at < TIMESTAMP '2024-01-15' GROUP BY 1""")
+def pinned_day(t):
+    """The same question with another day taken for today."""
+    as_of = "2024-01-15"
+    rows = t.telemetry_since(src.days_before(as_of, 14), as_of)
+    week = F.col("recorded_at") >= F.lit(src.days_before(as_of, 7)).cast("timestamp")
+    return rows.groupBy("vehicle_id").agg(F.count(F.when(week, 1)).alias("that_week"), F.count("*").alias("two_weeks"))
+
+
+@query("j02_three_way_join", """
+    SELECT c.id, v.model_code, b.nominal_value FROM clean c JOIN vehicles v ON v.vehicle_id = c.vehicle_id
+    JOIN baselines b ON b.model_code = v.model_code AND b.drive_mode = c.drive_mode AND b.metric_name = c.metric_name""")
+def three_way_join(t):
+    return diagnose.with_baseline(t.clean, t.vehicles, t.baselines).select("id", "model_code", "nominal_value")
+
+
+@query("j04_using_join", "SELECT vehicle_id, region, count(*) AS readings FROM telemetry JOIN vehicles USING (vehicle_id) GROUP BY 1, 2")
+def using_join(t):
+    return t.telemetry.join(t.vehicles, on="vehicle_id").groupBy("vehicle_id", "region").agg(F.count("*").alias("readings"))
+
+
+@query("w08_rank_positions", """
+    SELECT id, row_number() OVER (PARTITION BY metric_name ORDER BY metric_value DESC, id) AS rank,
+           round(1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY metric_name ORDER BY metric_value DESC, id)), 9) AS share FROM telemetry""")
+def rank_positions(t):
+    """Positions in a ranked list per metric; five metrics share all rows, so each list is cut into slices."""
+    rows = t.telemetry.select("id", "metric_name", "metric_value")
+    out = skew.running(rows, ["metric_name"], -F.col("metric_value"), ["id"], {"rank": F.lit(1)}, hot_rows=50_000)
+    return out.select("id", "rank", F.round(1.0 / (60 + F.col("rank")), 9).alias("share"))

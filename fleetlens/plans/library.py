@@ -112,6 +112,16 @@ def trigram_similarity(t):
     return t.part.select("p_partkey", F.round(fuzzy.trigram_similarity(F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand")), 6).alias("similarity"))
 
 
+@query("ag29_first_seen_words", r"""
+    WITH w AS (SELECT conv_id, turn, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM (
+      SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a FROM conversations)),
+    f AS (SELECT conv_id, turn, word, min(i) AS i FROM w GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(i)) <= 20)
+    SELECT conv_id, turn, string_agg(word, ' ' ORDER BY i) AS words FROM f GROUP BY 1, 2""")
+def first_seen_words(t):
+    """The first 20 different words of each text, in order of first use."""
+    return t.conversations.select("conv_id", "turn", F.array_join(F.slice(F.array_distinct(text.tokens(F.col("text"))), 1, 20), " ").alias("words")).where("words <> ''")
+
+
 @query("sf25_word_overlap", f"""
     WITH w AS (SELECT session_id, turn_id, {CONTENT_WORDS.format('question')} AS q, {CONTENT_WORDS.format('answer')} AS a FROM turns WHERE answer IS NOT NULL)
     SELECT session_id, turn_id, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, a)) / len(q), 6) END AS overlap FROM w""")
@@ -144,13 +154,13 @@ def scrubbed(t):
 
 @query("sf30_cut_text", """
     SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 57) || '...' END AS shown,
-           format('{:.4g}', n_chars / 3.0) AS number FROM documents WHERE n_chars < 20000""")
+           format('{:.4g}', n_chars / 3.0) AS number  FROM documents""")
 def cut_text(t):
     """Shown text of at most 60 characters and numbers with four significant digits."""
     four = F.regexp_replace(F.regexp_replace(F.format_string("%.4g", F.col("n_chars") / 3.0), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     big = F.regexp_replace(F.lower(F.format_string("%.3e", F.col("n_chars") / 3.0)), r"(\.\d*?)0*e", "$1e")
     number = F.when(F.col("n_chars") / 3.0 < 9999.5, four).otherwise(F.regexp_replace(big, r"\.e", "e"))
-    return t.documents.where("n_chars < 20000").select("doc_id", text.cut(F.col("text"), 60, "...").alias("shown"), number.alias("number"))
+    return t.documents.select("doc_id", text.cut(F.col("text"), 60, "...").alias("shown"), number.alias("number"))
 
 
 @query("dp01_ingest_status", f"""
@@ -344,6 +354,15 @@ def jsonl_round_trip(t):
     return files.read_jsonl(t.spark, path, t.conversations.schema)
 
 
+@query("io05_jsonl_append", "SELECT role, 2 * count(*) AS rows FROM conversations GROUP BY 1")
+def jsonl_append(t):
+    """Two appends of JSON lines to one folder."""
+    path = session.shared_dir(t.spark, "append")
+    for _ in range(2):
+        files.append_jsonl(t.conversations, path)
+    return files.read_jsonl(t.spark, path, t.conversations.schema).groupBy("role").agg(F.count("*").alias("rows"))
+
+
 @query("io06_folder_scan", "SELECT source, 'ok' AS status, sum(length(text) + 1) AS chars FROM documents GROUP BY 1")
 def folder_scan(t):
     """Text files of a folder, one per source here, with a status each."""

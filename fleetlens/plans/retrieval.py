@@ -278,3 +278,25 @@ def near_duplicates(t):
     SELECT min(doc_id) AS first_id, count(*) AS copies FROM w GROUP BY answer, words HAVING count(*) > 1""")
 def copies(t):
     return matching.copies(question_cases(t)).select("first_id", "copies")
+
+
+@query("j08_one_sided_hits", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED) + """
+    SELECT query_id, count(*) FILTER (dense_rank IS NULL) AS sparse_only, count(*) FILTER (sparse_rank IS NULL) AS dense_only,
+           count(*) FILTER (dense_rank IS NOT NULL AND sparse_rank IS NOT NULL) AS both_sides FROM fused GROUP BY 1""")
+def one_sided_hits(t):
+    """The full outer join of the two ranked lists: what each side found alone."""
+    q, c = query_table(t), chunk_table(t)
+    fused = search.fuse(search.dense_top_k(q, c, 50), search.sparse_top_k(q, c, 50))
+    d, s = F.col("dense_rank"), F.col("sparse_rank")
+    return fused.groupBy("query_id").agg(
+        F.count(F.when(d.isNull(), 1)).alias("sparse_only"), F.count(F.when(s.isNull(), 1)).alias("dense_only"),
+        F.count(F.when(d.isNotNull() & s.isNotNull(), 1)).alias("both_sides"))
+
+
+@query("sf24_token_sets", r"""
+    SELECT p_partkey, CASE WHEN list_has_all(string_split(p_name, ' '), list_distinct(string_split(p_name || ' ' || p_name, ' '))) THEN 100.0::DOUBLE END AS subset FROM part""")
+def token_sets(t):
+    """Word order and repeats do not count: a name against itself turned around and doubled."""
+    words = F.split("p_name", " ")
+    other = F.concat_ws(" ", F.array_join(F.reverse(words), " "), "p_name")
+    return t.part.select("p_partkey", fuzzy.token_set_ratio(F.col("p_name"), other).alias("subset"))

@@ -249,3 +249,9 @@ def held_alerts(t):
     """Hours of high mean latency that held for at least two hours."""
     w = outcomes(t).groupBy(F.date_trunc("hour", "created_at").alias("bucket"), "stop_reason").agg((F.avg("latency_ms") / 1000).alias("mean"))
     return opsmetrics.held_alerts(w, ["stop_reason"], "bucket", F.col("mean") > 15, 7200, 3600)
+
+
+@query("j12_previous_turn", """
+    SELECT session_id, turn_id, lag(question) OVER (PARTITION BY session_id ORDER BY created_at, turn_id) AS previous_question FROM turns""")
+def previous_turn(t):
+    return feedback.previous_turn(t.turns).select("session_id", "turn_id", "previous_question")
