@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import reference as ref
+from fleetlens import session
 from fleetlens.functions import html, markdown, text
 
 
@@ -15,9 +16,10 @@ def ingest_status(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
     Of equal new documents the one with the lowest id is taken. The choice is an
     aggregate per hash, and its outcome is joined back on doc_id, which is
-    unique: a text with many copies gathers nowhere."""
-    docs = incoming.select("doc_id", text.content_hash(F.col("raw")).alias("content_hash"),
-                           (text.strip(F.col("raw")) == "").alias("_blank"))
+    unique: a text with many copies gathers nowhere. The texts are hashed once,
+    into a narrow table."""
+    hashed = incoming.select("doc_id", text.content_hash(F.col("raw")).alias("content_hash"))
+    docs = session.cut(hashed, "hashes").withColumn("_blank", F.col("content_hash") == F.sha2(F.lit(""), 256))
     first = docs.where("NOT _blank").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
     fresh = first.join(stored.select("content_hash").distinct(), "content_hash", "left_anti").select(
         "doc_id", F.lit(True).alias("_fresh"))
@@ -127,25 +129,22 @@ def find_terms(chunks: DataFrame, terms: DataFrame, max_terms: int = 10_000) ->
     """DP30: where a term (trap_id, term) stands in a text (doc_id, content) as
     whole words, any case, with 50 characters around the first match.
 
-    A text can hold a term only if it holds the term's rarest word, so only
-    those pairs are tested. While the list has at most `max_terms` terms their
-    rarest words go to every task as one array and the texts stay where they
-    are; a longer list is joined on the word and the texts are shuffled."""
-    t = terms.select("trap_id", F.trim("term").alias("term")).withColumn("_term_words", text.tokens(F.col("term")))
-    words = chunks.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("content")))).alias("word"))
-    wanted = t.select("trap_id", "term", F.explode(F.array_distinct("_term_words")).alias("word"))
-    seen = words.join(wanted.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = wanted.join(seen, "word", "left").groupBy("trap_id", "term").agg(
-        F.min_by("word", F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "word")).alias("word"))
+    A text can hold a term only if it holds the term's longest word, so only
+    those pairs are tested. While the list has at most `max_terms` terms these
+    words go to every task as one array and the texts stay where they are; a
+    longer list is joined on the word and the texts are shuffled."""
+    keyed = terms.select("trap_id", F.trim("term").alias("term")).withColumn("_words", text.tokens(F.col("term"))).where(
+        F.size("_words") > 0).select("trap_id", "term", F.array_max(F.transform(
+            "_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
     if terms.limit(max_terms + 1).count() <= max_terms:
-        listed = rarest.agg(F.collect_set("word")).scalar()
-        held = chunks.withColumn("_held", F.array_intersect(text.tokens(F.col("content")), listed))
-        near = held.where(F.size("_held") > 0).select("doc_id", "content", F.explode("_held").alias("word")).join(
-            F.broadcast(rarest), "word")
+        listed = keyed.agg(F.collect_set("word")).scalar()
+        held = chunks.select("doc_id", "content", F.explode(F.array_intersect(text.tokens(F.col("content")), listed)).alias("word"))
+        near = held.join(F.broadcast(keyed), "word")
     else:
-        near = chunks.select("doc_id", "content").join(words.join(rarest, "word").drop("word"), "doc_id")
+        words = chunks.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("content")))).alias("word"))
+        near = chunks.select("doc_id", "content").join(words.join(keyed, "word").drop("word"), "doc_id")
     whole = F.concat(F.lit(r"(?<!\w)\Q"), F.col("term"), F.lit(r"\E(?!\w)"))
-    hit = near.where(F.rlike("content", F.concat(F.lit("(?isU)"), whole)))
+    hit = near.where(F.contains(F.lower("content"), F.lower("term"))).where(F.rlike("content", F.concat(F.lit("(?isU)"), whole)))
     around = F.call_function(
         "regexp_extract", F.col("content"), F.concat(F.lit("(?isU).{0,50}"), whole, F.lit(".{0,50}")), F.lit(0))
     return hit.select("trap_id", "term", "doc_id", text.squash(around).alias("context"))
