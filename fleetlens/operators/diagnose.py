@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import readings as fr
+from fleetlens.operators import skew
 
 BASELINE_KEYS = ["model_code", "drive_mode", "metric_name"]
 
 
 def with_baseline(clean: DataFrame, vehicles: DataFrame, baselines: DataFrame, how: str = "inner") -> DataFrame:
     """Each reading with the baseline of its vehicle's model, mode and
-    metric. `how='left'` keeps readings that have none. Baselines are a settings
-    table; for vehicles Spark picks the join from their size."""
+    metric. `how='left'` keeps readings that have none. A baseline table that a
+    count shows to be small goes to every task; for vehicles Spark picks the
+    join from their size."""
     models = vehicles.select("vehicle_id", "model_code")
-    return clean.join(models, "vehicle_id").join(F.broadcast(baselines), BASELINE_KEYS, how)
+    return clean.join(models, "vehicle_id").join(skew.small(baselines), BASELINE_KEYS, how)
 
 
 def compare(matched: DataFrame, keys: list[str]) -> DataFrame:

@@ -136,7 +136,7 @@ def find_terms(chunks: DataFrame, terms: DataFrame, max_terms: int = 10_000) ->
     keyed = terms.select("trap_id", F.trim("term").alias("term")).withColumn("_words", text.tokens(F.col("term"))).where(
         F.size("_words") > 0).select("trap_id", "term", F.array_max(F.transform(
             "_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
-    if terms.limit(max_terms + 1).count() <= max_terms:
+    if keyed.limit(max_terms + 1).count() <= max_terms:
         listed = keyed.agg(F.collect_set("word")).scalar()
         held = chunks.select("doc_id", "content", F.explode(F.array_intersect(text.tokens(F.col("content")), listed)).alias("word"))
         near = held.join(F.broadcast(keyed), "word")

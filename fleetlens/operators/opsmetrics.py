@@ -55,11 +55,10 @@ def prices(spark: SparkSession) -> DataFrame:
 
 
 def call_costs(calls: DataFrame, price_list: DataFrame, keys: list[str]) -> DataFrame:
-    """AG34: tokens and cost per group; a model without a price costs nothing.
-    The price list is a settings table."""
+    """AG34: tokens and cost per group; a model without a price costs nothing."""
     cost = (F.col("input") * F.coalesce("input_price", F.lit(0.0))
             + F.col("output") * F.coalesce("output_price", F.lit(0.0))) / 1e6
-    return calls.join(F.broadcast(price_list), "model", "left").groupBy(*keys).agg(
+    return calls.join(skew.small(price_list), "model", "left").groupBy(*keys).agg(
         F.sum("input").alias("input"), F.sum("output").alias("output"), F.round(F.sum(cost), 6).alias("cost_usd"))
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import readings as fr
+from fleetlens.operators import skew
 
 
 def flag_readings(telemetry: DataFrame, ranges: DataFrame) -> DataFrame:
     """PF8/J9: adds quality_flag; works on batch and stream (ST1). `ranges` has
-    one row per metric, a fixed list of settings."""
+    one row per metric; while it is small it goes to every task."""
     limits = ranges.select("metric_name", F.col("min_value").alias("_lo"), F.col("max_value").alias("_hi"))
-    return telemetry.join(F.broadcast(limits), "metric_name", "left").select(
+    return telemetry.join(skew.small(limits), "metric_name", "left").select(
         *telemetry.columns, fr.quality_flag(F.col("metric_value"), F.col("_lo"), F.col("_hi")).alias("quality_flag"))
 
 
@@ -33,7 +34,7 @@ def changed_ranges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def reflag(readings: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """PF10: recomputes flags of changed metrics only; others pass untouched."""
-    changed = F.broadcast(changed_ranges(old, new))
+    changed = skew.small(changed_ranges(old, new))
     again = flag_readings(readings.drop("quality_flag").join(changed, "metric_name", "left_semi"), new)
     return readings.join(changed, "metric_name", "left_anti").unionByName(again)
 
@@ -42,7 +43,7 @@ def with_warnings(telemetry: DataFrame, ranges: DataFrame) -> DataFrame:
     """PF11: adds the sentence that explains an impossible reading."""
     limits = ranges.select("metric_name", "unit", F.col("min_value").alias("_lo"), F.col("max_value").alias("_hi"))
     warning = fr.physical_warning(F.col("metric_name"), F.col("metric_value"), F.col("unit"), F.col("_lo"), F.col("_hi"))
-    return telemetry.join(F.broadcast(limits), "metric_name", "left").select(
+    return telemetry.join(skew.small(limits), "metric_name", "left").select(
         *telemetry.columns, warning.alias("quality_warning"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import reference as ref
+from fleetlens import session
 from fleetlens.functions import text
 from fleetlens.operators import skew
 
@@ -81,17 +82,20 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
 
 def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """DP11: the k best chunks of each query by BM25 within its domain, any of
-    the query's words counting. Only words that some query asks for leave the
-    scan; scores add up per (query, chunk), which has no hot key, and each task
-    keeps k per query."""
+    the query's words counting.
+
+    The texts are read once: only words that some query asks for, and one row
+    per chunk under the empty word for its length, are written out as postings.
+    Scores add up per (query, chunk), which has no hot key, and each task keeps
+    k per query."""
     asked = queries.select("query_id", "domain", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("word"))
-    words = chunks.select("chunk_id", "domain", text.tokens(F.col("content")).alias("_words"))
-    sizes = words.groupBy("domain").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("_words")).alias("_mean"))
-    wanted = asked.select("domain", "word").distinct()
-    postings = (
-        words.select("chunk_id", "domain", F.size("_words").alias("_len"), F.explode("_words").alias("word"))
-        .join(wanted, ["domain", "word"], "left_semi")
-        .groupBy("domain", "word", "chunk_id").agg(F.count(F.lit(1)).alias("_tf"), F.max("_len").alias("_len")))
+    wanted = asked.select("domain", "word").union(queries.select("domain", F.lit("").alias("word"))).distinct()
+    words = chunks.select("chunk_id", "domain", F.explode(F.array(text.tokens(F.col("content")))).alias("_words"))
+    rows = words.select("chunk_id", "domain", F.size("_words").alias("_len"), F.explode(F.array_append("_words", F.lit(""))).alias("word"))
+    postings = session.cut(rows.join(wanted, ["domain", "word"], "left_semi").groupBy("domain", "word", "chunk_id").agg(
+        F.count(F.lit(1)).alias("_tf"), F.max("_len").alias("_len")), "postings")
+    sizes = postings.where("word = ''").groupBy("domain").agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_mean"))
+    postings = postings.where("word <> ''")
     frequency = postings.groupBy("domain", "word").agg(F.count(F.lit(1)).alias("_df"))
     weights = asked.join(frequency, ["domain", "word"]).join(sizes, "domain").withColumn(
         "_idf", F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))).drop("_n", "_df")
@@ -116,33 +120,38 @@ def fuse(dense: DataFrame, sparse: DataFrame, rrf_k: int = ref.RRF_K, dense_weig
 def with_boost(fused: DataFrame, queries: DataFrame, chunks: DataFrame, boost: float = ref.ENTITY_BOOST,
                k: int = ref.CANDIDATE_K) -> DataFrame:
     """DP13: the first k candidates in boosted order; a chunk counts more when its
-    models or its text name an entity of the query. Nothing is removed for not doing so."""
+    models or its text name an entity of the query. Nothing is removed for not doing so.
+    The hits are few rows per query: they are written, counted and sent to the
+    chunks, so that the texts are not shuffled."""
     low = F.transform(F.col("terms"), lambda x: F.lower(x))
     models = F.transform(F.col("applies_to_models"), lambda x: F.lower(x))
     named = F.arrays_overlap(low, models) | F.exists(low, lambda x: F.contains(F.lower("content"), x))
-    rows = fused.join(chunks.select("chunk_id", "doc_id", "content", "applies_to_models"), "chunk_id").join(
-        queries.select("query_id", "query", "terms"), "query_id")
+    asked = session.cut(fused.join(queries.select("query_id", "query", "terms"), "query_id"), "fused")
+    rows = chunks.select("chunk_id", "doc_id", "content", "applies_to_models").join(skew.small(asked, 500_000), "chunk_id")
     rows = rows.withColumn("boost", F.when(F.coalesce(named, F.lit(False)), boost).otherwise(0.0))
     order = [F.desc(F.round(F.col("hybrid_score") * (1 + F.col("boost")), 9)), F.asc_nulls_last("dense_rank"),
              F.asc_nulls_last("sparse_rank"), F.col("chunk_id")]
     return skew.top_per_key(rows, ["query_id"], order, k, "position").drop("terms", "applies_to_models")
 
 
+def _far_ahead(top, second, margin: float):
+    return F.when(second.isNull(), True).when(top <= 0, False).otherwise(F.try_divide(top - second, top) >= margin)
+
+
 def decisive(candidates: DataFrame, margin: float = ref.RERANK_SKIP_MARGIN) -> DataFrame:
     """Per query, whether the leader is so far ahead that only it is scored."""
-    lead = candidates.where("position <= 2").groupBy("query_id").agg(
-        F.max(F.when(F.col("position") == 1, F.col("hybrid_score"))).alias("_top"),
-        F.max(F.when(F.col("position") == 2, F.col("hybrid_score"))).alias("_next"))
-    skip = F.when(F.col("_next").isNull(), True).when(F.col("_top") <= 0, False).otherwise(
-        F.try_divide(F.col("_top") - F.col("_next"), F.col("_top")) >= margin)
-    return lead.select("query_id", skip.alias("rerank_skipped"))
+    top, second = (F.max(F.when(F.col("position") == p, F.col("hybrid_score"))) for p in (1, 2))
+    return candidates.where("position <= 2").groupBy("query_id").agg(_far_ahead(top, second, margin).alias("rerank_skipped"))
 
 
 def rerank(candidates: DataFrame, score=text.word_overlap, shortlist: int = ref.RERANK_CANDIDATES,
            final_k: int = ref.FINAL_K) -> DataFrame:
     """DP14: the shortlist scored by `score(query, content)`, a Column function or
     a plug-in; the boost reorders but stays out of the stored score."""
-    short = candidates.where(F.col("position") <= shortlist).join(decisive(candidates), "query_id")
+    short = candidates.where(F.col("position") <= shortlist)
+    w = Window.partitionBy("query_id")               # the shortlist of one query
+    lead = [F.max(F.when(F.col("position") == p, F.col("hybrid_score"))).over(w) for p in (1, 2)]
+    short = short.withColumn("rerank_skipped", _far_ahead(*lead, ref.RERANK_SKIP_MARGIN))
     short = short.where(~F.col("rerank_skipped") | (F.col("position") == 1))
     scored = short.withColumn("rerank_score", F.round(score(F.col("query"), F.col("content")), 4))
     order = [F.desc(F.round(F.col("rerank_score") * (1 + F.col("boost")), 9)), F.col("position")]
@@ -165,7 +174,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, k: int = ref.CANDIDATE_K)
 
 def search(queries: DataFrame, chunks: DataFrame, threshold: float = ref.CONFIDENCE_THRESHOLD, score=text.word_overlap) -> DataFrame:
     """DP16: every query with its status and, one row each, the chunks it keeps."""
-    ranked = rerank(candidates(queries, chunks), score)
+    ranked = session.cut(rerank(candidates(queries, chunks), score).drop("content"), "ranked")
     kept = ranked.where(F.col("rerank_score") >= threshold).select(
         "query_id", "final_rank", "chunk_id", "doc_id", "rerank_score", (F.col("boost") > 0).alias("boosted"), "rerank_skipped")
     return with_status(queries, ranked, threshold).join(kept, "query_id", "left")

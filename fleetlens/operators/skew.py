@@ -16,7 +16,7 @@ SLICES = 256
 HOT_ROWS = 5_000_000
 
 
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """`df` with a broadcast hint if a count shows that it has at most
     `max_rows` rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -398,9 +398,11 @@ def report(t):
 def interval_overlap(t):
     """Whether a group's rate differs from that of all by more than noise."""
     r = evaluation.pass_rates(runs(t)[0])
-    whole = r.where("grp = 'all'").select(F.col("grp").alias("grp_b"), F.col("low").alias("l"), F.col("high").alias("h"))
-    return r.where("grp <> 'all'").join(F.broadcast(whole), F.lit(True)).select(
-        F.col("grp").alias("grp_a"), "grp_b", stats.intervals_overlap(F.col("low"), F.col("high"), F.col("l"), F.col("h")).alias("within_noise"))
+    whole = r.where("grp = 'all'")
+    low, high = whole.select("low").scalar(), whole.select("high").scalar()
+    overlap = stats.intervals_overlap(F.col("low"), F.col("high"), low, high)
+    return r.where("grp <> 'all'").select(F.col("grp").alias("grp_a"), F.lit("all").alias("grp_b"), overlap.alias("within_noise"))
+
 
 
 @query("j21_number_matches", with_audit() + """

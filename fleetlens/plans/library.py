@@ -269,8 +269,8 @@ def embedding_spaces(t):
 
 
 @query("dp30_leaked_terms", r"""
-    SELECT item_id AS trap_id, doc_id, regexp_replace(trim(substr(d.text, greatest(strpos(lower(d.text), lower(trim(b.text))) - 50, 1),
-             least(strpos(lower(d.text), lower(trim(b.text))) - 1, 50) + length(trim(b.text)) + 50)), '\s+', ' ', 'g') AS context
+    SELECT item_id AS trap_id, doc_id, trim(regexp_replace(substr(d.text, greatest(strpos(lower(d.text), lower(trim(b.text))) - 50, 1),
+             least(strpos(lower(d.text), lower(trim(b.text))) - 1, 50) + length(trim(b.text)) + 50), '\s+', ' ', 'g')) AS context
     FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text)))""")
 def leaked_terms(t):
     """Passages of the benchmark that stand in a document, with their surroundings."""
@@ -315,7 +315,7 @@ def configured_pages(t):
 
 
 @query("io13_page_titles", r"""
-    SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '&middot;', '·')) AS title FROM pages""")
+    SELECT page_id, trim(replace(replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;?', '&', 'g'), '&middot;', '·'), '&quot;', '"')) AS title FROM pages""")
 def page_titles(t):
     return docs.read_pages(t.pages).select("page_id", "title")
 

@@ -130,9 +130,9 @@ def coverage_warnings(t):
 
 @query("dp21_similar_cases")
 def similar_cases(t):
-    """Questions of one session role that nearly repeat each other."""
-    talk = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"), F.col("role").alias("answer"))
-    return matching.near_duplicates(talk, 85.0)
+    """Cases whose questions nearly repeat each other; every benchmark item is a case."""
+    cases = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("benchmark").alias("answer"))
+    return matching.near_duplicates(cases, 85.0)
 
 
 @query("dp19_current_ratings", """
