@@ -3,7 +3,8 @@
 A plain window sends all rows of a key to one task. Here a key with more than
 `hot_rows` rows is cut at quantiles of its order column into slices; each slice
 is one window partition, and one small row per slice carries totals and edges
-over to the next. Ordinary keys form a single slice."""
+over to the next. Ordinary keys form a single slice, and when a first count
+finds no hot key the plain window is used."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens import session
+
 SLICES = 256
 HOT_ROWS = 5_000_000
 
@@ -29,24 +32,27 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def sliced(df: DataFrame, keys: list[str], order: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds _ord (the numeric order value), _hot and _slice. The broadcast side
-    has one row per hot key: at most rows / hot_rows of them. Rows with equal
-    order values stay in one slice."""
-    if not keys:
-        return sliced(df.withColumn("_all", F.lit(0)), ["_all"], order, hot_rows).drop("_all")
+def sliced(df: DataFrame, keys: list[str], order: Column, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Adds _ord (the numeric order value), _hot and _slice; None when no key has
+    more than `hot_rows` rows. The keys are counted first, in a job that reads
+    only them. The broadcast side has one row per hot key, at most
+    rows / hot_rows of them. Rows with equal order values stay in one slice."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot_keys = session.cut(counts, "hot-keys")
+    if hot_keys.isEmpty():
+        return None
     df = df.withColumn("_ord", order)
-    hot_keys = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
-    hot = join_null_safe(df.select(*keys, "_ord"), F.broadcast(hot_keys), keys, "left_semi")
     points = [i / SLICES for i in range(1, SLICES)]
-    cuts = hot.groupBy(*keys).agg(F.percentile_approx("_ord", points, F.lit(10 * SLICES)).alias("_cuts"))
-    out = join_null_safe(df, F.broadcast(cuts), keys)
-    return (
-        out.withColumn("_hot", F.col("_cuts").isNotNull())
-        .withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_ord"))), F.lit(0)))
-        .withColumn("_slice", F.greatest("_slice", F.lit(0)))
-        .drop("_cuts")
-    )
+    at = F.percentile_approx("_ord", points, F.lit(10 * SLICES)).alias("_cuts")
+    if not keys:
+        cuts = session.cut(df.agg(at), "cuts").scalar()
+        out = df.withColumn("_cuts", cuts)
+    else:
+        hot = join_null_safe(df.select(*keys, "_ord"), F.broadcast(hot_keys.drop("_n")), keys, "left_semi")
+        cuts = session.cut(hot.groupBy(*keys).agg(at), "cuts")
+        out = join_null_safe(df, F.broadcast(cuts), keys)
+    slice_no = F.size(F.filter("_cuts", lambda c: c < F.col("_ord")))
+    return out.withColumns({"_hot": F.col("_cuts").isNotNull(), "_slice": F.when(F.col("_cuts").isNotNull(), slice_no).otherwise(0)}).drop("_cuts")
 
 
 def _edges(s: DataFrame, keys: list[str], aggregates: list[Column], carry) -> DataFrame:
@@ -60,6 +66,9 @@ def running(df: DataFrame, keys: list[str], order: Column, tie: list[str], total
     """Running sums over each key up to and including the row. Row numbers are
     the running sum of 1. `order` must be numeric; `tie` makes it total."""
     s = sliced(df, keys, order, hot_rows)
+    if s is None:
+        upto = Window.partitionBy(*keys).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in totals.items()])
     upto = Window.partitionBy(*keys, "_slice").orderBy("_ord", *tie).rowsBetween(Window.unboundedPreceding, 0)
     edges = _edges(
         s, keys, [F.sum(c).alias(f"_t_{n}") for n, c in totals.items()],
@@ -78,24 +87,27 @@ def neighbour(df: DataFrame, keys: list[str], order: Column, tie: list[str], val
     NULL where there is none. `order` and `tie` must be numeric."""
     sign = -1 if following else 1
     tied = [F.col(t) * sign for t in tie]
-    s = sliced(df, keys, order * sign, hot_rows).withColumn(
-        "_v", F.struct(*[c.alias(n) for n, c in values.items()]))
+    packed = F.struct(*[c.alias(n) for n, c in values.items()])
+    rest = [c for c in df.columns if c not in values]
+    s = sliced(df, keys, order * sign, hot_rows)
+    if s is None:
+        got = F.lag(packed).over(Window.partitionBy(*keys).orderBy(order * sign, *tied))
+        return df.withColumn("_got", got).select(*rest, *[F.col(f"_got.{n}").alias(n) for n in values])
+    s = s.withColumn("_v", packed)
     within = Window.partitionBy(*keys, "_slice").orderBy("_ord", *tied)
     rank = F.struct("_ord", *[t.alias(f"_k{i}") for i, t in enumerate(tied)])
     edges = _edges(s, keys, [F.max_by("_v", rank).alias("_last")], lambda w: [F.lag("_last").over(w).alias("_edge")])
     out = s.withColumn("_lag", F.lag("_v").over(within)).withColumn("_first", F.row_number().over(within) == 1)
     out = join_null_safe(out, F.broadcast(edges), [*keys, "_slice"])
     got = F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_lag"))
-    out = out.withColumn("_got", got).select(
-        *[c for c in df.columns if c not in values], *[F.col(f"_got.{n}").alias(n) for n in values])
-    return out
+    return out.withColumn("_got", got).select(*rest, *[F.col(f"_got.{n}").alias(n) for n in values])
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, tuple[str, float]],
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """AG3: exact percentiles from counts per distinct value, so that no task
     holds all values of a key. `points`: name -> ('cont' | 'disc', fraction)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = session.cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "counts")
     ranked = running(counts, keys, F.col(value).cast("double"), [], {"_upto": F.col("_c")}, hot_rows)
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = join_null_safe(ranked, total, keys)
