@@ -208,7 +208,7 @@ def first_per_url(t):
 
 @query("sf01_numeric", """
     SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 4) AS r, abs(l_tax - l_discount) AS a,
-           floor(l_extendedprice) AS f, ceil(l_extendedprice) AS c, greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS l FROM lineitem""")
+           floor(l_extendedprice)::BIGINT AS f, ceil(l_extendedprice)::BIGINT AS c, greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS l FROM lineitem""")
 def numeric(t):
     p, d, x = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(p * d, 4).alias("r"), F.abs(x - d).alias("a"), F.floor(p).alias("f"),

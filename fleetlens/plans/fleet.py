@@ -231,7 +231,7 @@ def scalar_subquery(t):
 
 @query("j17_composed_queries", """
     WITH per AS (SELECT vehicle_id, count(*) AS n, avg(metric_value) AS mean FROM clean GROUP BY 1)
-    SELECT region, sum(n) AS readings, round(max(mean), 6) AS top_mean
+    SELECT region, sum(n)::BIGINT AS readings, round(max(mean), 6) AS top_mean
     FROM (SELECT * FROM per WHERE n > 3) x JOIN vehicles v ON v.vehicle_id = x.vehicle_id GROUP BY region""")
 def composed_queries(t):
     per = t.clean.groupBy("vehicle_id").agg(F.count("*").alias("n"), F.avg("metric_value").alias("mean")).where("n > 3")

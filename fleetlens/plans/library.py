@@ -363,7 +363,7 @@ def jsonl_append(t):
     return files.read_jsonl(t.spark, path, t.conversations.schema).groupBy("role").agg(F.count("*").alias("rows"))
 
 
-@query("io06_folder_scan", "SELECT source, 'ok' AS status, sum(length(text) + 1) AS chars FROM documents GROUP BY 1")
+@query("io06_folder_scan", "SELECT source, 'ok' AS status, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY 1")
 def folder_scan(t):
     """Text files of a folder, one per source here, with a status each."""
     path = session.shared_dir(t.spark, "folder")

@@ -248,7 +248,7 @@ def candidate_arms(t):
 
 
 @query("sf23_fuzzy_ratio", r"""
-    SELECT p_partkey, CASE WHEN length(p_name) = length(p_type) AND p_name = lower(p_type) THEN 100.0 END AS same FROM part""")
+    SELECT p_partkey, CASE WHEN length(p_name) = length(p_type) AND p_name = lower(p_type) THEN 100.0::DOUBLE END AS same FROM part""")
 def fuzzy_ratio(t):
     """Names that equal their type but for the case have ratio 100."""
     r = fuzzy.ratio(F.col("p_name"), F.lower("p_type"))

@@ -214,7 +214,7 @@ def error_ratio(t):
 
 
 @query("ag34_call_costs", """
-    SELECT session_id, sum(i) AS input, sum(o) AS output, round(sum((i * coalesce(pi, 0) + o * coalesce(po, 0)) / 1e6), 6) AS cost_usd FROM (
+    SELECT session_id, sum(i)::BIGINT AS input, sum(o)::BIGINT AS output, round(sum((i * coalesce(pi, 0) + o * coalesce(po, 0)) / 1e6), 6) AS cost_usd FROM (
       SELECT session_id, CASE event_type WHEN 'click' THEN 'gpt-oss-120b' WHEN 'view' THEN 'gpt-oss-20b' WHEN 'error' THEN 'qwen3.8-27b' ELSE 'other' END AS model,
              floor(value * 1000)::BIGINT AS i, k * 100 AS o FROM outcomes) c
     LEFT JOIN (VALUES ('gpt-oss-120b', 0.15::DOUBLE, 0.60::DOUBLE), ('gpt-oss-20b', 0.075, 0.30), ('qwen3.8-27b', 0.29, 0.59)) p(model, pi, po) ON p.model = c.model GROUP BY 1""")
@@ -226,7 +226,7 @@ def call_costs(t):
 
 
 @query("w11_rolling_usage", """
-    SELECT turn_id, sum(k) OVER (PARTITION BY event_type ORDER BY epoch_us(date_trunc('second', created_at)) RANGE BETWEEN 3599000000 PRECEDING AND CURRENT ROW) AS used FROM outcomes""")
+    SELECT turn_id, (sum(k) OVER (PARTITION BY event_type ORDER BY epoch_us(date_trunc('second', created_at)) RANGE BETWEEN 3599000000 PRECEDING AND CURRENT ROW))::BIGINT AS used FROM outcomes""")
 def rolling_usage(t):
     """Usage of the last hour next to every call, by kind."""
     rows = outcomes(t).select("turn_id", "event_type", "created_at", "k")
