@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,12 +29,31 @@ def build(app: str = "fleetlens", master: str | None = None, partitions: int | N
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in (extra or {}).items():
         b = b.config(key, value)
-    return b.getOrCreate()
+    return configure(b.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, wherever they run: Spark hands the
+    archive out itself. Once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="fleetlens-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Timestamps are compared in UTC everywhere."""
+    """Timestamps are compared in UTC everywhere; workers know the package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
