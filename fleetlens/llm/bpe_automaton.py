@@ -47,7 +47,7 @@ class Automaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], singles: dict[int, int]):
         self.labels = labels
         self._compile(labels, merges, singles)
-        self._trie(labels, singles, merges)
+        self._trie(labels)
 
     def _compile(self, labels, merges, singles) -> None:
         size = max(labels) + 1
@@ -60,7 +60,7 @@ class Automaton:
 
         def accepts(q: int, t: int) -> bool:
             while q:
-                if born[t] > since[q]:
+                if born[t] >= since[q]:
                     t = left[t]
                 elif without[q] == t:
                     return False
@@ -71,12 +71,14 @@ class Automaton:
         for k, (u, v, w) in enumerate(merges):
             if w in left or w in own:
                 raise ValueError("each merge has to make a token of its own")
+            # A pair that earlier merges never leave side by side makes no token, nor does what is built on it.
+            if any(t not in left and t not in own for t in (u, v)) or not accepts(state[u], v):
+                continue
             after = state[v]
-            if accepts(state[u], v):
-                above.append(state[u])
-                without.append(v)
-                since.append(k)
-                state[u] = len(above) - 1
+            above.append(state[u])
+            without.append(v)
+            since.append(k)
+            state[u] = len(above) - 1
             state[w], born[w], left[w] = after, k, u
 
         # Places along the tree of left parts, the later born child first.
@@ -98,6 +100,7 @@ class Automaton:
             stack.append((t, True))
             stack += [(c, False) for c in children.get(t, ())]  # popped from the end: the last born first
 
+        self.made = [*own, *left]
         used = sorted({int(state[t]) for t in left} | {int(state[t]) for t in singles.values()})
         number = {q: i for i, q in enumerate(used)}
         keys, ends = [], []
@@ -123,8 +126,8 @@ class Automaton:
         i = np.searchsorted(self.refused_from, arc, "right") - 1
         return (last < 0) | (arc >= self.refused_to[i])
 
-    def _trie(self, labels, singles, merges) -> None:
-        tokens = [*singles.values(), *(w for _, _, w in merges)]
+    def _trie(self, labels) -> None:
+        tokens = self.made
         nodes: dict[tuple[int, int], int] = {}
         token_at = [-1]
         for t in tokens:

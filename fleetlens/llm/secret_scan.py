@@ -18,7 +18,7 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of the models; a candidate is a run of so many of them.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-IDENTIFIER = "[A-Za-z0-9+/_=-]{4,}"
+IDENTIFIER = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,19}(?![A-Za-z0-9+/_=-])"
 #: Ordinary identifiers are learnt from about so many documents, taken by a hash of the text.
 ORDINARY_DOCS = 2_000
 #: Share of the random model that is uniform, pseudo-count of a transition, and the mean log-likelihood ratio of a finding.
@@ -64,7 +64,7 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
     """Log-likelihood ratios of all transitions, random over ordinary.
 
     The samples label themselves: the values that the base patterns find in all documents are random strings, and the distinct runs of
-    word characters in a bounded number of documents, as they are and in capitals, are ordinary identifiers. Both are counted by grouped
+    word characters too short to be candidates, in a bounded number of documents, as they are and in capitals, are ordinary identifiers. Both are counted by grouped
     aggregates. Half of the random model is uniform, so that alphabets that the corpus's secrets don't use count as random as well."""
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = with_base(texts).select(F.concat(

@@ -1,0 +1,426 @@
+"""Operators that look at one text at a time: against the libraries, plain loops and planted cases."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from fleetlens.llm import bpe_automaton, decontaminate, language_id, secret_scan, token_counts, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+ODD = [
+    None, "", " ", "a", "  two  spaces \n\n lines\t\ttabs ", "<|endoftext|>", "x<|endoftext|> y <|startoftext|>z", "don't we'll I'VE", "日本語 テキスト", "é e\u0301 \u0301x",
+    "İstanbul ΣΑΣ", "x\x1cy \x85 z\u00a0q \u180e r", "=" * 500, "aaaa" * 300, "😀😀 ok", "a\u200b b", "word " * 30_000, "n" * 20_000, "1234567890 12,5 3.14",
+]
+
+
+def documents(spark, texts, lang="en", source="s"):
+    return spark.createDataFrame([(i, t, lang, source, len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def fuzz(seed, n=400):
+    r = random.Random(seed)
+    letters = list("abcdeinorst") + [" ", " ", "\n", "\t", ".", ",", "'s", "é", "ß", "日", "😀", "0", "7", "_", "-", "=", "<|endoftext|>", "\u00a0", "\u180e", "\x1c"]
+    return ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
+# Token counts
+
+
+def test_token_counts_are_the_librarys(spark):
+    texts = ODD + fuzz(1)
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(documents(spark, texts), WORD).collect()}
+    library = Tokenizer.from_file(WORD)
+    for i, t in enumerate(texts):
+        want = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (want, len((t or "").encode()), want > 2048), t
+
+
+def test_token_counts_of_other_libraries(spark):
+    texts = ODD[:16]
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(documents(spark, texts), public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert got == {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
+    library = Tokenizer.from_file(BYTE)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(documents(spark, texts), BYTE).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_token_counts_with_a_full_cache(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 3)
+    count = token_counts._json_counter(open(WORD, "rb").read())
+    library = Tokenizer.from_file(WORD)
+    for texts in (["one two three four", "five one"], ["two two six"], ["one seven eight nine"]):
+        assert count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize("build", [
+    lambda d: token_counts.count_tokens(d, WORD), lambda d: bpe_automaton.round_trip(d, BYTE), lambda d: bpe_automaton.encoded(d, BYTE)])
+def test_per_text_operators_take_empty_tables_nulls_and_other_columns(spark, build):
+    empty = documents(spark, ["x"]).where("false")
+    assert build(empty).count() == 0
+    rows = documents(spark, ["a b", "a b", None]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 7)).withColumn("n_tokens", F.lit("clash")).withColumn("ids", F.lit(1)).withColumn("_it", F.lit(2))
+    got = build(rows).collect()
+    assert sorted((r["doc_id"] is None, r["n_tokens"]) for r in got) == [(False, 2), (False, 2), (True, 0)]
+
+
+# Byte pairs
+
+
+def test_byte_pairs_are_the_librarys(spark):
+    texts = ODD + fuzz(2)
+    library = Tokenizer.from_file(BYTE)
+    got = {r["doc_id"]: r for r in bpe_automaton.round_trip(documents(spark, texts), BYTE).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want, t
+
+
+def test_ids_and_texts_as_columns(spark):
+    texts = ODD[:16]
+    rows = documents(spark, texts)
+    ids = rows.withColumn("ids", bpe_automaton.encode_column(rows, BYTE))
+    back = ids.withColumn("again", bpe_automaton.decode_column(ids, BYTE)).select("text", "again", "ids").collect()
+    library = Tokenizer.from_file(BYTE)
+    assert all(r["again"] == (r["text"] or "") and r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids for r in back)
+
+
+def plain_bpe(word, merges, singles):
+    """The merges one after the other, each from left to right."""
+    parts = [singles[b] for b in word]
+    for u, v, w in merges:
+        out, i = [], 0
+        while i < len(parts):
+            if parts[i:i + 2] == [u, v]:
+                out.append(w)
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return parts
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 40))
+def test_automaton_of_any_merges(seed, n):
+    r = random.Random(seed)
+    singles = {b: i for i, b in enumerate(b"abc")}
+    labels = {i: bytes([b]) for b, i in singles.items()}
+    merges, strings = [], set(labels.values())
+    for _ in range(n):
+        u, v = r.choice(list(labels)), r.choice(list(labels))
+        if (s := labels[u] + labels[v]) not in strings and len(s) < 30:
+            labels[len(labels)] = s
+            strings.add(s)
+            merges.append((u, v, len(labels) - 1))
+    automaton = bpe_automaton.Automaton(labels, merges, singles)
+    words = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 70))) for _ in range(30)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in automaton.encode_words(words)] == [plain_bpe(w, merges, singles) for w in words]
+
+
+def test_automaton_refuses_what_it_cannot_encode():
+    with pytest.raises(ValueError):
+        bpe_automaton.Automaton({0: b"a", 1: b"aa"}, [(0, 0, 1), (0, 0, 1)], {97: 0})
+    with pytest.raises(ValueError):
+        bpe_automaton.Codec(open(WORD, "rb").read())
+
+
+# Urls
+
+RULES = [url_filter.Rule("org", "/", "allow"), url_filter.Rule("example.org", "/es/", "block"), url_filter.Rule("com", "", "block"), url_filter.Rule("b.example.com", "/ü", "allow"), url_filter.Rule("com", "", "allow")]
+URLS = [
+    None, "", "no scheme", "http://", "http://EXAMPLE.org", "http://example.org/", "http://a.Example.ORG/es/1?x#y", "http://badexample.org/es/", "http://x.com?/es/", "ftp://b.example.com/über", "https://b.example.com/u", "x://y://example.org/es/",
+    "http://user@example.org:80/es/", "http://com", "http://.org/", "http://example.org/" + "p" * 50_000,
+]
+
+
+def plain_verdict(url):
+    m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    host, path = ("".join(c.lower() if c.isascii() else c for c in m[1]), m[2]) if m else ("", "")
+    first = {}
+    for r in RULES:
+        first.setdefault((r.host, r.path), r.verdict)
+    fits = [(len(h + p), len(h), h + p, v) for (h, p), v in first.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, None, "allow"))
+    return host, path, best[2], best[3]
+
+
+def test_url_verdicts(spark):
+    rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(0, URLS[6], "h"), (None, URLS[6], "h")], "page_id long, url string, rule string")
+    got = url_filter.judge(rows, RULES).collect()
+    by_id = {r["page_id"]: tuple(r)[1:] for r in got if r["page_id"]}
+    assert len(got) == len(URLS) + 2 and all(by_id[i] == plain_verdict(u) for i, u in enumerate(URLS) if i)
+    assert url_filter.judge(rows.where("false"), RULES).count() == 0
+    assert {r["verdict"] for r in url_filter.judge(rows, []).collect()} == {"allow"}
+
+
+def test_equal_digests_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "digest", lambda text: len(text) % 3)
+    files, verdicts, lengths = url_filter.hand_out(spark, RULES)
+    hosts, paths = zip(*[plain_verdict(u)[:2] for u in URLS])
+    found = url_filter.probe(files, lengths, list(hosts), list(paths))
+    assert [(r, verdicts[v] if v >= 0 else "allow") for r, v in found] == [plain_verdict(u)[2:] for u in URLS]
+
+
+# Secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+
+
+def plain_base(text):
+    text = text or ""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+KEY = "AKIA" + "Q7" * 9
+SECRETS = [
+    None, "", f'token = "{HEX}"', f"é😀 {HEX} and {KEY}{KEY}", "secret: token = abcdefgh", "password==abcdef passwd:'a.b-c_d'", "API_KEY=short api-key=longenough apikey: longenough", "AKIA AKIAABC AKIAAKIA" + "Z" * 20,
+    f"{HEX}{HEX.upper()}", "ſecret=abcdefgh \u212aey toKen=ABCDEF", "secret=x" * 40, f"TOKEN\n=abcdefgh Token = {KEY}", "plain words only and nothing else here",
+]
+
+
+def test_base_secrets(spark):
+    r = random.Random(3)
+    bits = ["token", "Secret", "=", ":", " ", '"', "'", "abcdef", "AKIA", "Q9Z", HEX[:13], "é", "api_key", "apikey", ".", "zz zz"]
+    texts = SECRETS + ["".join(r.choice(bits) for _ in range(r.randint(1, 25))) for _ in range(300)]
+    got = {x["doc_id"]: x for x in secret_scan.scan(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = plain_base(t)
+        listed = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert [got[i][f"n_{k}"] for k in secret_scan.KINDS[:3]] == [sum(s[1] == k for s in want) for k in range(3)], t
+        assert got[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert ",".join(s for s in got[i]["spans"].split(",") if not s.startswith("markov")) == listed
+    assert secret_scan.scan(documents(spark, ["x"]).where("false")).count() == 0
+
+
+def ordinary(r, n=40):
+    words = (
+        "the and with from this that there which would about could other people after first water where little right think great where small sound again still between country should never under "
+        "while along might something thought both those often together world important children government company system program question during number point believe happen write provide service "
+        "friend father power hour line member law city community name president team minute idea body information back parent face others level office door health person art history party result change morning reason research"
+    ).split()
+    pick = lambda: r.choice(words)
+    long_ = lambda: r.choice(["_", "-", ""]).join(pick().title() if r.random() < 0.3 else pick() for _ in range(r.randint(2, 5)))
+    return " ".join(long_() if r.random() < 0.3 else pick() for _ in range(n))
+
+
+def test_random_strings_are_found_and_identifiers_are_not(spark):
+    r = random.Random(4)
+    planted = "".join(r.choice(secret_scan.ALPHABET[:62]) for _ in range(32))
+    texts = [ordinary(r) for _ in range(60)] + [f"token = {HEX}", f"see {planted} here", None, "with-some-longer-identifier-from-company"]
+    got = {x["doc_id"]: x for x in secret_scan.scan(documents(spark, texts)).collect()}
+    assert got[61]["spans"] == "markov:4:36" and got[61]["n_markov"] == 1
+    assert all(got[i]["n_markov"] == 0 for i in got if i != 61)
+
+
+def test_ratios_are_the_models(spark):
+    r = random.Random(5)
+    ratios = [r.uniform(-2, 2) for _ in range(len(secret_scan.ALPHABET) ** 2)]
+    values = ["abc", "a", "Zz09+/_=-", "x" * 40]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_scan.mean_ratio(F.col("v"), ratios).alias("m")).collect()
+    place = secret_scan.ALPHABET.index
+    for x in got:
+        v = x["v"]
+        assert math.isclose(x["m"], sum(ratios[place(a) * len(secret_scan.ALPHABET) + place(b)] for a, b in zip(v, v[1:])) / max(len(v) - 1, 1), abs_tol=1e-9)
+
+
+def test_redaction(spark):
+    rows = documents(spark, [f'é token = "{HEX}" and {KEY}.', "clean", None, f"secret={HEX}{KEY}"]).withColumn("_spans", F.lit(1)).withColumn("_text", F.lit("x"))
+    got = {x["doc_id"]: x for x in secret_scan.redacted(rows).collect()}
+    assert secret_scan.redacted(rows).columns == rows.columns
+    assert [got[i]["text"] for i in range(4)] == ['é <secret>" and <secret>.', "clean", None, "<secret>"]
+    assert got[0]["n_chars"] == len(got[0]["text"]) and got[1]["n_chars"] == 5 and got[0]["_spans"] == 1
+
+
+# Benchmark items
+
+ITEM = "Yesterday Anna walked 12 miles from the old harbour to the small market where Bob sold 5 apples for 3 dollars each. How much did 5 apples cost?"
+FILLER = "some quite different sentence that has nothing to do with any of it and goes on for a while . "
+
+
+def bench(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_benchmark_items_in_documents(spark):
+    changed = ITEM.replace("Anna", "Maria").replace("Bob", "Tom").replace("12", "340").replace("5", "7")
+    mapped_twice = ITEM.replace("12", "5")  # two numbers of the item become one
+    texts = [
+        FILLER + ITEM + FILLER, FILLER + changed, FILLER * 3, None, "", mapped_twice, ITEM.lower(), ITEM.upper(), re.sub(r"\s", "\n\n ", ITEM), FILLER + " ".join(ITEM.split()[:6]),
+        FILLER + " ".join(ITEM.split()[4:20]), (FILLER * 2000) + ITEM, FILLER + "Short one here now", "12 34 56 78 90 11 22 33 44 55 66 77 88"]
+    items = bench(spark, [(1, ITEM), (1, ITEM), (2, "Short one here now"), (3, "too short"), (4, None), (None, "an item that has no number of its own but is long enough to be found"), (5, "1 2 3 4 5 6 7 8 9 10 11 12 13")])
+    got = {}
+    for r in decontaminate.contaminated(documents(spark, texts), items).collect():
+        got.setdefault(r["doc_id"], []).append((r["item_id"], r["changed"]))
+    assert set(got) == {0, 1, 6, 7, 8, 10, 11, 12}
+    assert got[0] == [(1, 0)] and got[1][0][0] == 1 and got[1][0][1] > 0 and got[12] == [(2, 0)]
+    kept = {r["doc_id"] for r in decontaminate.keep_clean(documents(spark, texts), items).collect()}
+    assert kept == set(range(len(texts))) - set(got)
+
+
+def test_benchmark_edges(spark):
+    docs, items = documents(spark, [ITEM, "x"]), bench(spark, [(1, ITEM)])
+    assert decontaminate.contaminated(docs.where("false"), items).count() == 0
+    assert decontaminate.contaminated(docs, items.where("false")).count() == 0
+    rows = docs.union(docs).withColumn("item_id", F.lit("clash")).withColumn("_hit", F.lit(1)).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(rows, items).collect()] == [(None, 1)] * 2
+    with pytest.raises(ValueError):
+        decontaminate.leaks(docs, bench(spark, [(i, "w" * 1_000_000 + str(i)) for i in range(9)]))
+
+
+def test_windows_hash_equal_runs_alike():
+    r = random.Random(6)
+    values = np.array([r.choice([1, 2, 3]) for _ in range(400)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    got = decontaminate.windows(values)
+    runs = [tuple(values[i:i + decontaminate.WINDOW]) for i in range(len(got))]
+    assert len(set(got.tolist())) == len(set(runs)) and len(set(zip(runs, got.tolist()))) == len(set(runs))
+
+
+# Languages
+
+SAMPLES = {
+    "en": "the house and the river with those who were there that night on the other side of the world",
+    "de": "das haus und der fluss mit denen die in jener nacht auf der anderen seite der welt waren über schön",
+    "fr": "la maison et la rivière avec ceux qui étaient là cette nuit de l'autre côté du monde où être",
+    "es": "la casa y el río con los que estaban allí aquella noche al otro lado del mundo señor mañana",
+}
+
+
+def speech(language, r, n=40):
+    return " ".join(r.choice(SAMPLES[language].split()) for _ in range(n))
+
+
+def test_languages_of_documents(spark):
+    r = random.Random(7)
+    rows = [(i, speech(c, r), c if i % 9 else "en", f"host-{c}" if i % 2 else None) for i, c in enumerate(sorted(SAMPLES) * 30)]
+    truth = dict(enumerate(sorted(SAMPLES) * 30))
+    rows += [(900, None, "de", "host-de"), (901, "", None, None), (902, "1234 5678 !!", "fr", None), (903, speech("es", r, 20_000), None, "new"), (904, speech("en", r), "xx", "host-en"), (None, speech("de", r), "DE-at", "host-de")]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string").withColumn("language", F.lit("clash"))
+    got = {}
+    found = language_id.identify_documents(docs)
+    for x in found.collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    assert all(got[i][0]["language"] == truth[i] and got[i][0]["accepted"] for i in truth)
+    assert len(got[0]) == 2 and got[0][0] == got[0][1]
+    assert [got[i][0]["accepted"] for i in (900, 901, 902)] == [False] * 3
+    assert got[903][0]["language"] == "es" and got[904][0]["language"] == "en" and got[None][0]["language"] == "de"
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+    assert language_id.identify_documents(docs.where("false")).count() == 0
+
+
+def test_evidence_is_fused_where_the_text_is_short(spark):
+    r = random.Random(8)
+    rows = [(speech(c, r), c, c, f"a.{c}") for c in sorted(SAMPLES) for _ in range(30)]
+    rows += [("la", "fr", "fr", "a.fr"), ("la", "es", "es", "a.es"), ("la", None, None, "a.es"), ("la", None, None, None)]
+    got = language_id.identify(spark.createDataFrame(rows, "text string, declared string, suffix string, host string")).where("text = 'la'").collect()
+    assert {(x["declared"], x["host"]): x["language"] for x in got}[("fr", "a.fr")] == "fr"
+    assert {(x["declared"], x["host"]): x["language"] for x in got}[("es", "a.es")] == "es"
+    alone = next(x for x in got if x["host"] is None)
+    assert alone["confidence"] < next(x for x in got if x["declared"] == "fr")["confidence"]
+
+
+def test_host_priors_are_smoothed_towards_the_suffix(spark):
+    r = random.Random(9)
+    rows = [(speech("fr", r), None, "fr", f"h{i % 3}.fr") for i in range(60)] + [(speech("en", r), "en", "com", "h.com") for _ in range(60)] + [(speech("fr", r), "fr", "fr", "x.fr") for _ in range(20)]
+    rows += [("1", None, "fr", "unseen.fr"), ("1", None, "com", "unseen.com")]
+    got = {x["host"]: x for x in language_id.identify(spark.createDataFrame(rows, "text string, declared string, suffix string, host string")).where("text = '1'").collect()}
+    assert got["unseen.fr"]["language"] == "fr" and got["unseen.com"]["language"] == "en" and not got["unseen.fr"]["accepted"]
+
+
+def test_languages_of_pages(spark):
+    r = random.Random(10)
+    rows = [(i, f"https://www.{c}{i % 2}.example.{c}/x", f"<html lang='{c}-XX'><style>p the the</style><body><p>{speech(c, r)}</p><!-- the the --></body></html>") for i, c in enumerate(sorted(SAMPLES) * 10)]
+    rows += [(100, None, None), (101, "nothing", "<html><p>" + speech("de", r) + "</p></html>"), (102, "http://a.example.fr", "<HTML class=x LANG=fr>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in language_id.identify_pages(pages).collect()}
+    assert all(got[i]["language"] == c == got[i]["declared"] for i, c in enumerate(sorted(SAMPLES) * 10))
+    assert not got[100]["accepted"] and got[101]["language"] == "de" and got[101]["host"] is None and got[102]["declared"] == "fr"
+    assert language_id.identify_pages(pages.where("false")).count() == 0
+
+
+# Toxicity
+
+
+def test_nearest_is_exact():
+    r = random.Random(11)
+    terms = [f"t{i}" for i in range(60)]
+    examples = [(i, int(r.random() < 0.4), [r.choice(terms[: 5 + i % 55]) for _ in range(r.randint(0, 12))]) for i in range(700)]
+    index = toxicity.build(examples, 1000, terms, {t: r.randint(1, 500) for t in terms}, {0: 2.0, 1: 1.0})
+    queries = index.dense([index.vector([r.choice(terms) for _ in range(r.randint(1, 9))]) for _ in range(200)])
+    best, who = index.nearest(queries)
+    dense = np.zeros((len(index.weight), len(terms)), np.float32)
+    for b, (held, postings) in enumerate(index.blocks):
+        part = dense[b * toxicity.BLOCK:(b + 1) * toxicity.BLOCK]
+        part[:, held] = postings.T
+    cosines = queries @ dense.T
+    want = -np.sort(-cosines, axis=1)[:, : toxicity.NEIGHBOURS]
+    assert np.allclose(best, want, atol=1e-5)
+    for q in range(len(queries)):
+        some = who[q] < len(index.weight)
+        assert np.allclose(cosines[q, who[q][some]], best[q][some], atol=1e-5) and len(set(who[q][some].tolist())) == some.sum()
+
+
+def toxic_corpus(n=600, seed=12):
+    r = random.Random(seed)
+    bad = ["zorgat", "blimfu", "krandel"]
+    rows, labels = [], []
+    for i in range(n):
+        toxic = int(r.random() < 0.25)
+        words = [r.choice(["alpha", "beta", "gamma", "delta", "house", "tree", "word"]) + r.choice(["", "s", "ing"]) for _ in range(30)]
+        if toxic:
+            words[r.randrange(30)] = r.choice(bad).title() + r.choice([".", ",", "!"])
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, toxic))
+    return rows, labels
+
+
+def test_toxicity_of_held_out_rows(spark):
+    rows, labels = toxic_corpus()
+    rows += [(10_000, None, None, None, None), (10_001, "", "en", "s", 0), (None, "a zorgat here", "en", "s", 0), (10_002, "word " * 50_000 + "krandel", "en", "s", 0), (10_003, "tree", "en", "s", 0)]
+    docs = spark.createDataFrame(rows + rows[:1], DOCS).withColumn("score", F.lit("clash"))
+    given_ = spark.createDataFrame(labels + labels[:1] + [(None, 1, 1), (5, 1, None), (7, 0, 9)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, given_).collect()
+    assert len(got) == len(rows) + 1 and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.7) for x in got)
+    by_id = {x["doc_id"]: x for x in got}
+    import zlib
+
+    assert all(by_id[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in by_id if i is not None)
+    truth = {i: t for i, _, t in labels}
+    assert all(by_id[i]["predicted"] == truth[i] for i in truth)
+    assert by_id[None]["predicted"] == by_id[10_002]["predicted"] == 1 and by_id[10_000]["score"] == by_id[10_001]["score"] == by_id[10_003]["score"] < 0.2
+    assert by_id[None]["evidence"] and not by_id[10_003]["evidence"] and all(not by_id[e]["held_out"] for x in got for e in x["evidence"])
+
+
+def test_labels_of_held_out_rows_are_not_read(spark):
+    rows, labels = toxic_corpus(300)
+    docs = spark.createDataFrame(rows, DOCS)
+    import zlib
+
+    turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
+    a, b = ({x["doc_id"]: x["score"] for x in toxicity.score(docs, spark.createDataFrame(y, "doc_id long, quality int, toxic int")).collect()} for y in (labels, turned))
+    assert a == b
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame(toxic_corpus(20)[0], DOCS)
+    none = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len({x["score"] for x in toxicity.score(docs, none).collect()}) == 1
+    assert len({x["score"] for x in toxicity.score(docs, none.where("false")).collect()}) == 1
+    assert toxicity.score(docs.where("false"), none).count() == 0
