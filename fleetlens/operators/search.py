@@ -19,6 +19,7 @@ HITS = "query_id long, chunk_id long, score double"
 K1, B = 1.2, 0.75
 MAX_QUERIES = 4096
 CELL_ROWS = 50_000
+BLOCK_BYTES = 64 << 20
 
 
 def _unit(vectors) -> np.ndarray:
@@ -27,21 +28,34 @@ def _unit(vectors) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def _nearest(query_ids, query_vectors, chunk_ids, chunk_vectors, k: int) -> pd.DataFrame:
-    """The k best chunks of one block for each query; equal scores go to the lower id."""
-    by_id = np.argsort(chunk_ids, kind="stable")
-    scores = np.round(query_vectors @ chunk_vectors[by_id].T, 6)
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame({
-        "query_id": np.repeat(query_ids, best.shape[1]), "chunk_id": chunk_ids[by_id][best].ravel(),
-        "score": np.take_along_axis(scores, best, axis=1).ravel()})
+def _nearest(query_vectors, chunk_ids, chunk_vectors, k: int, best=None):
+    """Scores and ids of the k best chunks so far for each query; equal scores go to the lower id.
+    `best` is what earlier chunks gave. At most BLOCK_BYTES of scores exist at a time."""
+    n = len(query_vectors)
+    step = max(k, BLOCK_BYTES // (8 * max(n, 1)))
+    for i in range(0, len(chunk_ids), step):
+        by_id = np.argsort(chunk_ids[i:i + step], kind="stable") + i
+        scores = np.round(query_vectors @ chunk_vectors[by_id].T, 6)
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        scores, ids = np.take_along_axis(scores, top, axis=1), chunk_ids[by_id][top]
+        if best is not None:
+            scores, ids = np.concatenate((best[0], scores), axis=1), np.concatenate((best[1], ids), axis=1)
+            top = np.lexsort((ids, -scores), axis=1)[:, :k]
+            scores, ids = np.take_along_axis(scores, top, axis=1), np.take_along_axis(ids, top, axis=1)
+        best = scores, ids
+    return best
+
+
+def _hits(query_ids, best) -> pd.DataFrame:
+    scores, ids = best
+    return pd.DataFrame({"query_id": np.repeat(query_ids, ids.shape[1]), "chunk_id": ids.ravel(), "score": scores.ravel()})
 
 
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = MAX_QUERIES,
                 cell_rows: int = CELL_ROWS) -> DataFrame:
-    """J15/DP10: the k nearest chunks of each query within its domain, exact.
+    """J15/DP10: the k nearest chunks of each query within its domain, exact. A query or chunk without a vector takes no part.
 
-    Each task scores its chunks as one matrix product and keeps k per query, so
+    Each task scores its chunks as matrix products of bounded size and keeps k per query, so
     pairs are never rows. Up to `max_queries` queries (counted first) travel to
     the tasks and the chunks stay where they are. More queries are cut into
     blocks, chunks into cells of about `cell_rows` by a hash of their id, and
@@ -55,11 +69,13 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
         sides = {d: (g["query_id"].to_numpy(), _unit(g["embedding"])) for d, g in head.groupby("domain")}
 
         def score(batches):
+            best = {}
             for batch in batches:
                 for domain, rows in batch.groupby("domain"):
                     if domain in sides:
-                        ids, vectors = sides[domain]
-                        yield _nearest(ids, vectors, rows["chunk_id"].to_numpy(), _unit(rows["embedding"]), k)
+                        best[domain] = _nearest(sides[domain][1], rows["chunk_id"].to_numpy(), _unit(rows["embedding"]), k, best.get(domain))
+            for domain, found in best.items():
+                yield _hits(sides[domain][0], found)
 
         hits = c.mapInPandas(score, HITS)
     else:
@@ -73,7 +89,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
                 return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-            return _nearest(a["query_id"].to_numpy(), _unit(a["embedding"]), b["chunk_id"].to_numpy(), _unit(b["embedding"]), k)
+            return _hits(a["query_id"].to_numpy(), _nearest(_unit(a["embedding"]), b["chunk_id"].to_numpy(), _unit(b["embedding"]), k))
 
         keys = ["domain", "_block", "_cell"]
         hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, HITS)
@@ -82,13 +98,14 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
 
 def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """DP11: the k best chunks of each query by BM25 within its domain, any of
-    the query's words counting.
+    the query's words counting but the stop words, whether or not a chunk has a vector.
 
     The texts are read once: only words that some query asks for, and one row
     per chunk under the empty word for its length, are written out as postings.
     Scores add up per (query, chunk), which has no hot key, and each task keeps
     k per query."""
-    asked = queries.select("query_id", "domain", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("word"))
+    asked = queries.select("query_id", "domain", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("word")).where(
+        ~F.col("word").isin(ref.ENGLISH_STOP_WORDS))
     wanted = asked.select("domain", "word").union(queries.select("domain", F.lit("").alias("word"))).distinct()
     words = chunks.select("chunk_id", "domain", F.explode(F.array(text.tokens(F.col("content")))).alias("_words"))
     rows = words.select("chunk_id", "domain", F.size("_words").alias("_len"), F.explode(F.array_append("_words", F.lit(""))).alias("word"))
@@ -121,17 +138,17 @@ def with_boost(fused: DataFrame, queries: DataFrame, chunks: DataFrame, boost: f
                k: int = ref.CANDIDATE_K) -> DataFrame:
     """DP13: the first k candidates in boosted order; a chunk counts more when its
     models or its text name an entity of the query. Nothing is removed for not doing so.
-    The hits are few rows per query: they are written, counted and sent to the
-    chunks, so that the texts are not shuffled."""
+    The hits are few rows per query: they are written, measured and sent to the
+    chunks. The boost is decided there, so that no text goes on."""
     low = F.transform(F.col("terms"), lambda x: F.lower(x))
     models = F.transform(F.col("applies_to_models"), lambda x: F.lower(x))
     named = F.arrays_overlap(low, models) | F.exists(low, lambda x: F.contains(F.lower("content"), x))
-    asked = session.cut(fused.join(queries.select("query_id", "query", "terms"), "query_id"), "fused")
+    asked = session.cut(fused.join(queries.select("query_id", "terms"), "query_id"), "fused")
     rows = chunks.select("chunk_id", "doc_id", "content", "applies_to_models").join(skew.small(asked, 500_000), "chunk_id")
-    rows = rows.withColumn("boost", F.when(F.coalesce(named, F.lit(False)), boost).otherwise(0.0))
+    rows = rows.withColumn("boost", F.when(F.coalesce(named, F.lit(False)), boost).otherwise(0.0)).drop("terms", "applies_to_models", "content")
     order = [F.desc(F.round(F.col("hybrid_score") * (1 + F.col("boost")), 9)), F.asc_nulls_last("dense_rank"),
              F.asc_nulls_last("sparse_rank"), F.col("chunk_id")]
-    return skew.top_per_key(rows, ["query_id"], order, k, "position").drop("terms", "applies_to_models")
+    return skew.top_per_key(rows, ["query_id"], order, k, "position")
 
 
 def _far_ahead(top, second, margin: float):
@@ -145,15 +162,19 @@ def decisive(candidates: DataFrame, margin: float = ref.RERANK_SKIP_MARGIN) -> D
 
 
 def rerank(candidates: DataFrame, score=text.word_overlap, shortlist: int = ref.RERANK_CANDIDATES,
-           final_k: int = ref.FINAL_K) -> DataFrame:
+           final_k: int = ref.FINAL_K, queries: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """DP14: the shortlist scored by `score(query, content)`, a Column function or
-    a plug-in; the boost reorders but stays out of the stored score."""
+    a plug-in; the boost reorders but stays out of the stored score. The texts of the shortlist
+    alone are fetched from `queries` and `chunks`, unless the candidates carry them."""
     short = candidates.where(F.col("position") <= shortlist)
     w = Window.partitionBy("query_id")               # the shortlist of one query
     lead = [F.max(F.when(F.col("position") == p, F.col("hybrid_score"))).over(w) for p in (1, 2)]
     short = short.withColumn("rerank_skipped", _far_ahead(*lead, ref.RERANK_SKIP_MARGIN))
     short = short.where(~F.col("rerank_skipped") | (F.col("position") == 1))
-    scored = short.withColumn("rerank_score", F.round(score(F.col("query"), F.col("content")), 4))
+    if chunks is not None:
+        short = session.cut(short, "shortlist").join(skew.small(queries.select("query_id", "query")), "query_id")
+        short = chunks.select("chunk_id", "content").join(skew.small(short, 500_000), "chunk_id")
+    scored = short.withColumn("rerank_score", F.round(score(F.col("query"), F.col("content")), 4)).drop("query", "content")
     order = [F.desc(F.round(F.col("rerank_score") * (1 + F.col("boost")), 9)), F.col("position")]
     return skew.top_per_key(scored, ["query_id"], order, final_k, "final_rank")
 
@@ -174,7 +195,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, k: int = ref.CANDIDATE_K)
 
 def search(queries: DataFrame, chunks: DataFrame, threshold: float = ref.CONFIDENCE_THRESHOLD, score=text.word_overlap) -> DataFrame:
     """DP16: every query with its status and, one row each, the chunks it keeps."""
-    ranked = session.cut(rerank(candidates(queries, chunks), score).drop("content"), "ranked")
+    ranked = session.cut(rerank(candidates(queries, chunks), score, queries=queries, chunks=chunks), "ranked")
     kept = ranked.where(F.col("rerank_score") >= threshold).select(
         "query_id", "final_rank", "chunk_id", "doc_id", "rerank_score", (F.col("boost") > 0).alias("boosted"), "rerank_skipped")
     return with_status(queries, ranked, threshold).join(kept, "query_id", "left")

@@ -19,10 +19,12 @@ SLICES = 256
 HOT_ROWS = 5_000_000
 
 
-def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """`df` with a broadcast hint if a count shows that it has at most
-    `max_rows` rows; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small(df: DataFrame, max_rows: int = 10_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """`df` with a broadcast hint if it is measured to have at most `max_rows` rows and `max_bytes` bytes
+    (as JSON); otherwise as it is, for a shuffled join."""
+    head = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("_b"))
+    rows, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum("_b"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -126,7 +128,9 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, tu
             parts += [at(F.floor(position)).alias(f"_lo_{name}"), at(F.ceil(position)).alias(f"_hi_{name}"),
                       F.max(position - F.floor(position)).alias(f"_f_{name}")]
             finals.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")).alias(name))
-    return ranked.groupBy(*keys).agg(*parts).select(*keys, *finals)
+    found = ranked.groupBy(*keys).agg(*parts).select(*keys, *finals)
+    # A key that has no value keeps its row.
+    return join_null_safe(df.select(*keys).distinct(), found, keys) if keys else found
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

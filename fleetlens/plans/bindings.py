@@ -14,7 +14,6 @@ from fleetlens.sources import tables as src
 
 AS_OF = "2001-07-15"          # the pinned day of the sales questions
 TELEMETRY_AS_OF = "2024-01-31"
-TELEMETRY_START = "2024-01-01"
 
 METRICS = ["click", "error", "purchase", "signup", "view"]
 MODELS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -75,17 +74,21 @@ class Tables:
         return src.read_table(self.spark, self.folder, name)
 
     def telemetry_since(self, start: str, end: str | None = None) -> DataFrame:
+        return self._telemetry(src.since(self.events, "ts", start, end))
+
+    @staticmethod
+    def _telemetry(events: DataFrame) -> DataFrame:
         mode = F.element_at(
             F.array(*[F.lit(m) for m in MODES], F.lit(None).cast("string")),
             (F.get_json_object("props", "$.k").cast("long") % 6 + 1).cast("int"))
-        return src.since(self.events, "ts", start, end).select(
+        return events.select(
             F.col("event_id").alias("id"), F.col("user_id").alias("vehicle_id"),
             F.col("ts").cast("timestamp").alias("recorded_at"), F.col("event_type").alias("metric_name"),
             F.col("value").alias("metric_value"), mode.alias("drive_mode"))
 
     @cached_property
     def telemetry(self) -> DataFrame:
-        return self.telemetry_since(TELEMETRY_START)
+        return self._telemetry(self.events)
 
     @cached_property
     def ranges(self) -> DataFrame:

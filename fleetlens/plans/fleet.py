@@ -25,7 +25,7 @@ def us(column):
            delta_pct, CASE WHEN baseline IS NULL THEN 'no_baseline' WHEN baseline = 0 THEN 'not_applicable'
                WHEN abs(delta_pct) <= coalesce(nullif(tolerance_pct, 0), 10) THEN 'normal'
                WHEN delta_pct > 0 THEN 'above_normal' ELSE 'below_normal' END AS verdict
-    FROM (SELECT *, round((actual - baseline) / abs(baseline) * 100, 1) + 0.0 AS delta_pct
+    FROM (SELECT *, round(round((actual - baseline) / abs(baseline) * 100, 9), 1) + 0.0 AS delta_pct
           FROM (SELECT c.vehicle_id, c.metric_name, avg(metric_value) AS actual, avg(nominal_value) AS baseline,
                        max(tolerance_pct) AS tolerance_pct, count(*) AS readings
                 FROM clean c JOIN vehicles v ON v.vehicle_id = c.vehicle_id
@@ -34,7 +34,7 @@ def us(column):
 def vehicle_vs_baseline(t):
     """Last seven days of every vehicle against its baselines (J2, PF2, PF9, AG11, SF20)."""
     week = quality.clean_readings(quality.flag_readings(t.telemetry_since(WEEK_AGO), t.ranges))
-    out = diagnose.compare(diagnose.with_baseline(week, t.vehicles, t.baselines), ["vehicle_id", "metric_name"])
+    out = diagnose.compare(week, t.vehicles, t.baselines, ["vehicle_id", "metric_name"])
     return out.withColumn("actual", F.round("actual", 6)).withColumn("baseline", F.round("baseline", 6))
 
 
@@ -317,7 +317,7 @@ def weekly_buckets(t):
     FROM clean c JOIN vehicles v ON v.vehicle_id = c.vehicle_id
     JOIN baselines b ON b.model_code = v.model_code AND b.drive_mode = c.drive_mode AND b.metric_name = c.metric_name GROUP BY 1""")
 def comparison(t):
-    return diagnose.compare(diagnose.with_baseline(t.clean, t.vehicles, t.baselines), ["metric_name"]).select(
+    return diagnose.compare(t.clean, t.vehicles, t.baselines, ["metric_name"]).select(
         "metric_name", F.round("actual", 6).alias("actual"), F.round("baseline", 6).alias("baseline"), "tolerance_pct", "readings")
 
 
@@ -327,13 +327,15 @@ def comparison(t):
           FROM clean c JOIN onsets o ON o.vehicle_id = c.vehicle_id AND c.recorded_at >= o.onset
           JOIN vehicles v ON v.vehicle_id = c.vehicle_id
           LEFT JOIN baselines b ON b.model_code = v.model_code AND b.drive_mode = c.drive_mode AND b.metric_name = c.metric_name
-          GROUP BY 1, 2)
-    SELECT vehicle_id, metric_name, round(actual, 6) AS actual, round(baseline, 6) AS baseline,
-           CASE WHEN baseline <> 0 THEN round((actual - baseline) / abs(baseline) * 100, 1) + 0.0 END AS delta_pct FROM m""")
+          GROUP BY 1, 2),
+    h AS (SELECT c.vehicle_id, arg_max(metric_value, (recorded_at, id)) AS latest_health FROM clean c JOIN onsets o ON o.vehicle_id = c.vehicle_id
+          WHERE recorded_at >= onset AND metric_name = 'error' GROUP BY 1)
+    SELECT m.vehicle_id, metric_name, latest_health, round(actual, 6) AS actual, round(baseline, 6) AS baseline,
+           CASE WHEN baseline <> 0 THEN round(round((actual - baseline) / abs(baseline) * 100, 9), 1) + 0.0 END AS delta_pct FROM m LEFT JOIN h ON h.vehicle_id = m.vehicle_id""")
 def since_onset(t):
     """The onset of a vehicle is its first impossible reading."""
     onsets = t.readings.where(F.col("quality_flag").isNotNull()).groupBy("vehicle_id").agg(F.min("recorded_at").alias("onset"))
-    return diagnose.since_onset(t.clean, t.vehicles, t.baselines, onsets).withColumn(
+    return diagnose.since_onset(t.clean, t.vehicles, t.baselines, onsets, "error").withColumn(
         "actual", F.round("actual", 6)).withColumn("baseline", F.round("baseline", 6))
 
 
@@ -357,11 +359,12 @@ def table_counts(t):
 def ranks(t):
     """Ranks over the distinct values of a key, carried to its rows."""
     df = t.telemetry.select("id", "vehicle_id", "metric_value")
-    rows = skew.running(df, ["vehicle_id"], -F.col("metric_value"), ["id"], {"row_no": F.lit(1)})
+    down = F.coalesce(-F.col("metric_value"), F.lit(float("inf")))  # a reading without a value comes last
+    rows = skew.running(df, ["vehicle_id"], down, ["id"], {"row_no": F.lit(1)})
     values = df.groupBy("vehicle_id", "metric_value").agg(F.count("*").alias("_c"))
-    values = skew.running(values, ["vehicle_id"], -F.col("metric_value"), [], {"dense_no": F.lit(1), "_upto": F.col("_c")})
+    values = skew.running(values, ["vehicle_id"], down, [], {"dense_no": F.lit(1), "_upto": F.col("_c")})
     values = values.withColumn("rank_no", F.col("_upto") - F.col("_c") + 1).drop("_c", "_upto")
-    return rows.join(values, ["vehicle_id", "metric_value"]).select("id", "row_no", "rank_no", "dense_no")
+    return skew.join_null_safe(rows, values, ["vehicle_id", "metric_value"], "inner").select("id", "row_no", "rank_no", "dense_no")
 
 
 @query("w02_lag_lead", """
@@ -452,7 +455,7 @@ def time_bucket(t):
 
 @query("sf20_verdicts", """
     SELECT id, CASE WHEN nominal_value IS NULL THEN 'no_baseline'
-        WHEN abs(round((metric_value - nominal_value) / abs(nominal_value) * 100, 1)) <= coalesce(nullif(tolerance_pct, 0), 10) THEN 'normal'
+        WHEN abs(round(round((metric_value - nominal_value) / abs(nominal_value) * 100, 9), 1)) <= coalesce(nullif(tolerance_pct, 0), 10) THEN 'normal'
         WHEN metric_value > nominal_value THEN 'above_normal' ELSE 'below_normal' END AS verdict
     FROM clean c JOIN vehicles v ON v.vehicle_id = c.vehicle_id
     LEFT JOIN baselines b ON b.model_code = v.model_code AND b.drive_mode = c.drive_mode AND b.metric_name = c.metric_name""")
@@ -469,27 +472,33 @@ def pivot_unpivot(t):
     return wide.unpivot("vehicle_id", METRICS, "metric_name", "mean").where(F.col("mean").isNotNull())
 
 
+VERDICT = """CASE WHEN {b} IS NULL THEN 'no_baseline' WHEN {b} = 0 THEN 'not_applicable' WHEN abs({d}) <= coalesce(nullif({t}, 0), 10) THEN 'normal'
+               WHEN {d} > 0 THEN 'above_normal' ELSE 'below_normal' END AS {n}_verdict"""
+
+
 @query("dp39_fleet_report", """
-    WITH j AS (SELECT c.*, v.model_code, b.nominal_value, b.rated_payload FROM clean c JOIN vehicles v ON v.vehicle_id = c.vehicle_id
+    WITH j AS (SELECT c.*, v.model_code, b.nominal_value, b.rated_payload, b.tolerance_pct FROM clean c JOIN vehicles v ON v.vehicle_id = c.vehicle_id
           LEFT JOIN baselines b ON b.model_code = v.model_code AND b.drive_mode = c.drive_mode AND b.metric_name = c.metric_name),
     w AS (SELECT vehicle_id, model_code,
           avg(metric_value) FILTER (metric_name = 'click') AS ca, avg(nominal_value) FILTER (metric_name = 'click') AS cb,
           avg(metric_value) FILTER (metric_name = 'view') AS va, avg(nominal_value) FILTER (metric_name = 'view') AS vb,
           avg(metric_value) FILTER (metric_name = 'signup') AS sa, avg(nominal_value) FILTER (metric_name = 'signup') AS sb,
+          max(tolerance_pct) FILTER (metric_name = 'click') AS ct, max(tolerance_pct) FILTER (metric_name = 'view') AS vt, max(tolerance_pct) FILTER (metric_name = 'signup') AS st,
           count(*) FILTER (metric_name = 'purchase' AND metric_value > rated_payload) AS overloads,
           arg_max(metric_value, (recorded_at, id)) FILTER (metric_name = 'error') AS health_last,
           arg_min(metric_value, (recorded_at, id)) FILTER (metric_name = 'error') AS health_first FROM j GROUP BY 1, 2),
-    d AS (SELECT *, round((ca - cb) / abs(cb) * 100, 1) + 0.0 AS cd, round((va - vb) / abs(vb) * 100, 1) + 0.0 AS vd,
-                 round((sa - sb) / abs(sb) * 100, 1) + 0.0 AS sd FROM w)
+    d AS (SELECT *, round(round((ca - cb) / abs(cb) * 100, 9), 1) + 0.0 AS cd, round(round((va - vb) / abs(vb) * 100, 9), 1) + 0.0 AS vd,
+                 round(round((sa - sb) / abs(sb) * 100, 9), 1) + 0.0 AS sd FROM w)
     SELECT vehicle_id, model_code, round(ca, 6) AS click_actual, cd AS click_delta, vd AS view_delta, sd AS signup_delta,
            overloads, health_last, health_first,
+           """ + VERDICT.format(b="cb", d="cd", t="ct", n="click") + ", " + VERDICT.format(b="vb", d="vd", t="vt", n="view") + ", " + VERDICT.format(b="sb", d="sd", t="st", n="signup") + """,
            CASE WHEN cd > 15 AND overloads > 0 THEN 'overload' WHEN health_last < health_first - 5 THEN 'cell_wear'
                 WHEN vd < -15 THEN 'speed_cap' WHEN sd < -30 THEN 'charger_fault' WHEN cd > 15 THEN 'unexplained' ELSE 'normal' END AS scenario
     FROM d""")
 def fleet_report(t):
     out = diagnose.fleet_report(t.clean, t.vehicles, t.baselines, "click", "view", "signup", "purchase", "error")
     return out.select("vehicle_id", "model_code", F.round("click_actual", 6).alias("click_actual"), "click_delta", "view_delta",
-                      "signup_delta", "overloads", "health_last", "health_first", "scenario")
+                      "signup_delta", "overloads", "health_last", "health_first", "click_verdict", "view_verdict", "signup_verdict", "scenario")
 
 
 @query("pf14_pinned_day", """

@@ -59,7 +59,7 @@ def codes_in_text(t):
     SELECT doc_id, fact, string_agg(v, '|' ORDER BY i) AS found FROM d GROUP BY 1, 2""")
 def numeric_facts(t):
     """Named quantities of each text; the dictionary of patterns is a parameter."""
-    found = text.facts(F.col("text"), {"address": r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", "long_number": r"(\d{16})"}, keep=10_000)
+    found = text.facts(F.col("text"), {"address": r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", "long_number": r"(\d{16})"})
     return t.documents.select("doc_id", F.explode(found).alias("fact", "v")).select("doc_id", "fact", F.array_join("v", "|").alias("found"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens import reference as ref
 from fleetlens.functions import fuzzy, plugins, text
 from fleetlens.operators import matching, search, skew
 from fleetlens.plans.registry import query
@@ -11,18 +12,19 @@ from fleetlens.plans.library import CONTENT_WORDS
 
 SIDE = "CASE WHEN {0} % 2 = 0 THEN 'diagnostic' ELSE 'business' END"
 CHUNKS = f"""chunks AS (SELECT d.doc_id AS chunk_id, {SIDE.format('d.doc_id')} AS domain, text AS content, source AS model, embedding
-             FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"""
+             FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 QUERIES = f"""queries AS (SELECT b.item_id AS query_id, {SIDE.format('b.item_id')} AS domain, text AS query, embedding,
-              'src' || (b.item_id % 20) AS term FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
+              'src' || (b.item_id % 20) AS term FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 DENSE = """dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
            FROM (SELECT query_id, chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
-                 FROM queries q JOIN chunks c ON c.domain = q.domain) QUALIFY rank <= 50)"""
-SPARSE = r"""tok AS (SELECT chunk_id, domain, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM chunks),
+                 FROM queries q JOIN chunks c ON c.domain = q.domain WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL) QUALIFY rank <= 50)"""
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ref.ENGLISH_STOP_WORDS)
+SPARSE = rf"""tok AS (SELECT chunk_id, domain, list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM chunks),
     post AS (SELECT chunk_id, domain, len(ws) AS dl, unnest(ws) AS word FROM tok),
     tf AS (SELECT domain, word, chunk_id, count(*) AS tf, max(dl) AS dl FROM post GROUP BY 1, 2, 3),
     df AS (SELECT domain, word, count(*) AS df FROM tf GROUP BY 1, 2),
     sz AS (SELECT domain, count(*) AS n, avg(len(ws)) AS mean FROM tok GROUP BY 1),
-    qt AS (SELECT DISTINCT query_id, domain, word FROM (SELECT query_id, domain, unnest(regexp_split_to_array(lower(query), '[^\p{L}\p{N}]+')) AS word FROM queries) WHERE word <> ''),
+    qt AS (SELECT DISTINCT query_id, domain, word FROM (SELECT query_id, domain, unnest(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+')) AS word FROM queries) WHERE word <> '' AND word NOT IN ({STOP})),
     sparse AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
       SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
       FROM qt JOIN tf USING (domain, word) JOIN df USING (domain, word) JOIN sz USING (domain) GROUP BY 1, 2) QUALIFY rank <= 50)"""
@@ -52,14 +54,15 @@ def side(column):
 
 
 def chunk_table(t):
-    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select(
+    """Every document; one without a vector is found by its words."""
+    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").select(
         F.col("doc_id").alias("chunk_id"), "doc_id", side("doc_id").alias("domain"), F.col("text").alias("content"),
         F.array("source").alias("applies_to_models"), "embedding")
 
 
 def query_table(t):
     term = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
-    return t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id")).select(
+    return t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id"), "left").select(
         F.col("item_id").alias("query_id"), side("item_id").alias("domain"), F.col("text").alias("query"), "embedding",
         F.array(term).alias("terms"))
 
@@ -128,14 +131,20 @@ def decisive_leader(t):
 
 @query("dp14_reranked", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED) + "SELECT query_id, chunk_id, final_rank, rerank_score FROM ranked")
 def reranked(t):
-    return search.rerank(search.candidates(query_table(t), chunk_table(t))).select("query_id", "chunk_id", "final_rank", "rerank_score")
+    q, c = query_table(t), chunk_table(t)
+    return search.rerank(search.candidates(q, c), queries=q, chunks=c).select("query_id", "chunk_id", "final_rank", "rerank_score")
+
+
+WORD_SETS = """list_filter(list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')), lambda x: x <> '')"""
 
 
-@query("ud04_pair_scorer")
+@query("ud04_pair_scorer", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED.replace(CONTENT_WORDS.format("query"), WORD_SETS.format("query")).replace(
+    CONTENT_WORDS.format("content"), WORD_SETS.format("content"))) + "SELECT query_id, chunk_id, final_rank, rerank_score FROM ranked")
 def pair_scorer(t):
     """The shortlist scored by a plug-in model in small batches."""
     score = plugins.scorer(plugins.shared_words_model)
-    return search.rerank(search.candidates(query_table(t), chunk_table(t)), score).select("query_id", "chunk_id", "final_rank", "rerank_score")
+    q, c = query_table(t), chunk_table(t)
+    return search.rerank(search.candidates(q, c), score, queries=q, chunks=c).select("query_id", "chunk_id", "final_rank", "rerank_score")
 
 
 @query("ud03_encoder")
@@ -147,8 +156,8 @@ def encoder(t):
 
 @query("dp15_search_status", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED, STATUS) + "SELECT * FROM status")
 def search_status(t):
-    q = query_table(t)
-    return search.with_status(q, search.rerank(search.candidates(q, chunk_table(t))))
+    q, c = query_table(t), chunk_table(t)
+    return search.with_status(q, search.rerank(search.candidates(q, c), queries=q, chunks=c))
 
 
 @query("dp16_batch_search", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED, STATUS) + """
