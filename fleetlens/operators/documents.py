@@ -31,7 +31,8 @@ def ingest_status(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 def resolve_metadata(docs: DataFrame, raw: str = "raw") -> DataFrame:
     """DP2/IO7: title, domain, models, date and trust of a document: the caller's
-    column first, then the front matter, then the default; `error` names what is wrong."""
+    column first, then the front matter, then the default; `error` names what is wrong. A bad
+    document is a row with an error, never the end of the job."""
     meta, body = text.front_matter(F.col(raw))
     docs = docs.withColumn("_meta", meta).withColumn("body", body)
 
@@ -40,22 +41,23 @@ def resolve_metadata(docs: DataFrame, raw: str = "raw") -> DataFrame:
         return F.coalesce(*given, F.col("_meta")[name], default)
 
     out = docs.select(
-        *[c for c in docs.columns if c not in ("_meta", "title", "domain", "doc_type", "trust")],
+        *[c for c in docs.columns if c not in ("_meta", "title", "domain", "doc_type", "trust", "uploaded_by")],
         pick("title", F.col("doc_id").cast("string")).alias("title"),
-        pick("domain", F.lit(None).cast("string")).alias("domain"), pick("doc_type", F.lit("kb_article")).alias("doc_type"),
-        pick("trust", F.lit("internal")).alias("trust"), text.as_list(F.col("_meta")["applies_to_models"]).alias("applies_to_models"),
+        pick("domain", F.lit(None).cast("string")).alias("domain"), pick("doc_type", F.lit("document")).alias("doc_type"),
+        pick("trust", F.lit("internal")).alias("trust"), pick("uploaded_by", F.lit("unknown")).alias("uploaded_by"), text.as_list(F.col("_meta")["applies_to_models"]).alias("applies_to_models"),
         text.as_date(F.col("_meta")["effective_date"]).alias("effective_date"))
     wrong = (F.when(F.col("domain").isNull() | ~F.col("domain").isin(ref.DOMAINS), "unknown domain")
-             .when(~F.col("trust").isin(ref.TRUST_LEVELS), "unknown trust level"))
+             .when(~F.col("trust").isin(ref.TRUST_LEVELS), "unknown trust level")
+             .when(text.strip(F.coalesce("body", F.lit(""))) == "", "no content"))
     return out.withColumn("error", wrong)
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
     """DP4/DP7: (doc_id, title, body) -> one row per chunk, in order, with the
-    error codes it names. No shuffle: a document is one row."""
+    error codes that its own text names, not its title, section or caption. No shuffle: a document is one row."""
     found = docs.withColumn("_chunks", markdown.split_chunks(F.col("body"), F.col("title")))
     rows = found.select("doc_id", F.posexplode("_chunks").alias("position", "_c"))
-    return rows.select("doc_id", "position", "_c.*", text.codes(F.col("_c.content")).alias("error_codes"))
+    return rows.select("doc_id", "position", "_c.*", text.codes(F.col("_c.body")).alias("error_codes")).drop("body")
 
 
 def lookup_table(keys):

@@ -191,7 +191,7 @@ def front_matter(t):
     return t.documents.select("doc_id", meta["title"].alias("title"), F.length(body).cast("long").alias("body_chars"))
 
 
-@query("dp03_blocks")
+@query("dp03_blocks", "SELECT doc_id, 'paragraph' AS kind, 1 AS blocks, length(trim(text, E' \\n\\t\\r'))::BIGINT AS chars FROM documents WHERE trim(text, E' \\n\\t\\r') <> ''")
 def blocks(t):
     """Every document as blocks with their headings."""
     found = F.inline(markdown.parse_blocks(F.col("text")))
@@ -214,42 +214,44 @@ def chunk_table_function(t):
     return t.spark.sql("SELECT doc_id, c.chunk_type, c.content FROM fl_documents, LATERAL chunk_document(text, source) c")
 
 
-CODE_TABLE_SQL = """
-    SELECT code, 'Pack' AS subsystem, meaning, source_document FROM (
-      SELECT 'ERR_' || (100 + n_nationkey) AS code, n_name || ' of ' || r_name AS meaning, r_regionkey AS source_document
-      FROM nation JOIN region ON r_regionkey = n_regionkey)"""
+CODE_SQL = "'E' || chr(65 + ((doc_id // 10000) % 26)::INT) || '_' || lpad((doc_id % 10000)::VARCHAR, 4, '0')"
+CODE_TABLE_SQL = f"SELECT {CODE_SQL} AS code, 'Pack' AS subsystem, lang || ' of ' || source AS meaning, doc_id AS source_document FROM documents"
 
 
-def code_manuals(t):
-    """One manual per region with a table of codes, one per nation, and a row that is no code."""
-    rows = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
-    line = F.concat(F.lit("| ERR_"), (F.col("n_nationkey") + 100).cast("string"), F.lit(" | Pack | "), "n_name", F.lit(" of "), "r_name", F.lit(" |"))
-    lines = rows.groupBy(F.col("r_regionkey").alias("doc_id")).agg(F.sort_array(F.collect_list(line)).alias("l"))
-    head = "# Codes\n\nFault codes of the region.\n\n| DTC | Component | Description |\n|---|---|---|\n"
-    return lines.select("doc_id", F.lit("Codes").alias("title"), F.concat(F.lit(head), F.array_join("l", "\n"), F.lit("\n| none | - | not a code |\n")).alias("body"))
+def document_code():
+    number = F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0")
+    return F.concat(F.lit("E"), F.char(65 + F.floor(F.col("doc_id") / 10000) % 26), F.lit("_"), number)
+
+
+def code_manuals(t, more=""):
+    """Every document with a code table after its text."""
+    head = "\n\n# Codes\n\nFault codes of the document.\n\n| DTC | Component | Description |\n|---|---|---|\n"
+    line = F.concat(F.lit("| "), document_code(), F.lit(" | Pack | "), "lang", F.lit(" of "), "source", F.lit(" |\n"))
+    return t.documents.select("doc_id", F.lit("Codes").alias("title"), F.concat("text", F.lit(head), line, F.lit(more)).alias("body"))
 
 
 @query("dp06_promoted_codes", CODE_TABLE_SQL)
 def promoted_codes(t):
-    """Code tables found in documents become rows."""
-    return docs.promote_codes(code_manuals(t)).select("code", "subsystem", "meaning", "source_document")
+    """Code tables found in documents become rows; a row that is no code doesn't."""
+    return docs.promote_codes(code_manuals(t, "| none | - | not a code |\n")).select("code", "subsystem", "meaning", "source_document")
 
 
-@query("dp05_lookup_tables", """
-    SELECT n_regionkey AS doc_id, bool_and(regexp_matches(k, '^[A-Z][A-Z0-9]*(?:[-_][A-Z0-9]+)+$')) AND count(DISTINCT k) = count(*) AS lookup
-    FROM (SELECT n_regionkey, CASE WHEN n_nationkey = 7 THEN 'none' ELSE n_name END AS k FROM nation) GROUP BY 1""")
+@query("dp05_lookup_tables", "SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS lookup FROM documents")
 def lookup_tables(t):
-    """Whether the first cells of a table are distinct keys; a table is one row."""
-    key = F.when(F.col("n_nationkey") == 7, "none").otherwise(F.col("n_name"))
-    tables = t.nation.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.collect_list(key).alias("keys"))
-    return tables.select("doc_id", docs.lookup_table(F.col("keys")).alias("lookup"))
+    """Whether the first cells of a table are distinct keys: one third of the tables has a cell that
+    is no key, one fifth a key twice."""
+    code = document_code()
+    other = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 5 == 0, code).otherwise("PART-A1")
+    line = lambda c: F.concat(F.lit("| "), c, F.lit(" | x |\n"))
+    body = F.concat(F.lit("# T\n\n| A | B |\n|---|---|\n"), line(code), line(other))
+    tables = t.documents.select("doc_id", F.explode(markdown.parse_blocks(body)).alias("b")).where("b.kind = 'table'")
+    return tables.select("doc_id", docs.lookup_table(F.transform("b.rows", lambda r: r[0])).alias("lookup"))
 
 
-@query("dp07_chunk_codes", CODE_TABLE_SQL.replace("SELECT code, 'Pack' AS subsystem, meaning, source_document", "SELECT source_document AS doc_id, code, 1 AS chunks"))
+@query("dp07_chunk_codes", f"SELECT doc_id, {CODE_SQL} AS code, 1 AS chunks FROM documents")
 def chunk_codes(t):
-    """Row chunks of a code table tagged with their code, next to the table chunk that has them all."""
-    manuals = code_manuals(t).withColumn("body", F.replace("body", F.lit("\n| none | - | not a code |\n"), F.lit("\n")))
-    rows = docs.chunk_documents(manuals).where("chunk_type = 'table_row'")
+    """Row chunks of the code tables tagged with their code."""
+    rows = docs.chunk_documents(code_manuals(t)).where("chunk_type = 'table_row'")
     return rows.select("doc_id", F.explode("error_codes").alias("code")).groupBy("doc_id", "code").agg(F.count("*").alias("chunks"))
 
 

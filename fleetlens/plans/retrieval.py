@@ -257,11 +257,12 @@ def candidate_arms(t):
 
 
 @query("sf23_fuzzy_ratio", r"""
-    SELECT p_partkey, CASE WHEN length(p_name) = length(p_type) AND p_name = lower(p_type) THEN 100.0::DOUBLE END AS same FROM part""")
+    SELECT p_partkey, round(200.0 * length(w) / (length(w) + length(p_name)), 4) AS ratio
+    FROM (SELECT p_partkey, p_name, substr(p_name, 3, 4 + (p_partkey % 9)::INT) AS w FROM part)""")
 def fuzzy_ratio(t):
-    """Names that equal their type but for the case have ratio 100."""
-    r = fuzzy.ratio(F.col("p_name"), F.lower("p_type"))
-    return t.part.select("p_partkey", F.when(r == 100, r).alias("same"))
+    """Names against a part of themselves: what both have is the part."""
+    part = t.part.select("p_partkey", "p_name", F.expr("substr(p_name, 3, 4 + CAST(p_partkey % 9 AS INT))").alias("w"))
+    return part.select("p_partkey", F.round(fuzzy.ratio(F.col("p_name"), F.col("w")), 4).alias("ratio"))
 
 
 @query("ud05_fuzzy_scores")
@@ -303,9 +304,12 @@ def one_sided_hits(t):
 
 
 @query("sf24_token_sets", r"""
-    SELECT p_partkey, CASE WHEN list_has_all(string_split(p_name, ' '), list_distinct(string_split(p_name || ' ' || p_name, ' '))) THEN 100.0::DOUBLE END AS subset FROM part""")
+    WITH w AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS words, list_distinct(string_split(p_name, ' ')[1:2]) AS kept FROM part),
+    l AS (SELECT p_partkey, length(array_to_string(kept, ' ')) AS s, length(array_to_string(list_filter(words, lambda x: NOT list_contains(kept, x)), ' ')) AS a FROM w)
+    SELECT p_partkey, round(greatest(CASE WHEN a = 0 THEN 100 ELSE 200.0 * s / (2 * s + 1 + a) END, 200.0 * s / (2 * s + 1 + 4),
+        CASE WHEN a = 0 THEN 0 ELSE 200.0 * (s + 1) / (2 * s + 2 + a + 4) END), 4) AS token_set FROM l""")
 def token_sets(t):
-    """Word order and repeats do not count: a name against itself turned around and doubled."""
+    """Names against their first two words, turned around, and a number: order and repeats don't count, the words that differ do."""
     words = F.split("p_name", " ")
-    other = F.concat_ws(" ", F.array_join(F.reverse(words), " "), "p_name")
-    return t.part.select("p_partkey", fuzzy.token_set_ratio(F.col("p_name"), other).alias("subset"))
+    other = F.concat_ws(" ", F.lit("0000"), F.array_join(F.reverse(F.slice(words, 1, 2)), " "), words[0])
+    return t.part.select("p_partkey", F.round(fuzzy.token_set_ratio(F.col("p_name"), other), 4).alias("token_set"))

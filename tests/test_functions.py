@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import reference as ref
 from fleetlens.functions import fuzzy, html, markdown, readings, stats, text, timefn
+from fleetlens.operators import documents
 
 
 def one(spark, expr, **columns):
@@ -96,6 +97,35 @@ def test_front_matter(spark):
     assert rows[1]["m"] == {} and rows[1]["b"] == "no front matter"
 
 
+def test_front_matter_lists_and_repeated_keys(spark):
+    meta, body = text.front_matter(F.col("s"))
+    df = spark.createDataFrame([("---\ntitle: one\nmodels:\n  - M1\n  - M2\ntitle: two\nempty:\n---\nx",), ("---\ntitle: open",), (None,)], "s string")
+    rows = df.select(meta.alias("m"), body.alias("b"), text.as_list(meta["models"]).alias("l")).collect()
+    assert rows[0]["m"] == {"models": "M1, M2", "title": "two", "empty": ""} and rows[0]["l"] == ["M1", "M2"] and rows[0]["b"] == "x"
+    assert rows[1]["m"] == {} and rows[1]["b"] == "---\ntitle: open"
+
+
+def test_bad_documents_are_rows_with_an_error(spark):
+    raws = ["---\ndomain: business\ndomain: diagnostic\nuploaded_by: me\n---\nbody", "---\ndomain: business\n---\n \n", "no matter", "---\ndomain: business\ntrust: none\n---\nx"]
+    out = documents.resolve_metadata(spark.createDataFrame(list(enumerate(raws)), "doc_id long, raw string")).orderBy("doc_id").collect()
+    assert [r["error"] for r in out] == [None, "no content", "unknown domain", "unknown trust level"]
+    assert (out[0]["domain"], out[0]["uploaded_by"], out[0]["doc_type"], out[1]["uploaded_by"]) == ("diagnostic", "me", "document", "unknown")
+
+
+def test_blocks_that_end_a_paragraph():
+    got = markdown.blocks("The codes:\n| A | B |\n|---|---|\n| x \\| y | 2 |\nafter\n\nTitle\nof two\n======\n\nsub\n---\n\n    code line\n\n    more\n\nend")
+    assert [(b["kind"], b["section"]) for b in got] == [
+        ("paragraph", []), ("table", []), ("paragraph", []), ("code", ["Title of two", "sub"]), ("paragraph", ["Title of two", "sub"])]
+    assert got[1]["rows"] == [["x | y", "2"]] and got[3]["text"] == "    code line\n\n    more"
+
+
+def test_codes_are_those_of_the_text_alone(spark):
+    body = "# ERR_900\n\nSee ERR_901:\n| Code | Meaning |\n|---|---|\n| ERR_902 | x |\n\nplain words"
+    rows = documents.chunk_documents(spark.createDataFrame([(1, "ERR_401 guide", body)], "doc_id long, title string, body string")).orderBy("position").collect()
+    assert [(r["chunk_type"], r["error_codes"]) for r in rows] == [("table", ["ERR_902"]), ("table_row", ["ERR_902"]), ("prose", [])]
+    assert rows[0]["content"].startswith("ERR_401 guide > ERR_900\n\nSee ERR_901:")
+
+
 def ranges(spark, day, **kw):
     rows = one(spark, timefn.periods(F.col("d"), **kw), d=dt.date.fromisoformat(day))
     return {r["period"]: (str(r["lo"]), str(r["hi"])) for r in rows}
