@@ -20,7 +20,7 @@ HEADLINE = [
     "j15_nearest_vectors", "dp11_sparse_candidates", "dp16_batch_search", "ag25_threshold_sweep", "dp17_resolved_ids", "dp17_misspelled_ids",
     "j14_near_duplicates", "dp18_rephrased_turns", "dp20_failure_signatures", "tk07_review_queue", "ag26_cluster_status", "dp25_untraceable_numbers",
     "dp28_answer_checks", "ag16_wilson_intervals", "ag18_agreement", "j07_run_diff", "dp35_report", "ag32_latency_quantile", "ag34_call_costs",
-    "st02_hourly_stream", "st05_late_rows", "st07_rate_limited", "st10_sliding_ratio", "st16_compacted_weeks",
+    "st02_hourly_stream", "st05_late_rows", "st10_sliding_ratio", "st16_compacted_weeks",
 ]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import reference as ref
 from fleetlens import session
 from fleetlens.functions import html, markdown, text
+from fleetlens.operators import skew
 
 
 def ingest_status(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def clean_pages(pages: DataFrame, sources: DataFrame, replacements: dict[str, st
     not configured, or set to skip, are left out."""
     configured = sources.where("NOT skip").select(normal_url(F.col("url")).alias("_site"), "domain")
     body = F.array_join(keep_last_lines(text.content_lines(F.col("text"))), "\n\n")
-    rows = pages.withColumn("_site", normal_url(F.col("url"))).join(configured, "_site").select(
+    rows = pages.withColumn("_site", normal_url(F.col("url"))).join(skew.small(configured, 100_000), "_site").select(
         "page_id", "domain", text.replace_terms(text.strip(F.col("title")), replacements, whole=True).alias("title"),
         text.replace_terms(body, replacements, whole=True).alias("body"))
     left = text.remaining_terms(F.concat("title", "body"), guard)
@@ -127,18 +128,19 @@ def clean_pages(pages: DataFrame, sources: DataFrame, replacements: dict[str, st
         "status", F.when(F.size("left_terms") > 0, "refused").otherwise("written"))
 
 
-def find_terms(chunks: DataFrame, terms: DataFrame, max_terms: int = 10_000) -> DataFrame:
+def find_terms(chunks: DataFrame, terms: DataFrame, max_terms: int = 10_000, max_bytes: int = 16 << 20) -> DataFrame:
     """DP30: where a term (trap_id, term) stands in a text (doc_id, content) as
     whole words, any case, with 50 characters around the first match.
 
     A text can hold a term only if it holds the term's longest word, so only
-    those pairs are tested. While the list has at most `max_terms` terms these
+    those pairs are tested. While the list has at most `max_terms` terms and `max_bytes` bytes these
     words go to every task as one array and the texts stay where they are; a
     longer list is joined on the word and the texts are shuffled."""
     keyed = terms.select("trap_id", F.trim("term").alias("term")).withColumn("_words", text.tokens(F.col("term"))).where(
         F.size("_words") > 0).select("trap_id", "term", F.array_max(F.transform(
             "_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
-    if keyed.limit(max_terms + 1).count() <= max_terms:
+    rows, size = keyed.limit(max_terms + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if rows <= max_terms and size <= max_bytes:
         listed = keyed.agg(F.collect_set("word")).scalar()
         held = chunks.select("doc_id", "content", F.explode(F.array_intersect(text.tokens(F.col("content")), listed)).alias("word"))
         near = held.join(F.broadcast(keyed), "word")

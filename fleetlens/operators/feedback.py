@@ -101,7 +101,7 @@ def queue(items: DataFrame) -> DataFrame:
     keep = F.min_by(F.struct("id", "rating"), F.struct("created_at", "id"))
     open_ = items.where("review_status = 'new'").groupBy("cluster", "turn_id").agg(keep.alias("f"))
     sizes = open_.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
-    return open_.join(sizes, "cluster").select("cluster", "cluster_size", "turn_id", F.col("f.id").alias("flag_id"), F.col("f.rating").alias("rating")).orderBy(
+    return open_.join(skew.small(sizes), "cluster").select("cluster", "cluster_size", "turn_id", F.col("f.id").alias("flag_id"), F.col("f.rating").alias("rating")).orderBy(
         F.desc("cluster_size"), cluster_rank(F.col("cluster")), "turn_id")
 
 
@@ -109,7 +109,7 @@ def cluster_status(items: DataFrame, promoted: DataFrame, results: DataFrame) ->
     """AG26: per cluster its flags, the cases that guard it, and its state.
     promoted: id, cluster, promoted_on; results: id, pass."""
     last = promoted.groupBy("cluster").agg(F.max("promoted_on").alias("_last"))
-    flags = items.join(last, "cluster", "left").groupBy("cluster").agg(
+    flags = items.join(skew.small(last), "cluster", "left").groupBy("cluster").agg(
         F.count_distinct("turn_id").alias("flags"), F.count(F.when(F.col("review_status") == "new", 1)).alias("open"),
         F.count(F.when(F.col("review_status") == "dismissed", 1)).alias("dismissed"),
         F.count(F.when(F.to_date("created_at") > F.col("_last"), 1)).alias("new_since"))
@@ -127,7 +127,7 @@ def cluster_status(items: DataFrame, promoted: DataFrame, results: DataFrame) ->
 def coverage_warnings(drafts: DataFrame, existing: DataFrame, max_cases: int = ref.MAX_CASES_PER_CLUSTER) -> DataFrame:
     """DP21: drafts whose cluster has enough cases already."""
     counts = existing.groupBy("cluster").agg(F.count(F.lit(1)).alias("existing_cases")).where(F.col("existing_cases") >= max_cases)
-    return drafts.join(counts, "cluster").select("id", "cluster", "existing_cases")
+    return drafts.join(skew.small(counts), "cluster").select("id", "cluster", "existing_cases")
 
 
 def is_failure() -> Column:

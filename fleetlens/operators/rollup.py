@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import timefn
+from fleetlens.operators import skew
 
 KEYS = ["hour", "vehicle_id", "metric_name", "drive_mode"]
 
@@ -55,8 +56,13 @@ def refresh_touched(materialised: DataFrame, clean: DataFrame, arrived: DataFram
     """ST5: recomputes the hours that late rows touched, whatever their age.
     The touched keys are distinct (hour, vehicle, metric, mode) rows."""
     touched = arrived.select(F.date_trunc("hour", "recorded_at").alias("hour"), *KEYS[1:]).distinct()
+    first, last = touched.agg(F.min("hour"), F.max("hour")).first()
+    if first is None:
+        return materialised
     keep = _semi(materialised, touched, "left_anti")
-    source = clean.withColumn("hour", F.date_trunc("hour", "recorded_at"))
+    # Only readings from the first to the last touched hour are scanned.
+    near = clean.where((F.col("recorded_at") >= F.lit(first)) & (F.col("recorded_at") < F.lit(last) + F.expr("INTERVAL 1 HOUR")))
+    source = near.withColumn("hour", F.date_trunc("hour", "recorded_at"))
     return keep.unionByName(hourly(_semi(source, touched, "left_semi").drop("hour")))
 
 
@@ -67,13 +73,14 @@ def _semi(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return df.join(k, on, how)
 
 
-def compact(readings: DataFrame, path: str, files_per_week: int = 8) -> None:
+def compact(readings: DataFrame, path: str, rows_per_file: int = 4_000_000) -> None:
     """ST16: one folder per 7-day bucket, rows ordered by vehicle, metric and
-    time so that row groups can be skipped. The hash of vehicle and metric plus
+    time so that row groups can be skipped. A week gets files in proportion to its rows; the hash of vehicle and metric plus
     the time inside the week spreads a busy week or vehicle over its files."""
-    week = timefn.time_bucket(7 * 86400, F.col("recorded_at"))
-    out = readings.withColumn("week", F.to_date(week)).withColumn(
-        "_part", F.pmod(F.xxhash64("vehicle_id", "metric_name", F.date_trunc("hour", "recorded_at")), F.lit(files_per_week)))
-    (out.repartition("week", "_part").drop("_part")
+    out = readings.withColumn("week", F.to_date(timefn.time_bucket(7 * 86400, F.col("recorded_at"))))
+    files = out.groupBy("week").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("long").alias("_files"))
+    out = out.join(skew.small(files), "week").withColumn(
+        "_part", F.pmod(F.xxhash64("vehicle_id", "metric_name", F.date_trunc("hour", "recorded_at")), F.col("_files")))
+    (out.repartition("week", "_part").drop("_part", "_files")
         .sortWithinPartitions("week", "vehicle_id", "metric_name", F.desc("recorded_at"))
         .write.mode("overwrite").partitionBy("week").parquet(path))

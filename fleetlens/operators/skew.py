@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import session
 
-SLICES = 256
+LEAST_SLICES = 16
 HOT_ROWS = 5_000_000
 
 
@@ -37,22 +37,24 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def sliced(df: DataFrame, keys: list[str], order: Column, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Adds _ord (the numeric order value), _hot and _slice; None when no key has
     more than `hot_rows` rows. The keys are counted first, in a job that reads
-    only them. The broadcast side has one row per hot key, at most
-    rows / hot_rows of them. Rows with equal order values stay in one slice."""
+    only them. A key gets slices in proportion to its rows. The cuts, a row per hot key, are a written table, so that Spark
+    sees its size and picks the join. Rows with equal order values stay in one slice."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     hot_keys = session.cut(counts, "hot-keys")
-    if hot_keys.isEmpty():
+    largest = hot_keys.agg(F.max("_n")).first()[0]
+    if largest is None:
         return None
     df = df.withColumn("_ord", order)
-    points = [i / SLICES for i in range(1, SLICES)]
-    at = F.percentile_approx("_ord", points, F.lit(10 * SLICES)).alias("_cuts")
+    slices = max(LEAST_SLICES, -(-4 * largest // hot_rows))  # so that a slice of the largest key is a quarter of hot_rows
+    points = [i / slices for i in range(1, slices)]
+    at = F.percentile_approx("_ord", points, F.lit(10 * slices)).alias("_cuts")
     if not keys:
         cuts = session.cut(df.agg(at), "cuts").scalar()
         out = df.withColumn("_cuts", cuts)
     else:
-        hot = join_null_safe(df.select(*keys, "_ord"), F.broadcast(hot_keys.drop("_n")), keys, "left_semi")
+        hot = join_null_safe(df.select(*keys, "_ord"), hot_keys.drop("_n"), keys, "left_semi")
         cuts = session.cut(hot.groupBy(*keys).agg(at), "cuts")
-        out = join_null_safe(df, F.broadcast(cuts), keys)
+        out = join_null_safe(df, cuts, keys)
     slice_no = F.size(F.filter("_cuts", lambda c: c < F.col("_ord")))
     return out.withColumns({"_hot": F.col("_cuts").isNotNull(), "_slice": F.when(F.col("_cuts").isNotNull(), slice_no).otherwise(0)}).drop("_cuts")
 
@@ -60,7 +62,7 @@ def sliced(df: DataFrame, keys: list[str], order: Column, hot_rows: int = HOT_RO
 def _edges(s: DataFrame, keys: list[str], aggregates: list[Column], carry) -> DataFrame:
     """One row per slice of a hot key, with what `carry` takes from earlier slices."""
     per_slice = s.where("_hot").groupBy(*keys, "_slice").agg(*aggregates)
-    return per_slice.select(*keys, "_slice", *carry(Window.partitionBy(*keys).orderBy("_slice")))
+    return session.cut(per_slice.select(*keys, "_slice", *carry(Window.partitionBy(*keys).orderBy("_slice"))), "edges")
 
 
 def running(df: DataFrame, keys: list[str], order: Column, tie: list[str], totals: dict[str, Column],
@@ -77,7 +79,7 @@ def running(df: DataFrame, keys: list[str], order: Column, tie: list[str], total
         lambda w: [F.sum(f"_t_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before_{n}")
                    for n in totals])
     out = s.select("*", *[F.sum(c).over(upto).alias(n) for n, c in totals.items()])
-    out = join_null_safe(out, F.broadcast(edges), [*keys, "_slice"])
+    out = join_null_safe(out, edges, [*keys, "_slice"])
     for n in totals:
         out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)))
     return out.drop("_ord", "_hot", "_slice", *[f"_before_{n}" for n in totals])
@@ -100,7 +102,7 @@ def neighbour(df: DataFrame, keys: list[str], order: Column, tie: list[str], val
     rank = F.struct("_ord", *[t.alias(f"_k{i}") for i, t in enumerate(tied)])
     edges = _edges(s, keys, [F.max_by("_v", rank).alias("_last")], lambda w: [F.lag("_last").over(w).alias("_edge")])
     out = s.withColumn("_lag", F.lag("_v").over(within)).withColumn("_first", F.row_number().over(within) == 1)
-    out = join_null_safe(out, F.broadcast(edges), [*keys, "_slice"])
+    out = join_null_safe(out, edges, [*keys, "_slice"])
     got = F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_lag"))
     return out.withColumn("_got", got).select(*rest, *[F.col(f"_got.{n}").alias(n) for n in values])
 

@@ -245,12 +245,36 @@ def misspelled(t):
     return fleet(t).select(F.concat(F.substring(k, 1, 6), F.substring(k, 8, 1), F.substring(k, 7, 1), F.lit("9")).alias("raw"))
 
 
-@query("dp17_misspelled_ids")
+# Two ids whose longest common subsequence is L share a subsequence of that length; ids this short reach the scores
+# only with two characters left out of either at most.
+NORMAL = "regexp_replace(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g')"
+CLOSE = FLEET + f""", miss AS (SELECT substr(known, 1, 6) || substr(known, 8, 1) || substr(known, 7, 1) || '9' AS raw FROM fleet),
+    spelled AS (SELECT raw, count(*) AS mentions, {NORMAL.format('raw')} AS q FROM miss GROUP BY raw),
+    ids AS (SELECT known, {NORMAL.format('known')} AS n FROM fleet),
+    words AS (SELECT DISTINCT w FROM (SELECT q AS w FROM spelled UNION ALL SELECT n FROM ids)),
+    one AS (SELECT w, substr(w, 1, i::INT - 1) || substr(w, i::INT + 1) AS s FROM words, unnest(range(1, length(w) + 1)) r(i)),
+    two AS (SELECT w, substr(s, 1, i::INT - 1) || substr(s, i::INT + 1) AS s FROM one, unnest(range(1, length(s) + 1)) r(i)),
+    subs AS (SELECT w, w AS s FROM words UNION SELECT * FROM one UNION SELECT * FROM two),
+    lcs AS (SELECT a.w AS q, b.w AS n, max(length(a.s)) AS l FROM subs a JOIN subs b ON a.s = b.s GROUP BY 1, 2),
+    close AS (SELECT raw, known, 200.0 * l / (length(q) + length(n)) AS score FROM spelled JOIN lcs USING (q) JOIN ids USING (n))"""
+
+
+@query("dp17_misspelled_ids", "WITH " + CLOSE + """,
+    exact AS (SELECT raw, count(*) AS hits, min(known) AS value, array_to_string(list_sort(list(known))[1:3], ',') AS options FROM spelled JOIN ids ON q = n GROUP BY 1),
+    best AS (SELECT raw, count(*) FILTER (score >= 92) AS strong, array_to_string(list(known ORDER BY score DESC, known)[1:3], ',') AS near, arg_min(known, (-score, known)) AS top
+             FROM close WHERE score >= 78 AND raw NOT IN (SELECT raw FROM exact) GROUP BY 1)
+    SELECT s.raw, mentions, CASE WHEN hits = 1 THEN 'exact' WHEN hits > 1 THEN 'ambiguous' WHEN strong = 1 THEN 'fuzzy' WHEN near IS NOT NULL THEN 'ambiguous' ELSE 'not_found' END AS status,
+           CASE WHEN hits = 1 THEN value WHEN hits IS NULL AND strong = 1 THEN top END AS value,
+           CASE WHEN hits > 1 THEN options WHEN hits = 1 THEN '' WHEN strong = 1 THEN top ELSE coalesce(near, '') END AS suggestions
+    FROM spelled s LEFT JOIN exact e ON e.raw = s.raw LEFT JOIN best b ON b.raw = s.raw""")
 def misspelled_ids(t):
-    return matching.resolve(misspelled(t), fleet(t).select("known"))
+    out = matching.resolve(misspelled(t), fleet(t).select("known"))
+    return out.select("raw", "mentions", "status", "value", F.array_join("suggestions", ",").alias("suggestions"))
 
 
-@query("so01_candidate_arms")
+@query("so01_candidate_arms", "WITH " + CLOSE + """
+    SELECT raw, known FROM close WHERE score >= 92
+    UNION SELECT raw, known FROM spelled, ids WHERE lower(raw) = lower(known) OR contains(known, regexp_replace(regexp_extract(raw, '([0-9]+)', 1), '^0+([0-9])', '\\1'))""")
 def candidate_arms(t):
     """Candidates of every misspelled id by case, digits and spelling."""
     return matching.candidate_arms(misspelled(t), fleet(t).select("known"), 92.0)

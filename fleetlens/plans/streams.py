@@ -78,19 +78,6 @@ def rephrased_stream(t):
     return runner.drain(state.rephrased(questions(t)), "rephrased").drop("batch_id")
 
 
-@query("st07_rate_limited")
-def rate_limited(t):
-    """At most two events of a kind in ten minutes."""
-    rows = events(t).select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), "ts")
-    return runner.drain(state.rate_limited(rows, 2, 600.0), "limited").drop("batch_id")
-
-
-@query("st08_breaker_states")
-def breaker_states(t):
-    rows = events(t).select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), "ts", (F.col("value") < 60).alias("ok"))
-    return runner.drain(state.breaker_states(rows, 3, 3600.0), "breaker").drop("batch_id")
-
-
 @query("st09_paired_turns", """
     WITH s AS (SELECT conv_id * 1000 + turn AS key, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 11) AS started FROM conversations WHERE role = 'user'),
     e AS (SELECT conv_id * 1000 + turn - 1 AS key, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 11) AS ended FROM conversations WHERE role = 'assistant'),

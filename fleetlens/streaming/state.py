@@ -20,63 +20,6 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(["at", "id"], kind="stable")
 
 
-def limiter(allowed: list[float], at: float, limit: int, window_s: float) -> tuple[list[float], bool, float]:
-    """One step of the sliding limit: (accepted times, accepted, seconds to wait)."""
-    allowed = [t for t in allowed if t > at - window_s]
-    if len(allowed) >= limit:
-        return allowed, False, allowed[0] + window_s - at
-    return [*allowed, at], True, 0.0
-
-
-def rate_limited(events: DataFrame, limit: int, window_s: float = 60.0, late: str = "1 minute") -> DataFrame:
-    """ST7: every call labelled accepted or refused: at most `limit` accepted per
-    key in any `window_s` seconds; refused calls do not count. events: key, id, ts."""
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        allowed = list(state.get[0]) if state.exists else []
-        rows, out = _ordered(frames), []
-        for id_, at in zip(rows["id"], rows["at"]):
-            allowed, ok, wait = limiter(allowed, at, limit, window_s)
-            out.append((key[0], id_, ok, round(wait, 6)))
-        state.update((allowed,))
-        state.setTimeoutTimestamp(max(int((rows["at"].max() + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "id", "accepted", "wait_s"])
-
-    rows = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts") / 1_000_000)
-    return rows.groupBy("key").applyInPandasWithState(
-        step, "key string, id long, accepted boolean, wait_s double", "allowed array<double>", "append", "EventTimeTimeout")
-
-
-def breaker(failures: int, open_until: float, at: float, ok: bool, threshold: int, cooldown_s: float):
-    """One step of the circuit breaker: (failures, open_until, state before the call, allowed)."""
-    state = "closed" if failures < threshold else "open" if at < open_until else "half_open"
-    if state == "open":
-        return failures, open_until, state, False
-    if ok:
-        return 0, open_until, state, True
-    failures += 1
-    return failures, (at + cooldown_s if failures >= threshold else open_until), state, True
-
-
-def breaker_states(calls: DataFrame, threshold: int = 3, cooldown_s: float = 60.0, late: str = "1 minute") -> DataFrame:
-    """ST8: the breaker's state before every call: closed; open after `threshold`
-    failures in a row; half open, one trial, `cooldown_s` later. calls: key, id, ts, ok."""
-    def step(key, frames, state: GroupState):
-        failures, open_until = state.get if state.exists else (0, 0.0)
-        rows, out = _ordered(frames), []
-        for id_, at, ok in zip(rows["id"], rows["at"], rows["ok"]):
-            failures, open_until, name, allowed = breaker(failures, open_until, at, ok, threshold, cooldown_s)
-            out.append((key[0], id_, name, allowed))
-        state.update((failures, open_until))
-        yield pd.DataFrame(out, columns=["key", "id", "state", "allowed"])
-
-    rows = calls.withWatermark("ts", late).withColumn("at", F.unix_micros("ts") / 1_000_000)
-    return rows.groupBy("key").applyInPandasWithState(
-        step, "key string, id long, state string, allowed boolean", "failures int, open_until double", "append", "NoTimeout")
-
-
 def rephrased(turns: DataFrame, window_s: float = ref.REPHRASE_WINDOW_S, similarity: float = ref.REPHRASE_SIMILARITY,
               late: str = "1 minute") -> DataFrame:
     """ST6: flags the previous turn of a session when the next question comes soon

@@ -1,5 +1,4 @@
 import datetime as dt
-import random
 from types import SimpleNamespace
 
 import pytest
@@ -54,43 +53,6 @@ def test_flags_on_arrival(spark, tmp_path):
     assert quality.clean_readings(out).count() == 2
 
 
-CALL = "key string, id long, ts timestamp, ok boolean"
-
-
-def call(i, key, second, ok=True):
-    return (key, i, T0 + dt.timedelta(seconds=second), ok)
-
-
-def test_limiter_known_case(spark, tmp_path):
-    write_files(spark, tmp_path, CALL, [[call(1, "a", 0), call(2, "a", 1)], [call(3, "a", 2), call(4, "b", 2), call(5, "a", 60)]])
-    stream = spark.readStream.schema(CALL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    out = runner.drain(state.rate_limited(stream, 2, 60.0), "limit")
-    assert rows(out, "id", "accepted", "wait_s") == [(1, True, 0.0), (2, True, 0.0), (3, False, 58.0), (4, True, 0.0), (5, True, 0.0)]
-
-
-def test_limiter_against_plain_fold(spark, tmp_path):
-    r = random.Random(4)
-    calls = [call(i, r.choice("ab"), s) for i, s in enumerate(sorted(r.sample(range(2000), 300)))]
-    write_files(spark, tmp_path, CALL, [calls[:100], calls[100:200], calls[200:]])
-    stream = spark.readStream.schema(CALL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    got = dict(rows(runner.drain(state.rate_limited(stream, 3, 60.0), "limit"), "id", "accepted"))
-    taken, want = {"a": [], "b": []}, {}
-    for key, i, ts, _ in calls:
-        recent = [t for t in taken[key] if t > ts - dt.timedelta(seconds=60)]
-        want[i] = len(recent) < 3
-        taken[key] = recent + [ts] * want[i]
-    assert got == want
-
-
-def test_breaker(spark, tmp_path):
-    seq = [(0, False), (1, False), (2, False), (3, True), (63, False), (64, True), (130, True), (131, False)]
-    calls = [call(i, "m", s, ok) for i, (s, ok) in enumerate(seq)]
-    write_files(spark, tmp_path, CALL, [calls[:3], calls[3:]])
-    stream = spark.readStream.schema(CALL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    out = runner.drain(state.breaker_states(stream, 3, 60.0), "breaker")
-    assert [x[1] for x in rows(out, "id", "state")] == ["closed", "closed", "closed", "open", "half_open", "open", "half_open", "closed"]
-
-
 def test_rephrase_stream(spark, tmp_path):
     kind = "key string, id long, ts timestamp, ended timestamp, question string"
     at = lambda s: T0 + dt.timedelta(seconds=s)
