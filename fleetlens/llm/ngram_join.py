@@ -20,8 +20,10 @@ from fleetlens.llm.frames import cut, slices
 WORDS, SIMILAR = 4, 85
 #: Two sets may differ in so few n-grams that pairs of ranges are signatures.
 PAIRED = 4
-#: Rows that are broadcast when they are fewer; beyond it the join is shuffled.
+#: A side of a join is broadcast up to so many bytes; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Nodes of one bucket are compared by blocks of so many; a node's sketch has so many counts.
+BLOCK, BINS = 256, 256
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -35,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -182,6 +184,66 @@ def linked(hub: np.ndarray, sets: list[np.ndarray]) -> list[bool]:
     return found
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many of a set's hashes are in each of 256 ranges, 255 at most. Two sets differ in as many n-grams
+    as their counts do, or more."""
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _starred(batches):
+    """Of rows sorted by signature, the hub first: the hub with each other node."""
+    last = hub = None
+    for batch in batches:
+        hubs, nodes = [], []
+        for sig, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if sig != last:
+                last, hub = sig, node
+            else:
+                hubs.append(hub)
+                nodes.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], ["hub", "node"])
+
+
+def _apart(batches):
+    """Of rows sorted by unit (signature and two blocks): the pairs of nodes of different components that
+    sizes and sketches allow to link. A unit has two blocks of nodes at most."""
+    def pairs(rows: pa.Table):
+        unit = np.stack([rows[c].to_numpy() for c in ("sig", "low", "high")], 1)
+        node, label, block, size = (rows[c].to_numpy() for c in ("node", "label", "block", "n"))
+        counts = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        cuts = np.nonzero((unit[1:] != unit[:-1]).any(1))[0] + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)]):
+            for i in range(a, b - 1):
+                others = np.arange(i + 1, b)
+                others = others[(label[others] != label[i]) & ((unit[i, 1] == unit[i, 2]) | (block[others] != block[i]))]
+                if not len(others):
+                    continue
+                total = size[others] + size[i]
+                least = np.abs(counts[others] - counts[i]).sum(1)
+                near = others[least <= total * (100 - SIMILAR) // (100 + SIMILAR)]
+                yield np.full(len(near), node[i]), node[near]
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        if not len(rows):
+            continue
+        # The last unit may go on in the next batch.
+        keys = np.stack([rows[c].to_numpy() for c in ("sig", "low", "high")], 1)
+        whole = int(np.nonzero((keys == keys[-1]).all(1))[0][0])
+        held = rows.slice(whole)
+        yield _pairs(list(pairs(rows.slice(0, whole)))) if whole else _pairs([])
+    if held is not None and len(held):
+        yield _pairs(list(pairs(held)))
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = ([x[i] for x in found] for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], ["hub", "node"])
+
+
 def _check(batches):
     """Rows (hub, node, hub_set, set) to the pairs that link; rows of one hub in a batch are one tree."""
     for batch in batches:
@@ -201,17 +263,19 @@ def _small(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and set (bytes of sorted hashes) of the wanted (doc_id, node) rows, made again from their texts."""
+    """node, set (bytes of sorted hashes), n and sketch of the wanted (doc_id, node) rows, made again from their texts."""
     def make(batches):
         for batch in batches:
             nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices([len(t) for t in texts]):
-                kept = [(n, tokens.astype("<u8").tobytes()) for n, tokens in zip(nodes[a:b], map(shingles, texts[a:b])) if set_digest(tokens) == n]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], ["node", "set"])
+                kept = [(n, tokens) for n, tokens in zip(nodes[a:b], map(shingles, texts[a:b])) if set_digest(tokens) == n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n for n, _ in kept], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, s in kept], pa.binary()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array([sketch(s) for _, s in kept], pa.binary())],
+                    ["node", "set", "n", "sketch"])
 
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
     joined = texts.join(_small(wanted, 64), F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    return cut(joined.mapInArrow(make, "node long, set binary").dropDuplicates(["node"]), "join-sets")
+    return cut(joined.mapInArrow(make, "node long, set binary, n long, sketch binary").dropDuplicates(["node"]), "join-sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,42 +295,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs (hub, node) that link, as (a, b). A pair is checked once, whichever of it is the hub."""
+    once = pairs.groupBy(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).agg(F.min("hub").alias("hub"))
+    once = cut(once.select("hub", F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")), f"{name}-pairs")
+    own, hubs = sets.select("node", F.col("set").alias("own")), sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set"))
+    checked = once.join(own, "node").join(hubs, "hub").select("hub", "node", "hub_set", "own").mapInArrow(_check, "hub long, node long")
+    return cut(checked.select(F.col("hub").alias("a"), F.col("node").alias("b")), f"{name}-links")
+
+
 def link_components(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """node and label of the nodes that have a link, of the scanned rows; None if there is none.
 
-    A bucket is the nodes of one signature. In each round every bucket of which not all are known to be in one component takes its
-    hubs (the nodes with most shared signatures: one, then eight, then 64 ...) and checks them against its other nodes, those
-    of the hub's own component left out. A hub that was checked leaves its bucket. So a bucket of thousands of near copies costs about
-    one check a node, no pair between different components is left out, and none is checked that the components make needless."""
+    A bucket is the nodes of one signature. First each bucket's hub, the node with the most shared signatures, is checked against the bucket's
+    other nodes: near copies of one text link to it, so a bucket of thousands of them costs one check a node. Then the buckets whose nodes
+    are not all in one component are compared by blocks of nodes, on sizes and sketches alone; only pairs between different components
+    that these allow are checked. No such pair is left out, and pairs that the components make needless are not looked at."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flat = rows.where(F.size("signatures") > 0).select(F.explode("signatures").alias("sig"), "node")
     buckets = cut(flat.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "buckets")
-    degrees = buckets.groupBy("node").agg(F.count("*").alias("degree"))
-    buckets = cut(buckets.join(degrees, "node"), "bucket-degrees")
     if buckets.isEmpty():
         return None
-    first = rows.select("node", "doc_id").join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    degrees = cut(buckets.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    first = rows.select("node", "doc_id").join(degrees, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = _sets(docs, cut(first, "join-wanted"))
-    labels, edges, hubs_at_once = None, None, 1
-    while True:
-        known = buckets.withColumn("label", F.col("node")) if labels is None else (
-            buckets.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        mixed_ = known.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("sig")
-        buckets = cut(known.join(mixed_, "sig", "left_semi"), "buckets-open")
-        if buckets.isEmpty():
-            return labels
-        place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("degree"), "node"))
-        hubs = cut(buckets.withColumn("_at", place).where(F.col("_at") <= hubs_at_once).select("sig", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
-        pairs = buckets.join(hubs, "sig").where("label != hub_label").select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y"), "hub").distinct()
-        # The node that is a hub more often carries the tree.
-        pairs = cut(pairs.groupBy("x", "y").agg(F.min("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")), "pairs")
-        with_sets = pairs.join(sets.withColumnRenamed("set", "own"), "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set")), "hub")
-        links = cut(with_sets.select("hub", "node", "hub_set", "own").mapInArrow(_check, "hub long, node long"), "links").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        edges = links if edges is None else cut(edges.unionByName(links), "links-all")
-        if not links.isEmpty():
-            labels = components(edges)
-        buckets = buckets.join(hubs.select("sig", F.col("hub").alias("node")), ["sig", "node"], "left_anti")
-        hubs_at_once *= 8
+    ordered = buckets.join(degrees, "node").repartition(parts, "sig").sortWithinPartitions("sig", F.desc("degree"), "node").select("sig", "node")
+    edges = _links(ordered.mapInArrow(_starred, "hub long, node long"), sets, "hub")
+    labels = None if edges.isEmpty() else components(edges)
+
+    known = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = known.repartition(parts, "sig")
+    several = known.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("size")).where("_a != _b").select("sig", "size")
+    # A hub has been checked against its whole bucket, so a bucket of two is done.
+    open_ = cut(known.join(several.where("size > 2"), "sig"), "buckets-open")
+    if open_.isEmpty():
+        return labels
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("label", "node")) - 1
+    block = open_.withColumn("block", F.floor(place / BLOCK).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))))
+    units = block.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label").join(sets.select("node", "n", "sketch"), "node")
+    units = units.repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high", "block", "node").select("sig", "low", "high", "block", "node", "label", "n", "sketch")
+    more = _links(units.mapInArrow(_apart, "hub long, node long").distinct(), sets, "block")
+    if more.isEmpty():
+        return labels
+    return components(cut(edges.unionByName(more), "links-all"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
