@@ -62,24 +62,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
         first = F.lit(True)
         for s in range(SEGMENTS):
             first = first & (apart[s] >= radius) & ((F.col("s") <= s) | (apart[s] > radius))
-        met = probes.join(index, ["s", "v"]).where(first).select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), F.explode("ids").alias("id"))
+        # Sorted on both sides: a hash table of either on the driver would grow with the rows.
+        met = probes.join(index.hint("merge"), ["s", "v"]).where(first).select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), F.explode("ids").alias("id"))
         pool = met if best is None else met.unionByName(best)
         ranked = pool.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("n") <= most).drop("n")
         ranked = cut(ranked, "hamming-round")
         reach = SEGMENTS * (radius + 1) - 1
         state = ranked.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        proven = state.where((F.col("n") >= enough) & ((F.col("far") <= reach)))
-        done.append(ranked.join(proven.select("q"), "q", "left_semi"))
-        active = cut(active.join(proven.select("q"), "q", "left_anti"), "hamming-active")
+        proven = state.where((F.col("n") >= enough) & (F.col("far") <= reach)).select("q").hint("merge")
+        done.append(ranked.join(proven, "q", "left_semi"))
+        active = cut(active.join(proven, "q", "left_anti"), "hamming-active")
         if active.isEmpty():
             break
-        best = ranked.join(proven.select("q"), "q", "left_anti")
+        best = ranked.join(proven, "q", "left_anti")
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
     lists = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near"))
     own = F.filter("near", lambda x: x["id"] != F.col("query_id"))
     return (
-        asked.join(lists, "q").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("pos", "hit"))
+        asked.join(lists.hint("merge"), "q").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("pos", "hit"))
         .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("neighbour_id"), F.col("hit.distance").cast("int").alias("distance"))
     )
