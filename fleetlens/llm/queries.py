@@ -93,10 +93,10 @@ fitting AS (
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fitting f ON f.n = 1 AND f.page_id = p.page_id AND f.host = p.host AND f.path = p.path""",
     "op10_hamming_topk": """
-WITH codes AS (SELECT vec_id, list_transform(embedding, x -> x >= 0) AS bits FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: x >= 0) AS bits FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
 pairs AS (
   SELECT q.vec_id AS query_id, d.vec_id AS neighbour_id,
-         CAST(len(list_filter(list_zip(q.bits, d.bits), p -> p[1] <> p[2])) AS INTEGER) AS distance
+         CAST(len(list_filter(list_zip(q.bits, d.bits), lambda p: p[1] <> p[2])) AS INTEGER) AS distance
   FROM codes q JOIN codes d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS n FROM pairs)
 SELECT query_id, CAST(n AS INTEGER) AS rank, neighbour_id, distance FROM ranked WHERE n <= 10""",

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 from collections.abc import Iterable
-from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +12,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetlens.session import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,7 +51,8 @@ class DigestFiles:
 
 
 def hand_out(spark, rules: Iterable[Rule]) -> tuple[DigestFiles, list[str], list[int]]:
-    """Writes the list sorted by digest and gives it to the executors. A rule listed twice counts once, the first time."""
+    """Writes the list sorted by digest to the shared folder and has Spark give it to the executors. A rule listed twice
+    counts once, the first time."""
     first: dict[tuple[str, str], str] = {}
     for r in rules:
         first.setdefault((r.host, r.path), r.verdict)
@@ -63,12 +65,18 @@ def hand_out(spark, rules: Iterable[Rule]) -> tuple[DigestFiles, list[str], list
         "strings": np.frombuffer(b"".join(raw) or b"\0", np.uint8),
     }
     tag = "rules-" + xxhash.xxh64_hexdigest(b"\0".join(a.tobytes() for a in arrays.values()))
-    folder = Path(tempfile.mkdtemp(prefix="fleetlens-rules-"))
+    context = spark.sparkContext
+    known = {f.rsplit("/", 1)[-1] for f in context.listFiles}
+    folder = shared_dir(spark, tag)
     for part, array in arrays.items():
-        name = f"{tag}-{part}.npy"
-        np.save(folder / name, array)
-        if name not in {Path(f).name for f in spark.sparkContext.listFiles}:
-            spark.sparkContext.addFile(str(folder / name))
+        if (name := f"{tag}-{part}.npy") not in known:
+            content = io.BytesIO()
+            np.save(content, array)
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+            out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+            out.write(content.getvalue())
+            out.close()
+            context.addFile(f"{folder}/{name}")
     return DigestFiles(tag), verdicts, sorted({len(p) for _, p in first})
 
 
