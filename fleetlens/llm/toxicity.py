@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.llm.frames import cut, slices
@@ -15,7 +16,7 @@ from fleetlens.llm.frames import cut, slices
 #: The classifier is fitted on so many labelled rows of each class at most, taken in order of a hash of their ids.
 EXAMPLES_PER_CLASS = 6_000
 #: Terms that tell the classes apart: at most so many, each with a log-likelihood ratio (G2) of at least so much.
-MOST_TERMS, LEAST_G2 = 2_048, 24.0
+MOST_TERMS, LEAST_G2 = 2_048, 20.0
 NEIGHBOURS, BLOCK = 32, 64
 #: Added to a distance before it divides a vote; and the vote of the class shares, as if one example stood at distance 1.
 NEAREST, PRIOR_VOTE = 0.05, 1 / 1.05
@@ -33,6 +34,12 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def print_of(found: list[str]) -> int:
+    """The least hash of a text's four-word runs: texts that share most of them mostly share it."""
+    runs = zip(found, found[1:], found[2:], found[3:]) if len(found) > 3 else [tuple(found)]
+    return min(xxhash.xxh3_64_intdigest(" ".join(r)) for r in runs) >> 1
+
+
 @dataclass
 class Index:
     """Examples with equal vectors are one row. Rows are ordered by their terms and cut into blocks; each block has its postings (a
@@ -204,16 +211,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     chosen = F.broadcast(cut(chosen[0].unionByName(chosen[1]), "toxic-chosen"))  # EXAMPLES_PER_CLASS rows of two numbers for each class
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("print long, terms array<string>")
     def distinct(column: pa.Array) -> pa.Array:
-        return pa.array([sorted(set(words(t))) for t in column.to_pylist()], pa.list_(pa.string()))
+        found = [words(t) for t in column.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([print_of(w) for w in found], pa.int64()), pa.array([sorted(set(w)) for w in found], pa.list_(pa.string()))], ["print", "terms"])
 
     texts = cut(texts, "toxic-texts")
-    sums = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sums.get(1, 0), sums.get(0, 0)
-    if not n1 or not n0:
+    taken = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(taken) < 2:
         return build([], 0, [], {}, {0: 1.0, 1: 1.0})
-    per = texts.select("toxic", F.explode(distinct("text")).alias("term")).groupBy("term").agg(F.sum("toxic").alias("k1"), F.count("*").alias("k")).where("k >= 3")
+    # Copies and most near copies of a text have one print, and count once.
+    prints = cut(texts.select("toxic", distinct("text").alias("_d")).select("toxic", "_d.*"), "toxic-prints")
+    sums = {r["toxic"]: r["n"] for r in prints.groupBy("toxic").agg(F.count_distinct("print").alias("n")).collect()}
+    n1, n0 = sums[1], sums[0]
+    per = prints.select("toxic", "print", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.sum("toxic").alias("k1"), F.count("*").alias("k")).where("k >= 3")
     k1, k0 = F.col("k1").cast("double"), (F.col("k") - F.col("k1")).cast("double")
 
     def part(k, n, p):
@@ -230,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         return pa.array([[w for w in words(t) if w in vocabulary] for t in column.to_pylist()], pa.list_(pa.string()))
 
     rows = texts.select("doc_id", "toxic", kept("text").alias("found")).orderBy("doc_id").collect()  # the bounded sample
-    return build([(r["doc_id"], r["toxic"], r["found"]) for r in rows], n_docs, terms, df, {0: totals[0] / n0, 1: totals[1] / n1})
+    return build([(r["doc_id"], r["toxic"], r["found"]) for r in rows], n_docs, terms, df, {y: totals[y] / taken[y] for y in taken})
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[dict[str, int], int]:
