@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.llm.frames import slices
 
-#: Tokens of a window; tokens of an item that have to be found before it counts (the whole item, if it has fewer).
+#: Tokens of a window; tokens of an item that have to be found before it counts: half of the item, but not
+#: fewer than a window nor more than ENOUGH.
 WINDOW, ENOUGH = 8, 13
 #: Items with fewer tokens are too short to tell a copy from chance.
 LEAST = 4
@@ -36,7 +37,7 @@ class _Words(dict):
     """A token's 64-bit value, its kind in the last two bits; forgets all at a fixed number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         if word[0].isdigit():
             value = _NUMBER
@@ -134,13 +135,17 @@ class Index:
         for (k, shift, named), places in met.items():
             for run in _runs(sorted(places)):
                 changed = self._slots(k, doc, shift, run, named)
-                if changed is not None:
+                if changed is None:  # what has no slots in it is the item's own wording all the same
+                    kinds = self.items[k][1].named_kind if named else self.items[k][1].kind
+                    run = [p for part in _runs([p for p in run if not kinds[p]]) if len(part) >= WINDOW for p in part]
+                    changed = 0
+                if run:
                     covered.setdefault(k, set()).update(run)
                     differ[k] = min(changed, differ.get(k, changed))
         out = []
         for k, places in sorted(covered.items()):
             size = len(self.items[k][1])
-            if len(places) >= min(ENOUGH, size):
+            if len(places) >= min(size, max(WINDOW, min(ENOUGH, -(-size // 2)))):
                 out.append({"item_id": self.items[k][0], "tokens": len(places), "share": round(len(places) / size, 6), "changed": differ[k]})
         return out
 
@@ -205,7 +210,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Texts become tokens: words in lower case, with typed placeholders for numbers, for units after a number and, in a second form, for names. Windows of
     eight tokens, at least half of them words, are joined by hash; windows on one alignment form runs, and a run counts only if its slots map one to
-    one. An item is held if 13 of its tokens are covered (all, if it has fewer; items under four tokens are left out).
+    one (else only its stretches of eight words or more without a slot). An item is held if half of its tokens are covered, at least eight (all, if it has
+    fewer) and at most 13; items under four tokens are left out.
 
     A null or empty text holds nothing. A null doc_id stays null; repeated rows give repeated results, repeated items one result each item_id and text.
     An empty documents or benchmark table gives an empty result. Other columns are not read."""

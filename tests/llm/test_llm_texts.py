@@ -269,6 +269,9 @@ def test_benchmark_items_in_documents(spark):
     for r in decontaminate.contaminated(documents(spark, texts), items).collect():
         got.setdefault(r["doc_id"], []).append((r["item_id"], r["changed"]))
     assert set(got) == {0, 1, 6, 7, 8, 10, 11, 12}
+    long_ = ITEM + " " + " ".join(f"word{chr(97 + i)}" for i in range(20))
+    found = decontaminate.contaminated(documents(spark, [long_.replace("12", "5")]), bench(spark, [(1, long_)])).collect()
+    assert [(r["item_id"], r["tokens"] < 40) for r in found] == [(1, True)]
     assert got[0] == [(1, 0)] and got[1][0][0] == 1 and got[1][0][1] > 0 and got[12] == [(2, 0)]
     kept = {r["doc_id"] for r in decontaminate.keep_clean(documents(spark, texts), items).collect()}
     assert kept == set(range(len(texts))) - set(got)
