@@ -5,8 +5,8 @@ once per Python worker, so a model is loaded once and not per batch."""
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,12 +34,12 @@ def encoder(factory: Callable[[], Callable[[list[str]], np.ndarray]], batch: int
 
 
 def hashing_model(size: int = 64):
-    """The default model: words hashed into `size` slots, vectors of length one."""
+    """The default model: words hashed into `size` slots (the first eight hex digits of their MD5), vectors of length one."""
     def model(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), size))
         for row, text in zip(out, texts):
             for word in WORD.findall(text.lower()):
-                row[zlib.crc32(word.encode()) % size] += 1
+                row[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % size] += 1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

@@ -147,11 +147,15 @@ def pair_scorer(t):
     return search.rerank(search.candidates(q, c), score, queries=q, chunks=c).select("query_id", "chunk_id", "final_rank", "rerank_score")
 
 
-@query("ud03_encoder")
+@query("ud03_encoder", r"""
+    WITH w AS (SELECT page_id, unnest(regexp_extract_all(lower(html), '[\p{L}\p{N}_]+')) AS word FROM pages),
+    s AS (SELECT page_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % 64)::INT AS slot, count(*) AS n FROM w GROUP BY 1, 2)
+    SELECT page_id, slot, round((n / sqrt(sum(n * n) OVER (PARTITION BY page_id)))::FLOAT::DOUBLE, 4) AS value FROM s""")
 def encoder(t):
-    """Every page text encoded by the default model."""
+    """Every page text encoded by the default model; the slots that are not empty."""
     encode = plugins.encoder(plugins.hashing_model)
-    return t.pages.select("page_id", encode(F.col("html")).alias("embedding"))
+    slots = t.pages.select("page_id", F.posexplode(encode(F.col("html"))).alias("slot", "value")).where("value > 0")
+    return slots.select("page_id", "slot", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("dp15_search_status", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED, STATUS) + "SELECT * FROM status")
