@@ -109,7 +109,7 @@ def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     wanted = asked.select("domain", "word").union(queries.select("domain", F.lit("").alias("word"))).distinct()
     words = chunks.select("chunk_id", "domain", F.explode(F.array(text.tokens(F.col("content")))).alias("_words"))
     rows = words.select("chunk_id", "domain", F.size("_words").alias("_len"), F.explode(F.array_append("_words", F.lit(""))).alias("word"))
-    postings = session.cut(rows.join(wanted, ["domain", "word"], "left_semi").groupBy("domain", "word", "chunk_id").agg(
+    postings = session.cut(rows.join(skew.small(wanted, 500_000), ["domain", "word"], "left_semi").groupBy("domain", "word", "chunk_id").agg(
         F.count(F.lit(1)).alias("_tf"), F.max("_len").alias("_len")), "postings")
     sizes = postings.where("word = ''").groupBy("domain").agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_mean"))
     postings = postings.where("word <> ''")
