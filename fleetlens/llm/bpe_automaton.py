@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.llm.frames import handed_out, slices
+from fleetlens.llm.frames import handed_out, slices, text_slices
 
 #: Pieces of text whose ids a worker keeps, and their bytes.
-KEPT_PIECES, KEPT_BYTES = 800_000, 24 << 20
+KEPT_PIECES, KEPT_BYTES = 200_000, 12 << 20
 #: Words up to this length are encoded side by side, longer ones one by one.
 SIDE_BY_SIDE = 48
 
@@ -350,9 +350,7 @@ class Codec:
         rows = [self.added_pattern.split(t) if self.added_pattern and "<" in t else [t] for t in texts]
         cut = [[self.added[s] if i % 2 else self.pieces(s) for i, s in enumerate(row)] for row in rows]
         if sum(map(len, self.known)) > KEPT_PIECES or self.kept > KEPT_BYTES:
-            self.known[0].clear()
-            self.known[1].clear()
-            self.kept = 0
+            self.forget()
         firsts = {s[0] for row in cut for s in row if isinstance(s, list)}
         others: set[str] = set()
         for row in cut:
@@ -373,6 +371,11 @@ class Codec:
             out.append(b"".join(got))
         return out
 
+    def forget(self) -> None:
+        self.known[0].clear()
+        self.known[1].clear()
+        self.kept = 0
+
     def decode(self, ids: bytes) -> str:
         """The arc labels one after another; bytes that are no UTF-8 become the replacement character."""
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -405,7 +408,6 @@ def _per_text(kind: str, work: Callable, docs: DataFrame, vocabulary: str):
 _ARROW = {
     "array<int>": pa.list_(pa.int32()),
     "string": pa.string(),
-    "ids array<int>, decoded_sha256 string": pa.struct([("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]),
     "n_tokens long, ids_sha256 string, decoded_sha256 string": pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]),
 }
 
@@ -424,13 +426,24 @@ def decode_column(docs: DataFrame, vocabulary: str, ids: str = "ids"):
 
 def encoded(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decoded_sha256 (of what the ids spell) of every whole text; nulls, long texts
-    and repeated rows as in `round_trip`."""
-    def work(own: Codec, part: pa.Array) -> list[dict]:
-        return [{"ids": np.frombuffer(ids, "<i4"), "decoded_sha256": hashlib.sha256(own.decode(ids).encode()).hexdigest()} for ids in own.encode(part.to_pylist())]
-
-    both = _per_text("ids array<int>, decoded_sha256 string", work, docs, vocabulary)
-    rows = docs.select(F.col(key).alias("doc_id"), both(F.coalesce(F.col(text), F.lit(""))).alias("_it"))
-    return rows.select("doc_id", F.size("_it.ids").cast("long").alias("n_tokens"), "_it.*")
+    and repeated rows as in `round_trip`. Rows go back a slice at a time, so that a batch's ids are never all in memory."""
+    name, content = handed_out(docs.sparkSession, vocabulary)
+
+    def work(batches):
+        for batch in batches:
+            own = codec(name, content)
+            for a, b, texts in text_slices(batch.column(1)):
+                raw = own.encode(texts)
+                ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                digests = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in raw]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(ends), pa.int64()), ids, pa.array(digests, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        # A worker lives on for other stages; what it keeps is for this one.
+        codec(name, content).forget()
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(work, f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:

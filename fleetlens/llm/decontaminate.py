@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.frames import slices
+from fleetlens.llm.frames import text_slices
 
 #: Tokens of a window; tokens of an item that have to be found before it counts: half of the item, but not
 #: fewer than a window nor more than ENOUGH.
@@ -37,7 +37,7 @@ class _Words(dict):
     """A token's 64-bit value, its kind in the last two bits; forgets all at a fixed number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         if word[0].isdigit():
             value = _NUMBER
@@ -196,9 +196,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
         if tag not in _indexes:
             _indexes[tag] = Index(shared.value)
         found: list[list[dict]] = []
-        values = texts.to_pylist()
-        for a, b in slices([len(t) for t in values]):
-            found += [_indexes[tag].matches(t) for t in values[a:b]]
+        for _, _, values in text_slices(texts):
+            found += [_indexes[tag].matches(t) for t in values]
         return pa.array(found, _ARROW)
 
     return find(F.coalesce(F.col(text), F.lit("")))

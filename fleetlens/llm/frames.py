@@ -6,15 +6,16 @@ import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.session import configure, cut
 
-__all__ = ["SLICE_BYTES", "cut", "handed_out", "slices", "table"]
+__all__ = ["SLICE_BYTES", "cut", "handed_out", "slices", "table", "text_slices"]
 
 #: A worker handles about so many bytes of text at a time, however many rows a batch has.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,12 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def text_slices(column, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """The texts of a batch's column, a bounded slice at a time: only that slice is ever Python strings."""
+    for a, b in slices(pc.binary_length(column).to_pylist(), most):
+        yield a, b, column[a:b].to_pylist()
+
+
 def handed_out(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
     """A vocabulary file's content for every worker, and a key to keep what is built of it by.
     Its size is that of the vocabulary, whatever the input."""

@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.frames import cut, slices
+from fleetlens.llm.frames import cut, text_slices
 
 LANGUAGES = ("en", "de", "fr", "es")
+#: Characters taken at a time: each trigram holds some 50 bytes while it is counted.
+SLICE = 256 << 10
 #: Byte trigrams are counted in so many buckets.
 BUCKETS = 1 << 15
 #: Neighbouring trigrams overlap, so a text weighs less than its trigrams one by one; and no text weighs more than so many of them.
@@ -24,15 +26,15 @@ def _folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [(" " + t.lower() + " ").encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     letter = _LETTER[data]
-    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    owner = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) for r in raw])
     keep = letter.astype(bool)
     keep[1:] |= letter[:-1].astype(bool)  # one border after each word
     data, owner = np.where(letter, data, 32)[keep], owner[keep]
     if len(data) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     code = (data[:-2].astype(np.uint32) << 16) | (data[1:-1].astype(np.uint32) << 8) | data[2:]
     same = owner[:-2] == owner[2:]
-    bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32)
     return bucket[same], owner[:-2][same]
 
 
@@ -62,9 +64,9 @@ def train(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray
     def count(batches):
         counts = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
-            codes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(t) for t in texts]):
-                bucket, owner = _folded(texts[a:b])
+            codes = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1), SLICE):
+                bucket, owner = _folded(texts)
                 language = np.array([languages.index(c) for c in codes[a:b]])[owner]
                 counts += np.bincount(language * BUCKETS + bucket, minlength=counts.size).reshape(counts.shape)
         for i, row in enumerate(counts):
@@ -87,9 +89,8 @@ def text_evidence(rows: DataFrame, model: np.ndarray, to: str = "_text") -> Data
         table = shared.value
         n = table.shape[1]
         found = []
-        values = texts.to_pylist()
-        for a, b in slices([len(t) for t in values]):
-            bucket, owner = _folded(values[a:b])
+        for a, b, values in text_slices(texts, SLICE):
+            bucket, owner = _folded(values)
             hits = np.bincount(owner, minlength=b - a)
             sums = np.stack([np.bincount(owner, table[bucket, i], minlength=b - a) for i in range(n)], 1)
             weight = TEXT_WEIGHT * np.minimum(hits, MOST_TRIGRAMS) / np.maximum(hits, 1)
@@ -132,7 +133,8 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, accept: fl
     n = len(languages)
     scored = text_evidence(rows, model)
     scored = scored.withColumn("_letters", F.coalesce(F.col("text"), F.lit("")).rlike("\\p{L}"))
-    seen = scored.select("declared", "suffix", "host", F.when(F.col("_letters"), _best(F.col("_text"), languages)).alias("_first")).where("_first is not null")
+    # The filter is on the letters, not on what the Arrow function returns: that would run it twice.
+    seen = scored.where("_letters").select("declared", "suffix", "host", _best(F.col("_text"), languages).alias("_first"))
     seen = cut(seen.groupBy("declared", "suffix", "host", "_first").agg(F.count("*").alias("_n")), "language-seen")
     weighted = seen.select("declared", "suffix", "host", *[F.when(F.col("_first") == c, F.col("_n")).otherwise(0).alias(f"l{i}") for i, c in enumerate(languages)], "_n")
 

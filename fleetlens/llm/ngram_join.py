@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window
 
-from fleetlens.llm.frames import cut, slices
+from fleetlens.llm.frames import cut, text_slices
 
 #: Words of an n-gram, and the similarity of a link in hundredths.
 WORDS, SIMILAR = 4, 85
@@ -37,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -120,10 +120,9 @@ def _scan(batches):
     """Per row the key, the set's size, its digest, and its signatures where the task has not met the set before."""
     seen: set[int] = set()
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in slices([len(t) for t in texts]):
+        for a, b, texts in text_slices(batch.column(1)):
             sizes, digests, found = [], [], []
-            for t in texts[a:b]:
+            for t in texts:
                 tokens = shingles(t)
                 digest = set_digest(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
@@ -133,6 +132,7 @@ def _scan(batches):
             ends = np.cumsum([0, *map(len, found)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), lists], ["doc_id", "n", "node", "signatures"])
+    _words.clear()  # a worker lives on for other stages
 
 
 def _shared(batches):
@@ -266,9 +266,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, set (bytes of sorted hashes), n and sketch of the wanted (doc_id, node) rows, made again from their texts."""
     def make(batches):
         for batch in batches:
-            nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(t) for t in texts]):
-                kept = [(n, tokens) for n, tokens in zip(nodes[a:b], map(shingles, texts[a:b])) if set_digest(tokens) == n]
+            nodes = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                kept = [(n, tokens) for n, tokens in zip(nodes[a:b], map(shingles, texts)) if set_digest(tokens) == n]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n for n, _ in kept], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, s in kept], pa.binary()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array([sketch(s) for _, s in kept], pa.binary())],
                     ["node", "set", "n", "sketch"])
@@ -377,9 +377,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("long")
     def digest(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
-            tokens = shingles(t)
-            out.append(set_digest(tokens) if len(tokens) else None)
+        for _, _, values in text_slices(texts):
+            sets = map(shingles, values)
+            out += [set_digest(tokens) if len(tokens) else None for tokens in sets]
         return pa.array(out, pa.int64())
 
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), digest(F.coalesce("text", F.lit(""))).alias("_node"))

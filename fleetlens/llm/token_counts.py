@@ -7,14 +7,13 @@ import os
 from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.llm.frames import handed_out, slices
+from fleetlens.llm.frames import handed_out, slices, text_slices
 
 #: Counts of words kept by a worker, and the bytes of the words.
-KEPT_WORDS, KEPT_BYTES = 400_000, 32 << 20
+KEPT_WORDS, KEPT_BYTES = 300_000, 16 << 20
 
 _counters: dict[str, Callable[[list[str]], list[int]]] = {}
 
@@ -100,9 +99,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", key: str
     def n_tokens(texts: pa.Array) -> pa.Array:
         count = counter(name, content, kind)
         found: list[int] = []
-        sizes = pc.binary_length(texts).to_pylist()
-        for a, b in slices(sizes):
-            found += count(texts[a:b].to_pylist())
+        for _, _, values in text_slices(texts):
+            found += count(values)
         return pa.array(found, pa.int64())
 
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.llm.frames import cut, slices
+from fleetlens.llm.frames import cut, text_slices
 
 #: The classifier is fitted on so many labelled rows of each class at most, taken in order of a hash of their ids.
 EXAMPLES_PER_CLASS = 6_000
@@ -277,9 +277,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.arrow_udf("score double, similarity double, evidence array<long>")
     def scored(texts: pa.Array) -> pa.Array:
         found: list[tuple[float, float, list[int]]] = []
-        values = texts.to_pylist()
-        for a, b in slices([len(t) for t in values]):
-            found += shared.value.scores(values[a:b])
+        for _, _, values in text_slices(texts):
+            found += shared.value.scores(values)
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["score", "similarity", "evidence"])
 
