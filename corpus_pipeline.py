@@ -13,6 +13,8 @@ from fleetlens.llm import bpe_automaton, decontaminate, language_id, ngram_join,
 from fleetlens.llm.frames import cut, table  # noqa: E402
 from fleetlens.session import configure  # noqa: E402
 
+#: Words of an n-gram, and the similarity in hundredths from which the pipeline takes two documents for one.
+DUPLICATE_WORDS, DUPLICATE_SIMILAR = 5, 80
 #: SQL can't express the trained models of the first stage, the joins of sets or the encoding.
 ORACLE_SQL = None
 
@@ -24,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of copies and near copies: the one with the smallest doc_id."""
+    """Keeps one document of each group of copies and near copies (0.8 of their 5-word n-grams): the one with the smallest doc_id."""
     configure(spark)
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, DUPLICATE_WORDS, DUPLICATE_SIMILAR)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near duplicates: an exact join of word 4-gram sets by Jaccard similarity, and the groups that the links form.
+"""Near duplicates: an exact join of word n-gram sets by Jaccard similarity, and the groups that the links form.
 
 Sets are ordered by a hash of their n-grams, the same order for all. Candidates come from signatures that two
 similar sets must share: hashes are cut into more ranges than two such sets can differ in, so some ranges are equal in both. The candidates
@@ -7,6 +7,7 @@ as soon as what remains of either side can't reach the overlap that a link needs
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from fleetlens.llm.frames import cut, text_slices
 
-#: Words of an n-gram, and the similarity of a link in hundredths.
+#: Words of an n-gram, and the similarity of a link in hundredths, of op8; other callers may pass their own.
 WORDS, SIMILAR = 4, 85
 #: Two sets may differ in so few n-grams that pairs of ranges are signatures.
 PAIRED = 4
@@ -46,13 +47,13 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The text's set, as sorted 64-bit hashes: words are runs of anything but ASCII white space, A-Z lower-cased."""
-    words = text.encode("utf-8", "replace").lower().split()  # of bytes: A-Z only, ASCII white space only
-    if not words:
+    found = text.encode("utf-8", "replace").lower().split()  # of bytes: A-Z only, ASCII white space only
+    if not found:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(WORDS, len(w))
+    w = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    width = min(words, len(w))
     total = np.full(len(w) - width + 1, width, np.uint64)
     for i in range(width):
         total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + w[i:len(w) - width + 1 + i])
@@ -64,42 +65,40 @@ def set_digest(tokens: np.ndarray) -> int:
     return int(mixed(np.array([mixed(tokens ^ _M2).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def needed(a: int, b: int) -> int:
+def needed(a: int, b: int, similar: int = SIMILAR) -> int:
     """The least overlap with which sets of these sizes link."""
-    return -(-SIMILAR * (a + b) // (100 + SIMILAR))
+    return -(-similar * (a + b) // (100 + similar))
 
 
-def _classes() -> list[tuple[int, int]]:
+@cache
+def classes(similar: int = SIMILAR) -> tuple[np.ndarray, list[int]]:
     """Size classes: the first size of each, and how many n-grams can be in only one of two linked
     sets of which the smaller is of the class. The larger is of the class or the next."""
     firsts = [1, 2]
     while firsts[-1] < 1 << 31:
-        firsts.append(max(firsts[-1] + 1, (firsts[-1] - 1) * 100 // SIMILAR + 1))
-    out = []
-    for first, after in zip(firsts, firsts[1:]):
+        firsts.append(max(firsts[-1] + 1, (firsts[-1] - 1) * 100 // similar + 1))
+    apart = []
+    for after in firsts[1:]:
         small = after - 1
-        large = small * 100 // SIMILAR
-        out.append((first, (small + large) * (100 - SIMILAR) // (100 + SIMILAR)))
-    return out
-
-
-CLASSES = _classes()
-_FIRSTS = np.array([c[0] for c in CLASSES])
+        large = small * 100 // similar
+        apart.append((small + large) * (100 - similar) // (100 + similar))
+    return np.array(firsts[:-1]), apart
 
 
-def signatures(tokens: np.ndarray) -> np.ndarray:
+def signatures(tokens: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
     """Signatures of which any two linked, different sets share one.
 
-    With a smaller set of class k, two linked sets differ in d = CLASSES[k] n-grams at most. Hashes are cut into m > d ranges, at
+    With a smaller set of class k, two linked sets differ in d = classes()[1][k] n-grams at most. Hashes are cut into m > d ranges, at
     least m - d of which hold the same in both. Ordered by how much they hold, the first d + 1 ranges of
     either set then have one in common; where d is small, there are d + 2 ranges, and every two of them are a signature."""
     if not len(tokens):
         return np.empty(0, np.int64)
-    k = int(np.searchsorted(_FIRSTS, len(tokens), "right")) - 1
+    firsts, apart = classes(similar)
+    k = int(np.searchsorted(firsts, len(tokens), "right")) - 1
     content = mixed(tokens ^ _M1)
     out = []
     for c in (k - 1, k):
-        if c < 0 or not (d := CLASSES[c][1]):
+        if c < 0 or not (d := apart[c]):
             continue
         m = d + 2 if d <= PAIRED else d + 1 + -(-3 * d // 10)
         place = ((tokens >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
@@ -116,18 +115,18 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def _scan(batches):
+def _scan(batches, words: int, similar: int):
     """Per row the key, the set's size, its digest, and its signatures where the task has not met the set before."""
     seen: set[int] = set()
     for batch in batches:
         for a, b, texts in text_slices(batch.column(1)):
             sizes, digests, found = [], [], []
             for t in texts:
-                tokens = shingles(t)
+                tokens = shingles(t, words)
                 digest = set_digest(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
                 digests.append(digest)
-                found.append(signatures(tokens) if digest is not None and digest not in seen else np.empty(0, np.int64))
+                found.append(signatures(tokens, similar) if digest is not None and digest not in seen else np.empty(0, np.int64))
                 seen.add(digest)
             ends = np.cumsum([0, *map(len, found)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
@@ -159,18 +158,18 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sig[ready]), pa.array(node[ready])], ["sig", "node"])
 
 
-def linked(hub: np.ndarray, sets: list[np.ndarray]) -> list[bool]:
+def linked(hub: np.ndarray, sets: list[np.ndarray], similar: int = SIMILAR) -> list[bool]:
     """Which of the sets (sorted hashes) link to the hub's, by one walk through their prefix tree."""
     found = [False] * len(sets)
     before, overlap, depth = np.empty(0, np.uint64), np.zeros(1, np.int64), 0
     for i in sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()):
         s = sets[i]
-        if 100 * min(len(s), len(hub)) < SIMILAR * max(len(s), len(hub)):
+        if 100 * min(len(s), len(hub)) < similar * max(len(s), len(hub)):
             continue
         n = min(len(s), depth)
         other = np.nonzero(s[:n] != before[:n])[0]
         start = int(other[0]) if len(other) else n
-        least, so_far = needed(len(s), len(hub)), int(overlap[start])
+        least, so_far = needed(len(s), len(hub), similar), int(overlap[start])
         left = len(hub) - int(np.searchsorted(hub, s[start - 1], "right")) if start else len(hub)
         if so_far + min(len(s) - start, left) < least:
             before, depth = s, start
@@ -204,7 +203,7 @@ def _starred(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], ["hub", "node"])
 
 
-def _apart(batches):
+def _apart(batches, similar: int):
     """Of rows sorted by unit (signature and two blocks): the pairs of nodes of different components that
     sizes and sketches allow to link. A unit has two blocks of nodes at most."""
     def pairs(rows: pa.Table):
@@ -220,7 +219,7 @@ def _apart(batches):
                     continue
                 total = size[others] + size[i]
                 least = np.abs(counts[others] - counts[i]).sum(1)
-                near = others[least <= total * (100 - SIMILAR) // (100 + SIMILAR)]
+                near = others[least <= total * (100 - similar) // (100 + similar)]
                 yield np.full(len(near), node[i]), node[near]
 
     held = None
@@ -244,7 +243,7 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], ["hub", "node"])
 
 
-def _check(batches):
+def _check(batches, similar: int):
     """Rows (hub, node, hub_set, set) to the pairs that link; rows of one hub in a batch are one tree."""
     for batch in batches:
         hubs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -253,7 +252,7 @@ def _check(batches):
         order = np.argsort(hubs, kind="stable")
         cuts = np.nonzero(np.diff(hubs[order]))[0] + 1
         for rows in np.split(order, cuts) if len(order) else []:
-            out[rows] = linked(hub_sets[rows[0]], [sets[r] for r in rows])
+            out[rows] = linked(hub_sets[rows[0]], [sets[r] for r in rows], similar)
         yield pa.RecordBatch.from_arrays([pa.array(hubs[out]), pa.array(nodes[out])], ["hub", "node"])
 
 
@@ -262,13 +261,13 @@ def _small(rows: DataFrame, width: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() * width <= BROADCAST_BYTES else rows
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, set (bytes of sorted hashes), n and sketch of the wanted (doc_id, node) rows, made again from their texts."""
     def make(batches):
         for batch in batches:
             nodes = batch.column(0).to_pylist()
             for a, b, texts in text_slices(batch.column(1)):
-                kept = [(n, tokens) for n, tokens in zip(nodes[a:b], map(shingles, texts)) if set_digest(tokens) == n]
+                kept = [(n, tokens) for n, tokens in zip(nodes[a:b], (shingles(t, words) for t in texts)) if set_digest(tokens) == n]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n for n, _ in kept], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, s in kept], pa.binary()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array([sketch(s) for _, s in kept], pa.binary())],
                     ["node", "set", "n", "sketch"])
@@ -295,16 +294,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, name: str, similar: int) -> DataFrame:
     """The pairs (hub, node) that link, as (a, b). A pair is checked once, whichever of it is the hub."""
     once = pairs.groupBy(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).agg(F.min("hub").alias("hub"))
     once = cut(once.select("hub", F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")), f"{name}-pairs")
     own, hubs = sets.select("node", F.col("set").alias("own")), sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set"))
-    checked = once.join(own, "node").join(hubs, "hub").select("hub", "node", "hub_set", "own").mapInArrow(_check, "hub long, node long")
+    checked = once.join(own, "node").join(hubs, "hub").select("hub", "node", "hub_set", "own").mapInArrow(lambda batches: _check(batches, similar), "hub long, node long")
     return cut(checked.select(F.col("hub").alias("a"), F.col("node").alias("b")), f"{name}-links")
 
 
-def link_components(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+def link_components(docs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame | None:
     """node and label of the nodes that have a link, of the scanned rows; None if there is none.
 
     A bucket is the nodes of one signature. First each bucket's hub, the node with the most shared signatures, is checked against the bucket's
@@ -318,9 +317,9 @@ def link_components(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         return None
     degrees = cut(buckets.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
     first = rows.select("node", "doc_id").join(degrees, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = _sets(docs, cut(first, "join-wanted"))
+    sets = _sets(docs, cut(first, "join-wanted"), words)
     ordered = buckets.join(degrees, "node").repartition(parts, "sig").sortWithinPartitions("sig", F.desc("degree"), "node").select("sig", "node")
-    edges = _links(ordered.mapInArrow(_starred, "hub long, node long"), sets, "hub")
+    edges = _links(ordered.mapInArrow(_starred, "hub long, node long"), sets, "hub", similar)
     labels = None if edges.isEmpty() else components(edges)
 
     known = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -334,26 +333,26 @@ def link_components(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     block = open_.withColumn("block", F.floor(place / BLOCK).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))))
     units = block.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label").join(sets.select("node", "n", "sketch"), "node")
     units = units.repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high", "block", "node").select("sig", "low", "high", "block", "node", "label", "n", "sketch")
-    more = _links(units.mapInArrow(_apart, "hub long, node long").distinct(), sets, "block")
+    more = _links(units.mapInArrow(lambda batches: _apart(batches, similar), "hub long, node long").distinct(), sets, "block", similar)
     if more.isEmpty():
         return labels
     return components(cut(edges.unionByName(more), "links-all"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and node (the set's digest) of every row: the exact Jaccard join at 0.85 on sets of 4-word
-    n-grams, one row a document with the smallest doc_id that links reach.
+def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id and node (the set's digest) of every row: the exact Jaccard join at `similar` hundredths on sets of
+    n-grams of `words` words (0.85 and 4, unless told otherwise), one row a document with the smallest doc_id that links reach.
 
     Equal sets are one node from the start, so copies cost nothing further. Whole texts are read once for sizes, digests and signatures, and
     those of candidate nodes a second time. What is shuffled are signatures (about a third of the number of n-grams), and
     the sets of nodes that share one. N-grams and sets are told apart by 64-bit hashes.
 
-    A text with fewer than four words is one n-gram; a null or empty text, or one of white space, has no set and is its own component. A null doc_id
+    A text with fewer than `words` words is one n-gram; a null or empty text, or one of white space, has no set and is its own component. A null doc_id
     takes part, but names no component unless there is no other (then component_id is null). Repeated rows are copies. An empty table gives an
     empty result. Other columns are not read."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = cut(slim.mapInArrow(_scan, "doc_id long, n long, node long, signatures array<long>"), "join-rows")
-    labels = link_components(slim, rows)
+    rows = cut(slim.mapInArrow(lambda batches: _scan(batches, words, similar), "doc_id long, n long, node long, signatures array<long>"), "join-rows")
+    labels = link_components(slim, rows, words, similar)
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     if labels is None:
         named = own.where("copies > 1").select("node", F.col("least").alias("component"))
@@ -366,11 +365,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"), "node")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its own columns. Of repeated rows (same
+def keep_one(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """One document of each component of near_duplicates(), the one with the smallest doc_id, with its own columns. Of repeated rows (same
     doc_id, same set) any one stays; documents without words all stay, as does a null doc_id that is alone."""
     own = docs.columns
-    groups = cut(near_duplicates(docs), "join-groups")
+    groups = cut(near_duplicates(docs, words, similar), "join-groups")
     named = groups.where("node is not null").groupBy("doc_id", "node").agg(F.min("component_id").alias("component"), F.count("*").alias("times"))
     named = cut(named.select("doc_id", "node", F.col("doc_id").eqNullSafe(F.col("component")).alias("stays"), "times").where("not stays or times > 1"), "join-decided")
 
@@ -378,7 +377,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def digest(texts: pa.Array) -> pa.Array:
         out = []
         for _, _, values in text_slices(texts):
-            sets = map(shingles, values)
+            sets = (shingles(t, words) for t in values)
             out += [set_digest(tokens) if len(tokens) else None for tokens in sets]
         return pa.array(out, pa.int64())
 

@@ -138,6 +138,33 @@ def test_prefix_tree_counts_overlaps(seed):
     assert ngram_join.linked(np.array(hub, np.uint64), [np.array(s, np.uint64) for s in sets]) == want
 
 
+def test_stage_takes_edited_copies_for_one(spark):
+    rows = []
+    for n, places in ((100, (30, 60)), (200, (30, 70, 110, 150))):
+        words = [f"t{n}w{i}" for i in range(n)]
+        rows.append((n, " ".join(words)))
+        rows.append((n + 1, " ".join("new" + w if i in places else w for i, w in enumerate(words))))
+    docs = documents(spark, rows)
+    assert [x["doc_id"] for x in ngram_join.near_duplicates(docs).where("component_id = doc_id").orderBy("doc_id").collect()] == [100, 101, 200, 201]
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [100, 200]
+
+
+@pytest.mark.parametrize("words, similar", [(5, 80), (2, 60)])
+def test_join_is_exact_with_other_words_and_similarity(spark, words, similar):
+    rows = corpus(4)
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    label = {d: d for d in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = ngram_join.near_duplicates(documents(spark, rows), words, similar).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == {d: (len(sets[d]), label[d]) for d in sets}
+
+
 def test_shared_signatures_across_batches():
     import pyarrow as pa
 
