@@ -15,7 +15,7 @@ from fleetlens.llm.frames import text_slices
 #: Tokens of a window; tokens of an item that have to be found before it counts: half of the item, but not
 #: fewer than a window nor more than ENOUGH.
 WINDOW, ENOUGH = 8, 13
-#: Items with fewer tokens are too short to tell a copy from chance.
+#: Items with fewer tokens have to stand in the text with their own values.
 LEAST = 4
 #: An index above this is not handed to the workers.
 MOST_BYTES = 256 << 20
@@ -79,6 +79,15 @@ class Canonical:
         name = (kind == _NAME) & ~starts & ~unit
         self.named_kind = np.where(name, _NAME, self.kind).astype(np.int8)
         self.named = np.where(name, np.uint64(_SLOT[_NAME]), self.plain) if name.any() else self.plain
+        self._values, self._numbers = values[token], np.nonzero(number)[0]
+
+    @property
+    def exact(self) -> np.ndarray:
+        """A third form, without placeholders."""
+        out = self._values & ~np.uint64(3)
+        for i in self._numbers.tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.surface(i).encode())
+        return out
 
     def __len__(self) -> int:
         return len(self.plain)
@@ -99,29 +108,46 @@ def windows(values: np.ndarray, width: int = WINDOW) -> np.ndarray:
 
 
 class Index:
-    """Windows of all items by hash; short items are one window of their own width."""
+    """Windows of all items by hash; short items are one window of their own width. Windows with more slots than words, and
+    items under LEAST tokens, are found by their own values only."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [(i, Canonical(t)) for i, t in items]
-        rows: dict[int, list[tuple[int, int, int]]] = {}
+        rows: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
         for k, (_, c) in enumerate(self.items):
             width = min(WINDOW, len(c))
-            if width < LEAST:
+            if not width:
                 continue
+            typed = lambda kinds: (np.convolve(kinds == 0, np.ones(width, int), "valid") * 2 >= width) & (width >= LEAST)
             for values, kinds in {id(c.plain): (c.plain, c.kind), id(c.named): (c.named, c.named_kind)}.values():
-                literal = np.convolve(kinds == 0, np.ones(width, int), "valid") * 2 >= width
-                rows.setdefault(width, []).extend((int(h), k, p) for p, h in enumerate(windows(values, width)) if literal[p])
+                literal = typed(kinds)
+                rows.setdefault((width, False), []).extend((int(h), k, p) for p, h in enumerate(windows(values, width)) if literal[p])
+            literal = typed(c.kind)  # what is equal without placeholders is equal in the plain form
+            if not literal.all():
+                rows.setdefault((width, True), []).extend((int(h), k, p) for p, h in enumerate(windows(c.exact, width)) if not literal[p])
         self.tables = {}
-        for width, found in rows.items():
+        for key, found in rows.items():
+            if not found:
+                continue
             found = sorted(set(found))
             hashes = np.array([h for h, _, _ in found], np.uint64)
-            self.tables[width] = (hashes, np.array([k for _, k, _ in found]), np.array([p for _, _, p in found]))
+            self.tables[key] = (hashes, np.array([k for _, k, _ in found]), np.array([p for _, _, p in found]))
 
     def matches(self, text: str) -> list[dict]:
         """The items found in a text: how many of their tokens, which share, how many slots differ."""
         doc = Canonical(text)
         met: dict[tuple[int, int, bool], set[int]] = {}
-        for width, (hashes, items, places) in self.tables.items():
+        alike: dict[int, set[int]] = {}  # by item: places that stand in the text with their own values
+        exact = doc.exact if any(e for _, e in self.tables) else None
+        for (width, own_values), (hashes, items, places) in self.tables.items():
+            if own_values:
+                own = windows(exact, width)
+                left = np.searchsorted(hashes, own, "left")
+                hit = np.nonzero(hashes[np.minimum(left, len(hashes) - 1)] == own)[0]
+                for first in np.unique(left[hit]).tolist():
+                    for row in range(first, np.searchsorted(hashes, hashes[first], "right")):
+                        alike.setdefault(int(items[row]), set()).update(range(places[row], places[row] + width))
+                continue
             for named in (False, True) if doc.named is not doc.plain else (False,):
                 own = windows(doc.named if named else doc.plain, width)
                 left = np.searchsorted(hashes, own, "left")
@@ -142,6 +168,9 @@ class Index:
                 if run:
                     covered.setdefault(k, set()).update(run)
                     differ[k] = min(changed, differ.get(k, changed))
+        for k, places in alike.items():
+            covered.setdefault(k, set()).update(places)
+            differ.setdefault(k, 0)
         out = []
         for k, places in sorted(covered.items()):
             size = len(self.items[k][1])
@@ -208,9 +237,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document and each benchmark item that it holds.
 
     Texts become tokens: words in lower case, with typed placeholders for numbers, for units after a number and, in a second form, for names. Windows of
-    eight tokens, at least half of them words, are joined by hash; windows on one alignment form runs, and a run counts only if its slots map one to
-    one (else only its stretches of eight words or more without a slot). An item is held if half of its tokens are covered, at least eight (all, if it has
-    fewer) and at most 13; items under four tokens are left out.
+    eight tokens are joined by hash; windows on one alignment form runs, and a run counts only if its slots map one to
+    one (else only its stretches of eight words or more without a slot). Windows of which less than half are words, and items under four tokens,
+    are joined by their own values, without placeholders. An item is held if half of its tokens are covered, at least eight (all, if it has
+    fewer) and at most 13; an item without a token is in no text.
 
     A null or empty text holds nothing. A null doc_id stays null; repeated rows give repeated results, repeated items one result each item_id and text.
     An empty documents or benchmark table gives an empty result. Other columns are not read."""

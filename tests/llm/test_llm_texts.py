@@ -277,6 +277,18 @@ def test_benchmark_items_in_documents(spark):
     assert kept == set(range(len(texts))) - set(got)
 
 
+def test_items_of_numbers_and_short_items_are_found_by_their_values():
+    sums, units, short = "What is 12 + 7 + 30 + 45 + 8 + 19", "12 kg 7 g 30 mm 45 cm 8 lb 19 oz and 4 tons", "Solve 12 + 7"
+    index = decontaminate.Index([(1, sums), (2, units), (3, short), (4, "?!")])
+    held = lambda text: [(x["item_id"], x["tokens"], x["changed"]) for x in index.matches(text)]
+    assert held(FILLER + sums + " . " + FILLER) == [(1, 8, 0)]
+    assert held(FILLER + units + " . " + FILLER) == [(2, 15, 0)]
+    assert held(FILLER + short + " . " + FILLER) == [(3, 3, 0)]
+    for other in (sums.replace("30", "31"), "21 kg 9 g 33 mm 46 cm 9 lb 18 oz and 5 tons", "Solve 12 + 8", "", FILLER):
+        assert held(FILLER + other + " . " + FILLER) == []
+    assert decontaminate.Index([(1, "12 34 56 78")]).matches("a text of some words, 1 2 3 4 5") == []
+
+
 def test_benchmark_edges(spark):
     docs, items = documents(spark, [ITEM, "x"]), bench(spark, [(1, ITEM)])
     assert decontaminate.contaminated(docs.where("false"), items).count() == 0
