@@ -18,6 +18,9 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of the models; a candidate is a run of so many of them.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+SEGMENT = "[A-Za-z0-9+]{20,}"
+#: Characters of a candidate and of a stretch of one, and of what a base finding leaves of a candidate.
+LEAST, LEFT = 20, 8
 IDENTIFIER = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,19}(?![A-Za-z0-9+/_=-])"
 #: Ordinary identifiers are learnt from about so many documents, taken by a hash of the text.
 ORDINARY_DOCS = 2_000
@@ -72,7 +75,8 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
     random = _transitions(found.where(F.size("values") > 0).select(F.explode("values").alias("value")), F.lit(1))
     n = texts.count()
     some = texts.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, ORDINARY_DOCS / max(n, 1)))))
-    without = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    long_ = "=" * LEAST  # what stands beside a finding is not learnt as ordinary
+    without = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", ASSIGN, long_), ACCESS, long_), HEX, long_)
     words = some.select(F.explode(_matches(without, IDENTIFIER)).alias("value")).distinct()
     ordinary = _transitions(words.select(F.explode(F.array("value", F.upper("value"))).alias("value")), F.lit(1))
     size = len(ALPHABET)
@@ -98,14 +102,63 @@ def mean_ratio(value: Column, ratios: list[float]) -> Column:
     return walked / F.greatest(F.length(value) - 1, F.lit(1))
 
 
+def _left(found: Column, base: str) -> Column:
+    """The parts of a candidate that no base finding covers."""
+    part = lambda a, b: F.struct(a.alias("start"), found["kind"].alias("kind"), b.alias("end"), F.substring(found["value"], a - found["start"] + 1, b - a).alias("value"))
+    touching = F.filter(base, lambda b: (b["start"] < found["end"]) & (found["start"] < b["end"]))
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    walked = F.aggregate(
+        touching, F.struct(found["start"].alias("at"), empty.alias("parts")),
+        lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["parts"], F.array(part(s["at"], b["start"]))).alias("parts")),
+        lambda s: F.concat(s["parts"], F.array(part(s["at"], found["end"]))))
+    return F.when(F.size(touching) > 0, F.filter(walked, lambda p: p["end"] - p["start"] >= LEFT)).otherwise(F.array(found))
+
+
+def _stretches(value: Column, ratios: list[float]) -> Column:
+    """start and end of the random parts of a string that is not random as a whole, apart and in order: segments between / _ - = by their
+    mean, and the stretches over which a running sum of what each transition has above the least ratio rises. Of 20 characters or more."""
+    numbers = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))))
+    table = F.lit([float(r) for r in ratios])
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    closed = lambda s: F.when(s["end"] - s["start"] >= LEAST, F.concat(s["found"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["found"])
+
+    def step(s: Column, c: Column) -> Column:
+        total = s["sum"] + F.when(s["last"] > 0, F.get(table, (s["last"] - 1) * len(ALPHABET) + c - 1) - LEAST_RATIO).otherwise(0.0)
+        over, higher = total <= 0, total > s["best"]
+        return F.struct(
+            (s["at"] + 1).alias("at"), c.alias("last"), F.when(over, 0.0).otherwise(total).alias("sum"), F.when(over, 0.0).otherwise(F.greatest(total, s["best"])).alias("best"),
+            F.when(over, s["at"]).otherwise(s["start"]).alias("start"), F.when(over | higher, s["at"] + 1).otherwise(s["end"]).alias("end"), F.when(over, closed(s)).otherwise(s["found"]).alias("found"))
+
+    nothing = F.struct(*[F.lit(0).alias(n) for n in ("at", "last")], *[F.lit(0.0).alias(n) for n in ("sum", "best")], *[F.lit(0).alias(n) for n in ("start", "end")], empty.alias("found"))
+    stretches = F.aggregate(numbers, nothing, step, closed)
+    segments = F.filter(_located(value, _matches(value, SEGMENT), SEGMENT, "markov"), lambda m: mean_ratio(m["value"], ratios) >= LEAST_RATIO)
+    both = F.array_sort(F.concat(stretches, F.transform(segments, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))))
+    span = lambda s: F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    merged = F.aggregate(
+        both, F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), empty.alias("found")),
+        lambda s, m: F.struct(
+            F.when(m["start"] <= s["end"], s["start"]).otherwise(m["start"]).alias("start"), F.greatest(s["end"], m["end"]).alias("end"),
+            F.when((m["start"] <= s["end"]) | (s["end"] < 0), s["found"]).otherwise(F.concat(s["found"], span(s))).alias("found")),
+        lambda s: F.when(s["end"] < 0, s["found"]).otherwise(F.concat(s["found"], span(s))))
+    return merged
+
+
+def _random(found: Column, whole: Column, ratios: list[float]) -> Column:
+    """The random parts of what is left of a candidate: all of it, or stretches. What is too short for stretches has to be rather random
+    than ordinary if the whole candidate is random."""
+    parts = F.transform(_stretches(found["value"], ratios), lambda m: F.struct(
+        (found["start"] + m["start"]).alias("start"), found["kind"].alias("kind"), (found["start"] + m["end"]).alias("end"), F.substring(found["value"], m["start"] + 1, m["end"] - m["start"]).alias("value")))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    least = F.when((F.length(found["value"]) < LEAST) & (mean_ratio(whole["value"], ratios) >= LEAST_RATIO), 0.0).otherwise(LEAST_RATIO)
+    return F.when(mean_ratio(found["value"], ratios) >= least, F.array(found)).when(F.length(found["value"]) >= LEAST, parts).otherwise(none)
+
+
 def with_spans(rows: DataFrame, ratios: list[float], text: str = "_text") -> DataFrame:
     """Adds the base columns and _markov, and _spans: all findings by start, then kind."""
     rows = with_base(rows, text).withColumn("_candidates", _matches(F.col(text), CANDIDATE))
     rows = rows.withColumn("_markov", _located(F.col(text), F.col("_candidates"), CANDIDATE, "markov")).drop("_candidates")
     rows = rows.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    apart = F.filter("_markov", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    rows = rows.withColumn("_markov", apart)
-    rows = rows.withColumn("_markov", F.filter("_markov", lambda m: mean_ratio(m["value"], ratios) >= LEAST_RATIO))
+    rows = rows.withColumn("_markov", F.flatten(F.transform("_markov", lambda m: F.flatten(F.transform(_left(m, "_base"), lambda p: _random(p, m, ratios))))))
     return rows.withColumn("_spans", F.array_sort(F.concat("_base", "_markov")))
 
 
@@ -117,8 +170,9 @@ def _listed(spans: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_markov of every whole text.
 
-    Base findings are the fixed patterns', leftmost and not overlapping within a kind; the models add runs of 20 or more word characters that
-    touch no base finding and whose mean log-likelihood ratio is 1 or more. Places are code points, the end exclusive; findings are listed by start,
+    Base findings are the fixed patterns', leftmost and not overlapping within a kind; the models add runs of 20 or more word characters,
+    and parts of 8 or more that base findings leave of such runs, whose mean log-likelihood ratio is 1 or more (0 for a part under 20 of a run that has 1); else the segments and stretches of 20 or more
+    in them that reach it. Places are code points, the end exclusive; findings are listed by start,
     then kind. No text is shuffled; training shuffles transition counts only.
 
     A null or empty text has no finding (n 0, the digest of nothing, no spans). Long texts are read whole. Null keys stay null, repeated rows give
