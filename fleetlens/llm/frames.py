@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.session import configure, cut
 
-__all__ = ["SLICE_BYTES", "cut", "handed_out", "slices", "table", "text_slices"]
+__all__ = ["SLICE_BYTES", "cut", "handed_out", "let", "slices", "table", "text_slices"]
 
 #: A worker handles about so many bytes of text at a time, however many rows a batch has.
 SLICE_BYTES = 1 << 20
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of about `most` bytes each; a row that is larger stands alone."""
     start = total = 0
