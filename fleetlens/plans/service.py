@@ -130,9 +130,10 @@ def coverage_warnings(t):
 
 @query("dp21_similar_cases")
 def similar_cases(t):
-    """Cases whose questions nearly repeat each other; every benchmark item is a case."""
-    cases = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("benchmark").alias("answer"))
-    return matching.near_duplicates(cases, 85.0)
+    """Benchmark items as drafts, against every stored document as a case: copies, near copies and cases that hold a draft's words."""
+    drafts = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("question"))
+    cases = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
+    return matching.similar_cases(drafts, cases)
 
 
 @query("dp19_current_ratings", """

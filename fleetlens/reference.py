@@ -59,6 +59,7 @@ REPHRASE_WINDOW_S = 30
 REPHRASE_SIMILARITY = 55.0
 SLOW_MS = 20000
 MAX_CASES_PER_CLUSTER = 3
+SIMILAR_CASE = 85.0
 
 # Failure clusters, most specific first.
 CLUSTER_ORDER = [

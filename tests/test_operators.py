@@ -185,6 +185,60 @@ def test_near_duplicates_find_every_pair(spark):
     assert sum(c["copies"] for c in matching.copies(df).collect()) > 40
 
 
+def wordings(r, n, vocabulary):
+    """Texts and what edits of letters, blanks and words make of them."""
+    out = []
+    while len(out) < n:
+        words = r.choices(vocabulary, k=r.randint(1, 14))
+        for _ in range(r.randint(1, 5)):
+            out.append(" ".join(words))
+            edited = list(" ".join(words))
+            for _ in range(r.randint(1, 3)):
+                at = r.randrange(len(edited) + 1)
+                edited[at:at + r.randint(0, 1)] = [r.choice(["", "x", " ", "é", *edited[at:at + 1]])]
+            words = "".join(edited).split() or ["x"]
+            if r.random() < 0.3:
+                words = words[:r.randint(1, len(words))] + r.choices(vocabulary, k=r.randint(0, 2))
+    return out
+
+
+@pytest.mark.parametrize("threshold, vocabulary", [
+    (95.0, ["battery", "range", "it", "a", "temperature", "überhitzt", "charging", "on", "10"]), (85.0, ["battery", "range", "it", "a", "temperature", "charging"]),
+    (95.0, ["a", "b", "ab", "ba", "aab", "abb"]), (78.0, ["a", "bb", "abc", "motor"])])
+def test_near_wordings_equal_brute_force(spark, threshold, vocabulary):
+    r = random.Random(int(threshold) + len(vocabulary))
+    data = [(i, q, r.choice(["x", "x", "y", None])) for i, q in enumerate(wordings(r, 260, vocabulary))]
+    forms = {}
+    for i, q, a in data:
+        forms.setdefault((a, " ".join(sorted(set(q.lower().split())))), i)
+    want = {tuple(sorted((i, j))) for ((a, x), i), ((b, y), j) in itertools.combinations(forms.items(), 2) if a == b and fuzzy.token_set(x, y) >= threshold}
+    got = matching.near_duplicates(spark.createDataFrame(data, "id long, question string, answer string"), threshold).collect()
+    assert {(p["id_a"], p["id_b"]) for p in got} == want and len(got) == len(want) > 20
+
+
+def test_near_wordings_need_a_threshold_that_runs_can_prove(spark):
+    with pytest.raises(ValueError):
+        matching.near_duplicates(spark.createDataFrame([(1, "a b", "x")], "id long, question string, answer string"), 60.0).collect()
+
+
+def test_similar_cases_equal_brute_force(spark):
+    r = random.Random(11)
+    texts = wordings(r, 200, ["battery", "range", "it", "a", "temperature", "charging", "low", "speed"])
+    drafts = [(i, q) for i, q in enumerate(texts[::3])] + [(500, None), (501, " "), (502, texts[0])]
+    cases = [(i, q) for i, q in enumerate(texts[1::3] + texts[:5])] + [(700, texts[1]), (701, "")]
+    got = matching.similar_cases(spark.createDataFrame(drafts, "id long, question string"), spark.createDataFrame(cases, "id long, question string")).collect()
+
+    def form(q):
+        return " ".join(sorted(set((q or "").lower().split())))
+
+    first, number = {}, {}
+    for i, q in cases:
+        first[form(q)] = min(i, first.get(form(q), i))
+        number[form(q)] = number.get(form(q), 0) + 1
+    want = {(d, first[c], number[c]) for d, q in drafts for c in first if form(q) and c and fuzzy.token_set(form(q), c) >= 85}
+    assert {(x["id"], x["case_id"], x["copies"]) for x in got} == want and len(got) == len(want) > 30
+
+
 # documents and stored tables
 
 def test_ingest_ledger(spark):
