@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ K1, B = 1.2, 0.75
 MAX_QUERIES = 4096
 CELL_ROWS = 50_000
 BLOCK_BYTES = 64 << 20
+FOUND = "chunk_id long, domain string, len long, words array<long>, tfs array<long>"
+MAX_WORDS, MAX_ASKED = 500_000, 1_000_000
 
 
 def _unit(vectors) -> np.ndarray:
@@ -96,28 +100,144 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
     return skew.top_per_key(hits, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def _found(asked: DataFrame, chunks: DataFrame, max_words: int) -> DataFrame:
+    """chunk_id, domain, len, words, tfs: per chunk its words in all, and which of the asked words it has how often
+    (words as numbers). Up to `max_words` different words travel to the texts, which stay where they are; a larger set
+    is joined to the words of the texts."""
+    tokens = chunks.where(F.col("content").isNotNull()).select("chunk_id", "domain", F.array_append(text.tokens(F.col("content")), F.lit("")).alias("_words"))
+    wanted = asked.select("word", "_word").distinct()
+    head = wanted.limit(max_words + 1).toArrow()
+    if head.num_rows <= max_words:
+        names, numbers = head.column("word").combine_chunks(), head.column("_word").to_numpy()
+
+        def count(batches):
+            for batch in batches:
+                lists = batch.column("_words")
+                sizes = pc.list_value_length(lists).to_numpy()
+                at = pc.index_in(lists.flatten(), value_set=names)
+                hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+                pair, tf = np.unique(row * np.int64(len(names) + 1) + pc.fill_null(at, 0).to_numpy()[hit], return_counts=True)
+                row, word = np.divmod(pair, len(names) + 1)
+                ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype("int32"))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("chunk_id"), batch.column("domain"), pa.array(sizes.astype("int64") - 1),
+                    pa.ListArray.from_arrays(ends, pa.array(numbers[word] if len(names) else word)), pa.ListArray.from_arrays(ends, pa.array(tf))],
+                    ["chunk_id", "domain", "len", "words", "tfs"])
+
+        found = tokens.mapInArrow(count, FOUND)
+    else:
+        # The empty word keeps a row of every chunk.
+        rows = tokens.select("chunk_id", "domain", (F.size("_words") - 1).alias("len"), F.explode("_words").alias("word"))
+        named = wanted.unionByName(wanted.sparkSession.createDataFrame([("", None)], "word string, _word long"))
+        counts = rows.join(named, "word").groupBy("chunk_id", "domain", "len", "_word").agg(F.count(F.lit(1)).alias("_tf"))
+        pair = F.sort_array(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_word", "_tf"))))
+        found = counts.groupBy("chunk_id", "domain", "len").agg(pair.alias("_p")).select(
+            "chunk_id", "domain", F.col("len").cast("long").alias("len"), F.col("_p._word").alias("words"), F.col("_p._tf").alias("tfs"))
+    # Short chunks first: their words weigh most, so the first blocks set a high k-th score.
+    return session.cut(found.sortWithinPartitions("domain", "len"), "found")
+
+
+class _Side:
+    """The queries of a domain: their words' weights, and the k best chunks of each so far."""
+
+    def __init__(self, query_ids, words, idf, mean: float, k: int):
+        order = np.argsort(query_ids, kind="stable")
+        ids, starts = np.unique(query_ids[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        self.queries = [(q, words[order[a:b]], idf[order[a:b]]) for q, a, b in zip(ids.tolist(), starts, ends)]
+        self.mean, self.k, self.best = mean, k, {}
+
+    def meet(self, ids, lengths, words, tfs, sizes) -> None:
+        """Chunks as posting blocks, one a word, each with the most it can add. A query whose words' bounds stay
+        under its k-th score passes the blocks by."""
+        if not len(words):
+            return
+        row = np.repeat(np.arange(len(ids)), sizes)
+        part = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * lengths[row] / self.mean))
+        order = np.argsort(words, kind="stable")
+        names, starts = np.unique(words[order], return_index=True)
+        row, part, ends = row[order], part[order], np.append(starts[1:], len(order))
+        most = np.maximum.reduceat(part, starts)
+        for q, asked, idf in self.queries:
+            at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+            here = names[at] == asked
+            at, weight = at[here], idf[here]
+            best = self.best.get(q)
+            full = best is not None and len(best[0]) == self.k
+            if not len(at) or full and (weight * most[at]).sum() + 2e-6 < best[0][-1]:
+                continue
+            total = np.zeros(len(ids))
+            for i, w in zip(at.tolist(), weight.tolist()):
+                total[row[starts[i]:ends[i]]] += w * part[starts[i]:ends[i]]
+            hit = np.flatnonzero(total > (best[0][-1] - 2e-6 if full else 0))
+            scores, found = np.round(total[hit], 6), ids[hit]
+            if best is not None:
+                scores, found = np.concatenate((best[0], scores)), np.concatenate((best[1], found))
+            top = np.lexsort((found, -scores))[:self.k]
+            self.best[q] = scores[top], found[top]
+
+    def hits(self) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": q, "chunk_id": ids, "score": scores}) for q, (scores, ids) in self.best.items()]
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []}).astype({"query_id": "int64", "chunk_id": "int64"})
+
+
+def _meet(side: _Side, rows: pd.DataFrame) -> None:
+    sizes = rows["words"].map(len).to_numpy()
+    side.meet(rows["chunk_id"].to_numpy(), rows["len"].to_numpy().astype("float64"), np.concatenate([np.asarray(w, dtype="int64") for w in rows["words"]]),
+              np.concatenate([np.asarray(w, dtype="float64") for w in rows["tfs"]]), sizes)
+
+
+def sparse_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_words: int = MAX_WORDS, max_asked: int = MAX_ASKED,
+                 cell_rows: int = CELL_ROWS) -> DataFrame:
     """DP11: the k best chunks of each query by BM25 within its domain, any of
-    the query's words counting but the stop words, whether or not a chunk has a vector.
+    the query's words counting but the stop words, whether or not a chunk has a vector. Exact.
 
-    The texts are read once: only words that some query asks for, and one row
-    per chunk under the empty word for its length, are written out as postings.
-    Scores add up per (query, chunk), which has no hot key, and each task keeps
-    k per query."""
+    The texts are read once and give a row per chunk: the asked words in it. Scores add up where these rows are, a block
+    of chunks at a time with a posting list and a bound for each word, and a task keeps k per query: pairs of
+    query and chunk are never rows, and a word that is in every chunk is cut into blocks like any other. Up to
+    `max_asked` words of queries (counted first) travel to the rows; more are cut into blocks of
+    queries, and each block meets each cell of chunks."""
     asked = queries.select("query_id", "domain", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("word")).where(
-        ~F.col("word").isin(ref.ENGLISH_STOP_WORDS))
-    wanted = asked.select("domain", "word").union(queries.select("domain", F.lit("").alias("word"))).distinct()
-    words = chunks.select("chunk_id", "domain", F.explode(F.array(text.tokens(F.col("content")))).alias("_words"))
-    rows = words.select("chunk_id", "domain", F.size("_words").alias("_len"), F.explode(F.array_append("_words", F.lit(""))).alias("word"))
-    postings = session.cut(rows.join(skew.small(wanted, 500_000), ["domain", "word"], "left_semi").groupBy("domain", "word", "chunk_id").agg(
-        F.count(F.lit(1)).alias("_tf"), F.max("_len").alias("_len")), "postings")
-    sizes = postings.where("word = ''").groupBy("domain").agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_mean"))
-    postings = postings.where("word <> ''")
-    frequency = postings.groupBy("domain", "word").agg(F.count(F.lit(1)).alias("_df"))
-    weights = asked.join(frequency, ["domain", "word"]).join(sizes, "domain").withColumn(
-        "_idf", F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))).drop("_n", "_df")
-    part = F.col("_idf") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
-    hits = postings.join(weights, ["domain", "word"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+        ~F.col("word").isin(ref.ENGLISH_STOP_WORDS)).withColumn("_word", F.xxhash64("word"))
+    asked = session.cut(asked, "asked")
+    found = _found(asked, chunks, max_words)
+    sizes = found.groupBy("domain").agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_mean"))
+    frequency = found.select("domain", F.explode("words").alias("_word")).groupBy("domain", "_word").agg(F.count(F.lit(1)).alias("_df"))
+    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    weights = asked.join(frequency, ["domain", "_word"]).join(F.broadcast(sizes), "domain").select("query_id", "domain", "_word", idf.alias("_idf"), "_mean")
+
+    head = weights.limit(max_asked + 1).toPandas()
+    if len(head) <= max_asked:
+        by_domain = {d: (g["query_id"].to_numpy(), g["_word"].to_numpy(), g["_idf"].to_numpy(), g["_mean"].iat[0]) for d, g in head.groupby("domain")}
+
+        def score(batches):
+            sides = {d: _Side(*side, k) for d, side in by_domain.items()}
+            for batch in batches:
+                for domain, rows in batch.groupby("domain"):
+                    if domain in sides:
+                        _meet(sides[domain], rows)
+            for side in sides.values():
+                yield side.hits()
+
+        hits = found.where(F.size("words") > 0).mapInPandas(score, HITS)
+    else:
+        weights = session.cut(weights, "weights")
+        blocks = -(-weights.count() // max_asked)
+        cells = -(-found.count() // cell_rows)
+        left = weights.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
+            "_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<long>")))
+        right = found.where(F.size("words") > 0).withColumn("_cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells))).withColumn(
+            "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            side = _Side(a["query_id"].to_numpy(), a["_word"].to_numpy(), a["_idf"].to_numpy(), a["_mean"].iat[0] if len(a) else 1.0, k)
+            if len(a) and len(b):
+                _meet(side, b)
+            return side.hits()
+
+        keys = ["domain", "_block", "_cell"]
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, HITS)
     return skew.top_per_key(hits, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 

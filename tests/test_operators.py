@@ -1,11 +1,14 @@
 import datetime as dt
 import itertools
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fleetlens import reference as ref
 from fleetlens.functions import fuzzy
 from fleetlens.operators import audit, diagnose, documents, evaluation, feedback, matching, opsmetrics, quality, rollup, search, skew
 from fleetlens.sources import files, tables, upsert
@@ -151,6 +154,48 @@ def test_resolution_dense_fleet(spark):
     assert got["TRUCK-99"]["status"] == got["  "]["status"] == "not_found"
 
 
+def plain_bm25(queries, chunks, k):
+    """(query, chunk) -> rank and score, word by word."""
+    out = {}
+    for q, domain, words in queries:
+        own = [(c, re.findall(r"[^\W_]+", (t or "").lower())) for c, d, t in chunks if d == domain and t is not None]
+        mean = sum(len(w) for _, w in own) / max(len(own), 1)
+        scores = {}
+        for w in set(re.findall(r"[^\W_]+", words.lower())) - set(ref.ENGLISH_STOP_WORDS):
+            df = sum(w in ws for _, ws in own)
+            for c, ws in own:
+                if w in ws:
+                    tf = ws.count(w)
+                    scores[c] = scores.get(c, 0) + math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+        for rank, (score, c) in enumerate(sorted((-round(s, 6), c) for c, s in scores.items())[:k], 1):
+            out[q, c] = rank, round(-score, 6)
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_words": 3}, {"max_asked": 4, "cell_rows": 30}, {"max_words": 3, "max_asked": 4, "cell_rows": 1000}])
+def test_sparse_top_k_equals_word_by_word(spark, bounds):
+    r = random.Random(3)
+    words = ["the", "motor", "Battery", "range", "überhitzt", "a1", "low", "x"] + [f"w{i}" for i in range(30)]
+    chunks = [(i, r.choice("aab"), " ".join(r.choices(words, weights=[30, 20, 10] + [2] * (len(words) - 3), k=r.randint(0, 40)))) for i in range(250)]
+    chunks += [(300, "a", None), (301, "a", ""), (302, "c", "motor")] + [(400 + i, "a", "motor range") for i in range(20)]
+    queries = [(i, r.choice("abd"), " ".join(r.choices(words, k=r.randint(1, 6)))) for i in range(25)] + [(50, "a", "motor motor range"), (51, "a", "the"), (52, "a", "")]
+    q = spark.createDataFrame(queries, "query_id long, domain string, query string")
+    c = spark.createDataFrame(chunks, "chunk_id long, domain string, content string").repartition(5)
+    got = {(x["query_id"], x["chunk_id"]): (x["rank"], round(x["score"], 6)) for x in search.sparse_top_k(q, c, 5, **bounds).collect()}
+    assert got == plain_bm25(queries, chunks, 5)
+
+
+def test_blocks_under_the_kth_score_are_passed_by():
+    import numpy as np
+
+    side = search._Side(np.array([1]), np.array([7]), np.array([2.0]), 10.0, 2)
+    for first in (0, 100, 200):
+        side.meet(np.arange(first, first + 50), np.full(50, 5.0 if not first else 20.0), np.full(50, 7), np.ones(50), np.ones(50, dtype=int))
+        if not first:
+            kth = side.best[1]
+    assert side.best[1] is kth and side.best[1][1].tolist() == [0, 1]
+
+
 def test_resolution_sparse_and_padded_fleet(spark):
     got = resolve(spark, ["VIN-10422", "VIN-1O42"], ["VIN-1042", "VIN-2077", "VIN-3150"])
     assert (got["VIN-10422"]["status"], got["VIN-10422"]["value"]) == ("fuzzy", "VIN-1042")
