@@ -276,12 +276,21 @@ def misspelled_ids(t):
     return out.select("raw", "mentions", "status", "value", F.array_join("suggestions", ",").alias("suggestions"))
 
 
-@query("so01_candidate_arms", "WITH " + CLOSE + """
-    SELECT raw, known FROM close WHERE score >= 92
-    UNION SELECT raw, known FROM spelled, ids WHERE lower(raw) = lower(known) OR contains(known, regexp_replace(regexp_extract(raw, '([0-9]+)', 1), '^0+([0-9])', '\\1'))""")
+TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i::INT, 3)))))"
+
+
+@query("so01_candidate_arms", "WITH " + FLEET + f""",
+    raws AS (SELECT DISTINCT raw, regexp_replace(regexp_extract(raw, '([0-9]+)', 1), '^0+([0-9])', '\\1') AS digits, {TRIGRAMS.format('raw')} AS g
+             FROM (SELECT substr(known, 1, 6) || substr(known, 8, 1) || substr(known, 7, 1) || '9' AS raw FROM fleet)),
+    ids AS (SELECT known, {TRIGRAMS.format('known')} AS g FROM fleet),
+    met AS (SELECT raw, known, any_value(digits) AS digits, count(*) AS shared, any_value(na) + any_value(nb) AS total
+            FROM (SELECT raw, digits, len(g) AS na, unnest(g) AS gram FROM raws) JOIN (SELECT known, len(g) AS nb, unnest(g) AS gram FROM ids) USING (gram) GROUP BY 1, 2)""" + """
+    SELECT raw, known, similarity, row_number() OVER (PARTITION BY raw ORDER BY lower(raw) = lower(known) DESC, similarity DESC, known) AS position
+    FROM (SELECT raw, known, shared / (total - shared) AS similarity FROM met
+          WHERE lower(raw) = lower(known) OR shared / (total - shared) >= 0.2 OR (digits <> '' AND contains(known, digits))) QUALIFY position <= 50""")
 def candidate_arms(t):
-    """Candidates of every misspelled id by case, digits and spelling."""
-    return matching.candidate_arms(misspelled(t), fleet(t).select("known"), 92.0)
+    """The first 50 candidates of every misspelled id by case, trigrams and digits."""
+    return matching.candidate_arms(misspelled(t), fleet(t).select("known"))
 
 
 @query("sf23_fuzzy_ratio", r"""

@@ -53,6 +53,7 @@ AUTO_ACCEPT_SCORE = 92.0
 DISAMBIGUATE_SCORE = 78.0
 MAX_SUGGESTIONS = 3
 TRIGRAM_THRESHOLD = 0.2
+MAX_CANDIDATES = 50
 
 # Rephrase detection.
 REPHRASE_WINDOW_S = 30

@@ -215,6 +215,84 @@ def test_close_pairs_find_every_pair(spark):
     assert {(p["raw"], p["known"]) for p in matching.close_pairs(a, b, 78.0).collect()} == want
 
 
+def plain_resolution(raw, known):
+    """Status, value and suggestions, id by id."""
+    def normal(s):
+        return re.sub(r"(^|[^0-9])0+([0-9])", r"\1\2", re.sub(r"[^A-Z0-9]", "", s.upper()))
+
+    q = normal(raw)
+    exact = sorted(k for k in known if normal(k) == q)
+    if len(exact) == 1:
+        return "exact", exact[0], []
+    if exact:
+        return "ambiguous", None, exact[:3]
+    scored = sorted((-fuzzy.indel_ratio(q, normal(k)), k) for k in known)
+    strong, close = ([k for s, k in scored if -s >= least] for least in (92, 78))
+    if len(strong) == 1:
+        return "fuzzy", strong[0], strong
+    return ("ambiguous" if close else "not_found"), None, close[:3]
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_long_ids_of_a_common_prefix_equal_brute_force(spark, dense):
+    r = random.Random(5)
+    number = (lambda: 300000 + r.randrange(400)) if dense else (lambda: r.randrange(100000, 999999))
+    known = sorted({f"FLEET-EUWEST-A{number()}B{r.randrange(2)}" for _ in range(150)} | {"V-7", "TRUCK-12", "SHORT1"})
+    raws = [k for k in known[:5]]
+    for _ in range(40):
+        s = list(r.choice(known))
+        for _ in range(r.randint(1, 4)):
+            at = r.randrange(len(s))
+            s[at:at + r.randint(0, 1)] = [r.choice(["", "1", "X", "0"])]
+        raws.append("".join(s))
+    raws += ["FLEET-ASIAEAST-99", "FLEETEUWESTA", "GARBAGE" * 5, "TRUCK-13", "".join(r.choices("ABC123", k=22))]
+    got = resolve(spark, sorted(set(raws)), known)
+    for raw in set(raws):
+        if raw.strip():
+            assert (got[raw]["status"], got[raw]["value"], got[raw]["suggestions"]) == plain_resolution(raw, known), raw
+
+
+def test_pieces_find_every_pair(spark):
+    r = random.Random(8)
+    left = sorted({"".join(r.choices("AB1", k=r.randint(3, 26))) for _ in range(80)})
+    right = sorted({x[:r.randint(0, len(x))] + r.choice(["", "A", "1B"]) + x[r.randint(0, len(x)):] for x in left for _ in range(2)} - {""})
+    a = spark.createDataFrame([(x, x) for x in left], "raw string, q string")
+    b = spark.createDataFrame([(x, x) for x in right], "known string, n string")
+    for score in (70.0, 78.0, 92.0):
+        want = {(x, y) for x in left for y in right if fuzzy.indel_ratio(x, y) >= score}
+        assert {(p["raw"], p["known"]) for p in matching.close_pairs(a, b, score).collect()} == want and len(want) > 20
+    with pytest.raises(ValueError):
+        matching.close_pairs(a, b, 60.0)
+
+
+def test_candidate_arms_equal_brute_force(spark):
+    r = random.Random(6)
+    known = sorted({f"V-{i:04d}" for i in range(0, 300, 3)} | {f"{r.choice(['TRUCK', 'van', 'Bus'])} {i}" for i in range(40)} | {"--", "v-0003"})
+    raws = ["v-0003", "V-12", "truck 1", "TRUK", "bus", "0", " ", "--", "12 V", "zzz"] + [f"V{i}" for i in range(0, 40, 7)]
+
+    def grams(s):
+        return {f"  {w} "[i:i + 3] for w in re.findall(r"[^\W_]+", s.lower()) for i in range(len(w) + 1)}
+
+    def rank(raw, x):
+        a, b = grams(raw), grams(x)
+        return raw.lower() != x.lower(), -len(a & b) / max(len(a | b), 1), x
+
+    want = set()
+    for raw in raws:
+        digits = re.search("[0-9]+", raw)
+        digits = digits and re.sub("^0+(?=[0-9])", "", digits.group())
+        if re.sub("[^A-Z0-9]", "", raw.upper()):
+            arms = [x for x in known if raw.lower() == x.lower() or -rank(raw, x)[1] >= 0.2 or digits and digits in x]
+            want |= {(raw.strip(), x, i) for i, x in enumerate(sorted(arms, key=lambda x: rank(raw, x))[:7], 1)}
+    r_, k_ = spark.createDataFrame([(x,) for x in raws], "raw string"), spark.createDataFrame([(x,) for x in known], "known string")
+    got = matching.candidate_arms(r_, k_, 7)
+    assert {(x["raw"], x["known"], x["position"]) for x in got.collect()} == want
+    spelled = r_.where("trim(raw) <> ''")
+    one = matching.trigram_candidates(spelled, k_, 4)
+    assert rows(one, "raw", "known", "similarity") == rows(matching.trigram_candidates(spelled, k_, 4, block_rows=3, cell_rows=20), "raw", "known", "similarity")
+    assert matching.trigram_candidates(spelled, k_.limit(0)).collect() == []
+
+
 def test_near_duplicates_find_every_pair(spark):
     r = random.Random(7)
     vocabulary = ["range", "drop", "why", "did", "battery", "speed", "low", "on", "it", "motor"]
