@@ -104,7 +104,7 @@ def _found(asked: DataFrame, chunks: DataFrame, max_words: int) -> DataFrame:
     """chunk_id, domain, len, words, tfs: per chunk its words in all, and which of the asked words it has how often
     (words as numbers). Up to `max_words` different words travel to the texts, which stay where they are; a larger set
     is joined to the words of the texts."""
-    tokens = chunks.where(F.col("content").isNotNull()).select("chunk_id", "domain", F.array_append(text.tokens(F.col("content")), F.lit("")).alias("_words"))
+    tokens = session.spread(chunks.where(F.col("content").isNotNull()).select("chunk_id", "domain", "content")).select("chunk_id", "domain", F.array_append(text.tokens(F.col("content")), F.lit("")).alias("_words"))
     wanted = asked.select("word", "_word").distinct()
     head = wanted.limit(max_words + 1).toArrow()
     if head.num_rows <= max_words:

@@ -81,3 +81,10 @@ def cut(df, name: str):
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """`df` in at least as many partitions as there are cores, for work that costs far more than its bytes tell (a small file, or
+    one that AQE made of few partitions, is one task). A table of more partitions than cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
