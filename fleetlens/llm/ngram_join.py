@@ -26,6 +26,11 @@ BROADCAST_BYTES = 32 << 20
 #: Nodes of one bucket are compared by blocks of so many; a node's sketch has so many counts.
 BLOCK, BINS = 256, 256
 
+#: Signatures are dealt out by so many parts a shuffle partition; of the rest of one, so many bytes are kept: a wrong candidate is found
+#: out when its sets are compared.
+PARTS, REST = 4, 5
+PAIR = np.dtype([("rest", "u1", (REST,)), ("node", "<i8")])
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -115,47 +120,68 @@ def signatures(tokens: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def _scan(batches, words: int, similar: int):
-    """Per row the key, the set's size, its digest, and its signatures where the task has not met the set before."""
-    seen: set[int] = set()
+def _scan(batches, words: int):
+    """Per row the key, the set's size and its digest."""
     for batch in batches:
         for a, b, texts in text_slices(batch.column(1)):
-            sizes, digests, found = [], [], []
-            for t in texts:
-                tokens = shingles(t, words)
-                digest = set_digest(tokens) if len(tokens) else None
-                sizes.append(len(tokens))
-                digests.append(digest)
-                found.append(signatures(tokens, similar) if digest is not None and digest not in seen else np.empty(0, np.int64))
-                seen.add(digest)
-            ends = np.cumsum([0, *map(len, found)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), lists], ["doc_id", "n", "node", "signatures"])
+            sets = [shingles(t, words) for t in texts]
+            digests = [set_digest(tokens) if len(tokens) else None for tokens in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)[a:b], pa.array([len(tokens) for tokens in sets], pa.int64()), pa.array(digests, pa.int64())], ["doc_id", "n", "node"])
     _words.clear()  # a worker lives on for other stages
 
 
-def _shared(batches):
-    """Of rows sorted by signature and node: the distinct ones whose signature has more than one node."""
-    last = None  # the last row so far, as the next batch may go on with its signature
-    told = False  # whether it went out
+def _packed(batches, words: int, similar: int, parts: int):
+    """The signatures of the sets that the task has not met before, as blocks: the part of the signatures, and
+    (rest of the signature, node) one after the other. A row each would be twice as large, and there are millions."""
+    seen: set[int] = set()
     for batch in batches:
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            sig, node = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], node))
-        if not len(sig):
-            continue
-        keep = np.ones(len(sig), bool)
-        keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[keep], node[keep]
-        same = sig[1:] == sig[:-1]
-        more = np.zeros(len(sig), bool)
-        more[1:] |= same
-        more[:-1] |= same
-        ready = more.copy()
-        ready[0] &= not told
-        told = bool(more[-1]) or (told and len(sig) == 1)
-        last = (int(sig[-1]), int(node[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(sig[ready]), pa.array(node[ready])], ["sig", "node"])
+        for _, _, texts in text_slices(batch.column(0)):
+            sigs, nodes = [], []
+            for t in texts:
+                tokens = shingles(t, words)
+                digest = set_digest(tokens) if len(tokens) else None
+                if digest is not None and digest not in seen:
+                    seen.add(digest)
+                    sigs.append(signatures(tokens, similar))
+                    nodes.append(np.full(len(sigs[-1]), digest))
+            if not sigs:
+                continue
+            sig = np.concatenate(sigs).view(np.uint64)
+            part, pairs = (sig % np.uint64(parts)).astype(np.int32), np.zeros(len(sig), PAIR)
+            pairs["rest"] = (sig // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :REST]
+            pairs["node"] = np.concatenate(nodes)
+            order = np.argsort(part, kind="stable")
+            own, starts = np.unique(part[order], return_index=True)
+            pairs = pairs[order]
+            blocks = [pairs[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(pairs)])]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+    _words.clear()
+
+
+def _buckets(batches):
+    """Of all blocks of some parts: sig, node, hub and size of the signatures that more than one node has. The hub is the smallest node."""
+    found = [(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for batch in batches]
+    parts = np.concatenate([np.zeros(0, np.int64), *[np.repeat(np.array(p, np.int64), [len(x) // PAIR.itemsize for x in blocks]) for p, blocks in found]])
+    if not len(parts):
+        return
+    pairs = np.frombuffer(b"".join(x for _, blocks in found for x in blocks), PAIR)
+    rest = np.zeros((len(pairs), 8), np.uint8)
+    rest[:, :REST] = pairs["rest"]
+    sig, node = (parts << (8 * REST)) | rest.view("<u8").ravel().astype(np.int64), pairs["node"].astype(np.int64)
+    del found, rest, parts, pairs
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    keep = np.ones(len(sig), bool)
+    keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[keep], node[keep]
+    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    sizes = np.diff(np.append(starts, len(sig)))
+    size, hub = np.repeat(sizes, sizes), np.repeat(node[starts], sizes)
+    several = np.flatnonzero(size > 1)
+    for a in range(0, len(several), 1 << 16):
+        at = several[a:a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(node[at]), pa.array(hub[at]), pa.array(size[at])], ["sig", "node", "hub", "size"])
 
 
 def linked(hub: np.ndarray, sets: list[np.ndarray], similar: int = SIMILAR) -> list[bool]:
@@ -189,20 +215,6 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def _starred(batches):
-    """Of rows sorted by signature, the hub first: the hub with each other node."""
-    last = hub = None
-    for batch in batches:
-        hubs, nodes = [], []
-        for sig, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if sig != last:
-                last, hub = sig, node
-            else:
-                hubs.append(hub)
-                nodes.append(node)
-        yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], ["hub", "node"])
-
-
 def _apart(batches, similar: int):
     """Of rows sorted by unit (signature and two blocks): the pairs of nodes of different components that
     sizes and sketches allow to link. A unit has two blocks of nodes at most."""
@@ -306,27 +318,26 @@ def _links(pairs: DataFrame, sets: DataFrame, name: str, similar: int) -> DataFr
 def link_components(docs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame | None:
     """node and label of the nodes that have a link, of the scanned rows; None if there is none.
 
-    A bucket is the nodes of one signature. First each bucket's hub, the node with the most shared signatures, is checked against the bucket's
-    other nodes: near copies of one text link to it, so a bucket of thousands of them costs one check a node. Then the buckets whose nodes
+    A bucket is the nodes of one signature. Signatures go to it as packed blocks, and are written nowhere. First each bucket's hub, its smallest
+    node, is checked against the other nodes: near copies of one text mostly share their hubs, so a bucket of thousands of them costs a few checks a node. Then the buckets whose nodes
     are not all in one component are compared by blocks of nodes, on sizes and sketches alone; only pairs between different components
     that these allow are checked. No such pair is left out, and pairs that the components make needless are not looked at."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flat = rows.where(F.size("signatures") > 0).select(F.explode("signatures").alias("sig"), "node")
-    buckets = cut(flat.repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "buckets")
+    blocks = docs.select("text").mapInArrow(lambda batches: _packed(batches, words, similar, PARTS * parts), "part int, block binary")
+    buckets = cut(blocks.repartition(2 * parts, "part").mapInArrow(_buckets, "sig long, node long, hub long, size long"), "buckets")
     if buckets.isEmpty():
         return None
-    degrees = cut(buckets.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
-    first = rows.select("node", "doc_id").join(degrees, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first = rows.select("node", "doc_id").join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = _sets(docs, cut(first, "join-wanted"), words)
-    ordered = buckets.join(degrees, "node").repartition(parts, "sig").sortWithinPartitions("sig", F.desc("degree"), "node").select("sig", "node")
-    edges = _links(ordered.mapInArrow(_starred, "hub long, node long"), sets, "hub", similar)
+    edges = _links(buckets.where("node != hub").select("hub", "node"), sets, "hub", similar)
     labels = None if edges.isEmpty() else components(edges)
 
-    known = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = known.repartition(parts, "sig")
-    several = known.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("size")).where("_a != _b").select("sig", "size")
     # A hub has been checked against its whole bucket, so a bucket of two is done.
-    open_ = cut(known.join(several.where("size > 2"), "sig"), "buckets-open")
+    known = buckets.where("size > 2").select("sig", "node", "size")
+    known = known.withColumn("label", F.col("node")) if labels is None else known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = known.repartition(parts, "sig")
+    several = known.groupBy("sig").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("sig")
+    open_ = cut(known.join(several, "sig"), "buckets-open")
     if open_.isEmpty():
         return labels
     place = F.row_number().over(Window.partitionBy("sig").orderBy("label", "node")) - 1
@@ -343,15 +354,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR)
     """doc_id, n_shingles, component_id and node (the set's digest) of every row: the exact Jaccard join at `similar` hundredths on sets of
     n-grams of `words` words (0.85 and 4, unless told otherwise), one row a document with the smallest doc_id that links reach.
 
-    Equal sets are one node from the start, so copies cost nothing further. Whole texts are read once for sizes, digests and signatures, and
-    those of candidate nodes a second time. What is shuffled are signatures (about a third of the number of n-grams), and
+    Equal sets are one node from the start, so copies cost nothing further. Whole texts are read once for sizes and digests and once for signatures, and
+    those of candidate nodes a third time. What is shuffled are signatures (about a third of the number of n-grams), and
     the sets of nodes that share one. N-grams and sets are told apart by 64-bit hashes.
 
     A text with fewer than `words` words is one n-gram; a null or empty text, or one of white space, has no set and is its own component. A null doc_id
     takes part, but names no component unless there is no other (then component_id is null). Repeated rows are copies. An empty table gives an
     empty result. Other columns are not read."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = cut(slim.mapInArrow(lambda batches: _scan(batches, words, similar), "doc_id long, n long, node long, signatures array<long>"), "join-rows")
+    rows = cut(slim.mapInArrow(lambda batches: _scan(batches, words), "doc_id long, n long, node long"), "join-rows")
     labels = link_components(slim, rows, words, similar)
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     if labels is None:
