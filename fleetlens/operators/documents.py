@@ -9,6 +9,7 @@ from fleetlens import reference as ref
 from fleetlens import session
 from fleetlens.functions import html, markdown, text
 from fleetlens.operators import skew
+from fleetlens.sources.stored import Stored
 
 
 def ingest_status(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -19,8 +20,17 @@ def ingest_status(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     aggregate per hash, and its outcome is joined back on doc_id, which is
     unique: a text with many copies gathers nowhere. The texts are hashed once,
     into a narrow table."""
-    hashed = incoming.select("doc_id", text.content_hash(F.col("raw")).alias("content_hash"))
-    docs = session.cut(hashed, "hashes").withColumn("_blank", F.col("content_hash") == F.sha2(F.lit(""), 256))
+    return hash_status(hashed(incoming), stored)
+
+
+def hashed(incoming: DataFrame) -> DataFrame:
+    """The hashes of incoming documents, written out: doc_id, content_hash."""
+    return session.cut(incoming.select("doc_id", text.content_hash(F.col("raw")).alias("content_hash")), "hashes")
+
+
+def hash_status(hashes: DataFrame, stored: DataFrame) -> DataFrame:
+    """DP1 for documents whose hashes are known: doc_id, content_hash."""
+    docs = hashes.withColumn("_blank", F.col("content_hash") == F.sha2(F.lit(""), 256))
     first = docs.where("NOT _blank").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
     fresh = first.join(stored.select("content_hash").distinct(), "content_hash", "left_anti").select(
         "doc_id", F.lit(True).alias("_fresh"))
@@ -100,6 +110,34 @@ def same_space(chunks: DataFrame, dimensions: int) -> DataFrame:
     return chunks.where(F.when(ok, True).otherwise(F.raise_error(F.lit("vectors of another model are stored"))))
 
 
+def store_vectors(vectors: DataFrame, path: str, model: str, dimensions: int, buckets: int = 64) -> Stored:
+    """DP8: a stored table of vectors (doc_id, embedding) that remembers their model and size."""
+    return Stored.create(same_space(vectors, dimensions), path, ["doc_id"], buckets, {"model": model, "dimensions": dimensions})
+
+
+def vectors_of(table: Stored, model: str) -> DataFrame:
+    """DP9: the stored vectors, for a caller whose questions are encoded by `model`."""
+    if table.properties["model"] != model:
+        raise ValueError(f"the vectors are of {table.properties['model']}, not of {model}: encode all documents anew first")
+    return table.read()
+
+
+def add_vectors(table: Stored, vectors: DataFrame, model: str) -> Stored:
+    """DP9: new and changed documents' vectors, refused if another model made them."""
+    vectors_of(table, model)
+    return table.upsert(same_space(vectors, table.properties["dimensions"]), ["embedding"])
+
+
+def reembed(table: Stored, vectors: DataFrame, model: str, dimensions: int) -> Stored:
+    """DP8: all documents under a new model. They are written beside the old ones and switched to in one step, and only if every
+    stored document has a new vector: until then, and after a failure, readers see the old model's."""
+    fresh = session.cut(same_space(vectors, dimensions), "vectors")
+    missing = table.read().select("doc_id").join(fresh.select("doc_id"), "doc_id", "left_anti")
+    if not missing.isEmpty():
+        raise ValueError("stored documents without a new vector")
+    return table.replace_all(fresh, model=model, dimensions=dimensions)
+
+
 def read_pages(pages: DataFrame) -> DataFrame:
     """IO13: title, text and tables of each page."""
     return pages.withColumn("_p", html.extract_page(F.col("html"))).select("page_id", "url", "_p.*")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime as dt
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import timefn
@@ -52,20 +55,55 @@ def realtime(materialised: DataFrame, clean: DataFrame, high_water: str) -> Data
     return materialised.where(F.col("hour") < mark).unionByName(live)
 
 
+def _within(starts: list, unit: str = "hour", column: str = "recorded_at") -> Column:
+    """Whether a time is in one of the hours (or days); those in a row are one range, which the scan can skip files by."""
+    spans: list[list] = []
+    for start in sorted(starts):
+        end = start + dt.timedelta(**{f"{unit}s": 1})
+        if spans and start == spans[-1][1]:
+            spans[-1][1] = end
+        else:
+            spans.append([start, end])
+    return functools.reduce(lambda x, y: x | y, [(F.col(column) >= F.lit(a)) & (F.col(column) < F.lit(b)) for a, b in spans])
+
+
+def touched_hours(arrived: DataFrame, unit: str = "hour") -> list:
+    """The hours (or days) of some readings: at most as many as history has."""
+    return [r[0] for r in arrived.where(F.col("recorded_at").isNotNull()).select(F.date_trunc(unit, "recorded_at").alias("h")).distinct().collect()]
+
+
 def refresh_touched(materialised: DataFrame, clean: DataFrame, arrived: DataFrame) -> DataFrame:
     """ST5: recomputes the hours that late rows touched, whatever their age.
-    The touched keys are distinct (hour, vehicle, metric, mode) rows."""
-    touched = arrived.select(F.date_trunc("hour", "recorded_at").alias("hour"), *KEYS[1:]).distinct()
-    first, last = touched.agg(F.min("hour"), F.max("hour")).first()
-    if first is None:
+    The touched keys are distinct (hour, vehicle, metric, mode) rows. Only readings of the touched hours are scanned."""
+    hours = touched_hours(arrived)
+    if not hours:
         return materialised
+    touched = arrived.select(F.date_trunc("hour", "recorded_at").alias("hour"), *KEYS[1:]).distinct()
     keep = _semi(materialised, touched, "left_anti")
-    # Only readings from the first to the last touched hour are scanned.
-    near = clean.where((F.col("recorded_at") >= F.lit(first)) & (F.col("recorded_at") < F.lit(last) + F.expr("INTERVAL 1 HOUR")))
-    source = near.withColumn("hour", F.date_trunc("hour", "recorded_at"))
+    source = clean.where(_within(hours)).withColumn("hour", F.date_trunc("hour", "recorded_at"))
     return keep.unionByName(hourly(_semi(source, touched, "left_semi").drop("hour")))
 
 
+def store(rollup: DataFrame, path: str, unit: str = "day") -> None:
+    """The rollup as a stored table with a folder for each day (or hour, where an hour fills a file). Those that have a
+    folder already are replaced, others stay."""
+    parts = rollup.withColumn("part", F.date_format(F.date_trunc(unit, "hour"), "yyyyMMddHH"))
+    parts.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("part")
+
+
+def refresh_stored(clean: DataFrame, arrived: DataFrame, path: str, unit: str = "day") -> int:
+    """ST5 on a stored rollup: the days (or hours) that late rows touched are computed from all their readings and written anew; no
+    other file is read or written, and running it again changes nothing. Returns how many were touched."""
+    touched = touched_hours(arrived, unit)
+    if touched:
+        store(hourly(clean.where(_within(touched, unit))), path, unit)
+    return len(touched)
+
+
 def _semi(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     k = keys.select(*[F.col(c).alias(f"_{c}") for c in KEYS])
     on = (F.col("hour") == F.col("_hour")) & (F.col("vehicle_id") == F.col("_vehicle_id")) & (

@@ -9,6 +9,7 @@ from fleetlens.functions import fuzzy, markdown, plugins, text
 from fleetlens.operators import documents as docs
 from fleetlens.plans.registry import query
 from fleetlens.sources import files, upsert
+from fleetlens.sources.stored import Stored
 
 NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'),
     '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
@@ -259,9 +260,10 @@ def chunk_codes(t):
     SELECT doc_id, 64 AS dimensions, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM documents""")
 def embeddings(t):
     """Every document encoded by the default model, in batches, into a new table."""
-    encode = plugins.encoder(plugins.hashing_model)
-    table = session.cut(t.documents.select("doc_id", encode(F.col("text")).alias("embedding")), "embeddings")
     from fleetlens.functions import vector
+    encode = plugins.encoder(plugins.hashing_model)
+    vectors = t.documents.select("doc_id", encode(F.col("text")).alias("embedding"))
+    table = docs.vectors_of(docs.store_vectors(vectors, session.shared_dir(t.spark, "embeddings"), "hashing", 64, 8), "hashing")
     return table.select("doc_id", F.size("embedding").alias("dimensions"), F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
 
 
@@ -403,7 +405,9 @@ def arrivals(t):
     SELECT doc_id, 'new' AS version, n_chars AS value FROM documents WHERE n_chars > 1000
     UNION ALL SELECT * FROM ({STORE_SQL}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000)""")
 def upsert_rows(t):
-    return upsert.upsert(store(t), arrivals(t), ["doc_id"], ["value"])
+    """Written back: the buckets that change are new, a second read sees the result."""
+    table = Stored.create(store(t), session.shared_dir(t.spark, "upserts"), ["doc_id"], 8)
+    return table.upsert(arrivals(t), ["value"]).read()
 
 
 @query("io09_insert_absent", "SELECT doc_id, 'new' AS version, n_chars AS value FROM documents WHERE n_chars > 1000 AND doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -417,12 +421,14 @@ def insert_absent(t):
 def replace_groups(t):
     stored = t.lineitem.select("l_orderkey", "l_linenumber", F.lit("stored").alias("origin"))
     incoming = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit("incoming").alias("origin"))
-    return upsert.replace_groups(stored, incoming, "l_orderkey")
+    table = Stored.create(stored, session.shared_dir(t.spark, "groups"), ["l_orderkey"], 8)
+    return table.replace_groups(incoming).read()
 
 
 @query("io11_keep_configured", "SELECT id, metric_name FROM telemetry WHERE metric_name IN (SELECT metric_name FROM ranges)")
 def keep_configured(t):
-    return upsert.keep_configured(t.telemetry, t.ranges, "metric_name").select("id", "metric_name")
+    table = Stored.create(t.telemetry.select("id", "metric_name"), session.shared_dir(t.spark, "configured"), ["metric_name"], 8)
+    return table.keep_configured(t.ranges).read()
 
 
 @query("io12_raw_payloads", """

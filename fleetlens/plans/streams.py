@@ -62,8 +62,10 @@ def realtime_rollup(t):
 def late_rows(t):
     """A rollup that missed some rows, brought up to date for the touched hours."""
     late = F.col("metric_value").between(50, 60)
-    stored = session.cut(rollup.hourly(t.clean.where(~late)), "missed")
-    return rounded(rollup.refresh_touched(stored, t.clean, t.clean.where(late)))
+    path = session.shared_dir(t.spark, "hours")
+    rollup.store(rollup.hourly(t.clean.where(~late)), path)
+    rollup.refresh_stored(t.clean, t.clean.where(late), path)
+    return rounded(rollup.stored(t.spark, path))
 
 
 def questions(t):

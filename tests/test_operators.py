@@ -524,3 +524,64 @@ def test_hash_sample_is_repeatable(spark):
     df = spark.range(4000).select(opsmetrics.hash_share(F.col("id").cast("string")).alias("s"))
     share = df.where("s < 0.1").count() / 4000
     assert 0.07 < share < 0.13
+
+
+# stored tables that change in place
+
+def test_stored_table_rewrites_touched_buckets_only(spark, tmp_path):
+    from fleetlens.sources.stored import Stored
+
+    first = spark.createDataFrame([(i, f"v{i}", i) for i in range(500)] + [(None, "null key", 0)], "k long, v string, n long")
+    table = Stored.create(first, str(tmp_path / "t"), ["k"], 100)
+    names = lambda t: {f.rsplit("/data/", 1)[1] for f in t.read().inputFiles()}
+    before = names(table)
+    incoming = spark.createDataFrame([(3, "a", 1), (3, "b", 2), (900, "new", 0), (None, "no", 1)], "k long, v string, n long")
+    table = table.upsert(incoming, ["n"])
+    again = Stored(spark, str(tmp_path / "t"))  # a second read sees the change
+    assert rows(again.read(), "k", "v", "n") == rows(upsert.upsert(first, incoming, ["k"], ["n"]), "k", "v", "n")
+    assert len(before - names(table)) <= 3 and len(before & names(table)) > 90
+    assert rows(Stored(spark, str(tmp_path / "t"), 0).read(), "k", "v", "n") == rows(first, "k", "v", "n")  # and so does a reader of the old version
+    table = table.insert_absent(spark.createDataFrame([(3, "no", 0), (901, "yes", 0)], "k long, v string, n long"))
+    table = table.replace_groups(spark.createDataFrame([(5, "five", 1), (5, "cinq", 2)], "k long, v string, n long"))
+    table = table.delete(spark.createDataFrame([(6,), (77777,)], "k long"))
+    got = {(r["k"], r["v"]) for r in table.read().where("k IN (3, 5, 6, 900, 901)").collect()}
+    assert got == {(3, "b"), (5, "five"), (5, "cinq"), (900, "new"), (901, "yes")}
+    kept = table.keep_configured(spark.createDataFrame([(k,) for k in range(490)], "k long"))
+    assert kept.read().agg(F.max("k")).first()[0] == 489
+    assert len(names(table) & names(kept)) > 50
+    empty = kept.delete(kept.read().select("k"))
+    assert empty.read().where("k IS NOT NULL").count() == 0 and empty.read().columns == ["k", "v", "n"]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from fleetlens.sources.stored import Stored
+
+    path = str(tmp_path / "t")
+    Stored.create(spark.createDataFrame([(1, "a")], "k long, v string"), path, ["k"], 4)
+    one, two = Stored(spark, path), Stored(spark, path)
+    one.upsert(spark.createDataFrame([(1, "b")], "k long, v string"), ["v"])
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        two.upsert(spark.createDataFrame([(1, "c")], "k long, v string"), ["v"])
+    assert [r["v"] for r in Stored(spark, path).read().collect()] == ["b"]
+
+
+def test_vectors_of_one_model(spark, tmp_path):
+    from fleetlens.sources.stored import Stored
+
+    kind = "doc_id long, embedding array<float>"
+    path = str(tmp_path / "v")
+    table = documents.store_vectors(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], kind), path, "small", 2, 8)
+    table = documents.add_vectors(table, spark.createDataFrame([(3, [9.0, 9.0]), (30, [0.0, 1.0])], kind), "small")
+    assert documents.vectors_of(table, "small").count() == 21
+    for refused in (lambda: documents.vectors_of(table, "large"), lambda: documents.add_vectors(table, table.read(), "large"),
+                    lambda: documents.reembed(table, spark.createDataFrame([(1, [1.0, 2.0, 3.0])], kind), "large", 3)):
+        with pytest.raises(ValueError):
+            refused()
+    with pytest.raises(Exception, match="another model"):
+        documents.add_vectors(table, spark.createDataFrame([(4, [1.0])], kind), "small")
+    assert Stored(spark, path).version == table.version
+    full = table.read().select("doc_id", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).cast("array<float>").alias("embedding"))
+    large = documents.reembed(table, full, "large", 3)
+    old, new = Stored(spark, path, table.version), Stored(spark, path)
+    assert documents.vectors_of(old, "small").where("size(embedding) != 2").count() == 0
+    assert documents.vectors_of(new, "large").where("size(embedding) != 3").count() == 0 and new.version == large.version

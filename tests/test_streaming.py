@@ -85,6 +85,86 @@ def test_document_stream(spark, tmp_path):
     assert documents.stored(spark, path).count() == 3
 
 
+def files_of(df):
+    return {f.rsplit("/data/", 1)[1] for f in df.inputFiles()}
+
+
+def test_ledger_reads_and_rewrites_touched_buckets_only(spark):
+    path = session.shared_dir(spark, "ledger")
+    sink = documents.ingest_sink(path, 60)
+    kind = "doc_id long, raw string"
+    for i in range(10):
+        sink(spark.createDataFrame([(j, f"text {j}") for j in range(20 * i, 20 * i + 20)], kind), i)
+    before = documents.ledger(spark, path)
+    late = spark.createDataFrame([(7, "changed"), (9_000, "text 3")], kind)
+    sink(late, 10)
+    after = documents.ledger(spark, path)
+    changed = {b for b in after.folders if after.folders[b] != before.folders.get(b)}
+    assert len(changed) <= 3 and len(before.folders) > 50 and after.version == before.version + 1
+    read = before.read(before.touched(documents.entries(late.selectExpr("doc_id", "sha2(raw, 256) AS content_hash"))))
+    assert len(files_of(read)) <= 4 < 50 < len(files_of(before.read()))
+    status = lambda: rows(spark.read.schema(documents.LOG).parquet(path).where("batch_id = 10"), "doc_id", "status")
+    assert status() == [(7, "replaced"), (9000, "skipped_duplicate")]
+    assert documents.stored(spark, path).count() == 200
+    sink(late, 10)  # the batch runs again, after it was written
+    assert status() == [(7, "replaced"), (9000, "skipped_duplicate")] and documents.ledger(spark, path).version == after.version
+    sink(spark.createDataFrame([(600, "text 7"), (601, "changed")], kind), 11)
+    assert rows(spark.read.schema(documents.LOG).parquet(path).where("batch_id = 11"), "doc_id", "status") == [(600, "ingested"), (601, "skipped_duplicate")]
+
+
+def test_stored_rollup_rewrites_touched_hours_only(spark, tmp_path):
+    import glob
+    import os
+
+    every = [reading(i, i / 3, float(i % 9)) for i in range(300)]
+    late = [reading(1000 + i, h, 5.0) for i, h in enumerate((1.5, 1.7, 50.2, 51.1, 99.9))]
+    everything = spark.createDataFrame(every + late, READING)
+    path = str(tmp_path / "hours")
+    rollup.store(rollup.hourly(everything.where("id < 1000")), path, "hour")
+    stamp = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/part=*/*.parquet")}
+    before = stamp()
+    cols = [*rollup.KEYS, "readings", "sum_value"]
+    for _ in range(2):
+        assert rollup.refresh_stored(everything, everything.where("id >= 1000"), path, "hour") == 4
+        assert rows(rollup.stored(spark, path), *cols) == rows(rollup.hourly(everything), *cols)
+    after = stamp()
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert len({f.split("part=")[1][:10] for f in before}) == 100 and len({f.split("part=")[1][:10] for f in kept}) == 96
+    assert rollup.refresh_stored(everything, everything.where("false"), path) == 0
+    days = str(tmp_path / "days")
+    rollup.store(rollup.hourly(everything.where("id < 1000")), days)
+    assert rollup.refresh_stored(everything, everything.where("id >= 1000"), days) == 3
+    assert rows(rollup.stored(spark, days), *cols) == rows(rollup.hourly(everything), *cols)
+
+
+def test_late_rows_read_the_files_of_their_hours(spark, tmp_path):
+    write_files(spark, tmp_path, READING, [[reading(i, d * 24 + i / 10, 1.0) for i in range(200)] for d in range(12)])
+    readings = spark.read.parquet(str(tmp_path))
+    hours = [T0 + dt.timedelta(hours=h) for h in (1, 2, 3, 200)]
+    plan = readings.where(rollup._within(hours))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan
+    assert readings.where(rollup._within(hours)).count() == readings.where(F.date_trunc("hour", "recorded_at").isin(hours)).count() > 0
+
+
+def test_scheduled_rollup_goes_on_where_it_ended(spark, tmp_path):
+    import time
+
+    write_files(spark, tmp_path / "in", READING, [[reading(i, i / 4) for i in range(40)]])
+    out = str(tmp_path / "out")
+    stream = spark.readStream.schema(READING).parquet(str(tmp_path / "in"))
+    q = telemetry.start_rollup(stream, out, "1 second")
+    try:
+        q.processAllAvailable()
+        write_files(spark, tmp_path / "in", READING, [[reading(100 + i, 5 + i / 4) for i in range(40)]])
+        time.sleep(1)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = telemetry.current_rollup(spark.read.option("basePath", out).parquet(out))
+    cols = [*rollup.KEYS, "readings", "sum_value"]
+    assert rows(got, *cols) == rows(rollup.hourly(spark.read.parquet(str(tmp_path / "in"))), *cols)
+
+
 def test_shared_folder_comes_from_the_session():
     def cluster(folder):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder if k == "spark.checkpoint.dir" else d),
