@@ -11,11 +11,12 @@ SEGMENT_BITS = BITS // SEGMENTS
 
 
 def sign_code(vector: Column) -> Column:
-    """One bit a dimension, set where the value is at least 0, of the first 64 dimensions; null for a null or
-    empty vector or one with a null value in it."""
+    """One bit a dimension, set where the value is at least 0; null for a null or empty vector or one with a null value
+    in it. A code has 64 bits: a vector of more dimensions is an error while the job runs, as the answers would be those of a part of it."""
+    wide = F.raise_error(F.lit(f"vectors of more than {BITS} dimensions have no code"))
     bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()), code)
+    return F.when(F.size(vector) > BITS, wide.cast("long")).when((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()), code)
 
 
 def _segment(code: Column, s: int) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 from pyspark.sql.types import NumericType
 
 from fleetlens.llm.frames import cut
 
 #: Bits of each dimension's bin number.
 BITS = 6
+#: Bins of values are broadcast up to so many bytes; beyond that the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def curve_index(bins: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -44,30 +46,52 @@ def curve_index(bins: np.ndarray, bits: int = BITS) -> np.ndarray:
     return place
 
 
-def _number(docs: DataFrame, name: str):
-    """A double that orders as the column does: strings by their first six UTF-8 bytes."""
-    kind = docs.schema[name].dataType
-    if isinstance(kind, NumericType):
-        return F.col(name).cast("double")
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(name).cast("string"), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+def value_bins(docs: DataFrame, name: str, bits: int = BITS) -> DataFrame:
+    """value and bin of every distinct value of a column, in the order of whole values: the share of rows with a smaller value, in
+    steps of one in 2^bits.
+
+    Values are counted first, then range-partitioned and sorted; running counts within a partition and a number for
+    each partition give the share, so that no task sees all values."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = docs.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    counts = cut(counts.repartitionByRange(parts, "value").withColumn("_part", F.spark_partition_id()), "values")
+    totals = sorted((r["_part"], r["n"]) for r in counts.groupBy("_part").agg(F.sum("n").alias("n")).collect())
+    before = [(p, sum(n for q, n in totals if q < p)) for p, _ in totals]
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(before, "_part int, _before long"))  # a row for each partition
+    total = max(sum(n for _, n in totals), 1)
+    smaller = F.col("_before") + F.sum("n").over(Window.partitionBy("_part").orderBy("value")) - F.col("n")
+    return counts.join(offsets, "_part").select("value", F.floor(smaller * (1 << bits) / total).cast("int").alias("bin"))
 
 
 def with_curve(docs: DataFrame, dimensions: list[str], bits: int = BITS, to: str = "curve") -> DataFrame:
-    """Adds the curve index of the named columns. Bins are quantiles over all rows, from one
-    aggregate of fixed size; a null is in the first bin."""
+    """Adds the curve index of the named columns. Bins are quantiles over all rows: of numbers from one
+    aggregate of fixed size, of other columns from counts of their whole values. A null is in the first bin."""
+    numeric = [isinstance(docs.schema[d].dataType, NumericType) for d in dimensions]
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    edges = docs.agg(*[F.percentile_approx(_number(docs, d), steps, 10_000).alias(f"e{i}") for i, d in enumerate(dimensions)]).first()
-    bounds = [np.array(edges[i] if edges and edges[i] else [], float) for i in range(len(dimensions))]
+    numbers = [d for d, n in zip(dimensions, numeric) if n]
+    edges = docs.agg(*[F.percentile_approx(F.col(d).cast("double"), steps, 10_000) for d in numbers], F.count("*")).first()
+    found = {d: np.array(edges[i] or [], float) for i, d in enumerate(numbers)}
+    rows, columns, names = docs, [], []
+    for i, d in enumerate(dimensions):
+        if numeric[i]:
+            columns.append(F.col(d).cast("double"))
+            continue
+        names.append(f"_bin{i}")
+        bins = cut(value_bins(docs, d, bits), "value-bins")
+        bins = bins.select(F.col("value").alias(f"_value{i}"), F.col("bin").alias(names[-1]))
+        size = bins.agg(F.coalesce(F.sum(F.octet_length(F.col(f"_value{i}").cast("string")) + 32), F.lit(0))).first()[0]
+        rows = rows.join(F.broadcast(bins) if size <= BROADCAST_BYTES else bins, F.col(d) == F.col(f"_value{i}"), "left").drop(f"_value{i}")
+        columns.append(F.col(names[-1]).cast("double"))
 
     @F.arrow_udf("long")
-    def place(*columns: pa.Array) -> pa.Array:
+    def place(*given: pa.Array) -> pa.Array:
         bins = []
-        for column, bound in zip(columns, bounds):
+        for column, d in zip(given, dimensions):
             values = column.to_numpy(zero_copy_only=False).astype(float)
-            bins.append(np.where(np.isnan(values), 0, np.searchsorted(bound, values, "left")))
+            bins.append(np.where(np.isnan(values), 0, np.searchsorted(found[d], values, "left") if d in found else values).astype(np.int64))
         return pa.array(curve_index(np.stack(bins, 1), bits), pa.int64())
 
-    return docs.withColumn(to, place(*[_number(docs, d) for d in dimensions]))
+    return rows.withColumn(to, place(*columns)).drop(*names)
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -238,6 +238,17 @@ def test_written_shards_prune(spark, tmp_path):
     assert min(x["n"] for x in spread) < 500 and min(x["s"] for x in spread) < 3
 
 
+def test_sources_of_a_common_prefix_are_told_apart(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"),
+                                    F.format_string("https://host%02d.example", F.col("id") % 50).alias("source"), F.lit(1).alias("n_chars"))
+    place = docs.select("doc_id", "source")
+    per = hilbert.assign_shards(docs, 25).join(place, "doc_id").groupBy("shard").agg(F.count_distinct("source").alias("n")).collect()
+    assert len(per) == 25 and max(x["n"] for x in per) <= 4
+    bins = {x["value"]: x["bin"] for x in hilbert.value_bins(docs.withColumn("source", F.when(F.col("doc_id") > 9, F.col("source"))), "source").collect()}
+    values = sorted(bins)
+    assert len(values) == 50 and all(abs(bins[v] - i * 64 / 50) <= 1 for i, v in enumerate(values)) and len(set(bins.values())) == 50
+
+
 # Nearest codes
 
 
@@ -282,9 +293,11 @@ def test_few_codes_and_none(spark):
 
 
 def test_sign_codes(spark):
-    vectors = [[1.0, -1.0, 0.0] + [-0.5] * 61, None, [], [1.0, None], [-1.0] * 63 + [2.0], [2.0] * 70]
+    vectors = [[1.0, -1.0, 0.0] + [-0.5] * 61, None, [], [1.0, None], [-1.0] * 63 + [2.0], [2.0] * 64]
     got = spark.createDataFrame([(v,) for v in vectors], "v array<float>").select(hamming_topk.sign_code(F.col("v")).alias("c")).collect()
     assert [x["c"] for x in got] == [5, None, None, None, signed(1 << 63), -1]
+    with pytest.raises(Exception, match="more than 64 dimensions"):
+        spark.createDataFrame([([2.0] * 70,)], "v array<float>").select(hamming_topk.sign_code(F.col("v"))).collect()
 
 
 # All together
