@@ -24,7 +24,12 @@ def _partial(clean: DataFrame) -> DataFrame:
     """Sums per vehicle, metric and mode: all that a mean needs, as the baseline depends on nothing else of a reading.
     The joins that follow see these rows instead of the readings."""
     return clean.groupBy("vehicle_id", "metric_name", "drive_mode").agg(
-        F.sum("metric_value").alias("_sum"), F.count("metric_value").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+        *_unit(clean), F.sum("metric_value").alias("_sum"), F.count("metric_value").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+
+
+def _unit(df: DataFrame) -> list:
+    """Readings that name their unit keep it."""
+    return [F.max("unit").alias("unit")] if "unit" in df.columns else []
 
 
 def _mean(where=None):
@@ -41,8 +46,9 @@ def compare(clean: DataFrame, vehicles: DataFrame, baselines: DataFrame, keys: l
     """AG11 + SF20: mean reading against the mean baseline, weighted by the mix
     of readings, with deviation and verdict. The largest tolerance counts."""
     actual, baseline = _mean()
-    means = with_baseline(_partial(clean), vehicles, baselines, how).groupBy(*keys).agg(
-        actual.alias("actual"), baseline.alias("baseline"), F.max("tolerance_pct").alias("tolerance_pct"), F.sum("_rows").alias("readings"))
+    parts = with_baseline(_partial(clean), vehicles, baselines, how)
+    means = parts.groupBy(*keys).agg(
+        *_unit(clean), actual.alias("actual"), baseline.alias("baseline"), F.max("tolerance_pct").alias("tolerance_pct"), F.sum("_rows").alias("readings"))
     return judge(means)
 
 

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import reference as ref
+from fleetlens import session
 from fleetlens.functions import fuzzy
 from fleetlens.operators import skew
 
 OUTCOME = """stop_reason string, iterations int, partial boolean, grounded boolean, error string, tools_selected array<string>,
     evidence_statuses array<string>, domains array<string>, query_type string, node_errors array<string>, latency_ms double, cost_usd double"""
+#: Clusters are the fixed names of CLUSTER_ORDER, so a row for each is always small enough to send.
 NEGATIVE = ["down", "implicit_down", "judge_low"]
 
 
@@ -25,10 +27,15 @@ def previous_turn(turns: DataFrame) -> DataFrame:
     return rows.withColumn("gap_s", (F.col("_at") - F.col("_previous_end")) / 1_000_000).drop("_at", "_end", "_previous_end")
 
 
-def rephrased(turns: DataFrame, window_s: float = ref.REPHRASE_WINDOW_S, similarity: float = ref.REPHRASE_SIMILARITY) -> DataFrame:
+def rephrased(turns: DataFrame, window_s: float = ref.REPHRASE_WINDOW_S, similarity: float = ref.REPHRASE_SIMILARITY,
+              flags: DataFrame | None = None) -> DataFrame:
     """DP18: turns whose question was soon asked again in other words. The gap is
-    tested first, so that only near turns reach the scorer."""
+    tested first, so that only near turns reach the scorer. A turn that has an implicit flag in `flags`
+    (turn_id, rating) already gets no second one."""
     near = previous_turn(turns).where((F.col("gap_s") >= 0) & (F.col("gap_s") <= window_s))
+    if flags is not None:
+        had = flags.where("rating = 'implicit_down'").select(F.col("turn_id").alias("previous_turn"))
+        near = near.join(had, "previous_turn", "left_anti")
     scored = near.withColumn("similarity", fuzzy.token_set_ratio(F.lower("previous_question"), F.lower("question")))
     return scored.where(F.col("similarity") >= similarity).select(
         "session_id", F.col("previous_turn").alias("turn_id"), F.lit("implicit_down").alias("rating"), F.lit("rephrased").alias("category"),
@@ -85,9 +92,15 @@ def with_signature(turns: DataFrame, slow_ms: float = ref.SLOW_MS) -> DataFrame:
     return signed.withColumn("cluster", F.element_at("signals", 1)).drop("_o")
 
 
+def signatures(turns: DataFrame) -> DataFrame:
+    """DP20: turn_id, cluster and signals of every turn, written once for all that reads them."""
+    return session.cut(with_signature(turns).select("turn_id", "cluster", "signals"), "signatures")
+
+
 def flagged_turns(flags: DataFrame, turns: DataFrame) -> DataFrame:
-    """Negative flags with the cluster of their turn."""
-    return flags.where(F.col("rating").isin(NEGATIVE)).join(with_signature(turns).select("turn_id", "cluster", "signals"), "turn_id")
+    """Negative flags with the cluster of their turn. turns: stored turns, or their signatures()."""
+    signed = turns if "signals" in turns.columns else with_signature(turns)
+    return flags.where(F.col("rating").isin(NEGATIVE)).join(signed.select("turn_id", "cluster", "signals"), "turn_id")
 
 
 def cluster_rank(cluster) -> Column:
@@ -101,7 +114,7 @@ def queue(items: DataFrame) -> DataFrame:
     keep = F.min_by(F.struct("id", "rating"), F.struct("created_at", "id"))
     open_ = items.where("review_status = 'new'").groupBy("cluster", "turn_id").agg(keep.alias("f"))
     sizes = open_.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
-    return open_.join(skew.small(sizes), "cluster").select("cluster", "cluster_size", "turn_id", F.col("f.id").alias("flag_id"), F.col("f.rating").alias("rating")).orderBy(
+    return open_.join(F.broadcast(sizes), "cluster").select("cluster", "cluster_size", "turn_id", F.col("f.id").alias("flag_id"), F.col("f.rating").alias("rating")).orderBy(
         F.desc("cluster_size"), cluster_rank(F.col("cluster")), "turn_id")
 
 
@@ -109,7 +122,7 @@ def cluster_status(items: DataFrame, promoted: DataFrame, results: DataFrame) ->
     """AG26: per cluster its flags, the cases that guard it, and its state.
     promoted: id, cluster, promoted_on; results: id, pass."""
     last = promoted.groupBy("cluster").agg(F.max("promoted_on").alias("_last"))
-    flags = items.join(skew.small(last), "cluster", "left").groupBy("cluster").agg(
+    flags = items.join(F.broadcast(last), "cluster", "left").groupBy("cluster").agg(
         F.count_distinct("turn_id").alias("flags"), F.count(F.when(F.col("review_status") == "new", 1)).alias("open"),
         F.count(F.when(F.col("review_status") == "dismissed", 1)).alias("dismissed"),
         F.count(F.when(F.to_date("created_at") > F.col("_last"), 1)).alias("new_since"))
@@ -127,7 +140,7 @@ def cluster_status(items: DataFrame, promoted: DataFrame, results: DataFrame) ->
 def coverage_warnings(drafts: DataFrame, existing: DataFrame, max_cases: int = ref.MAX_CASES_PER_CLUSTER) -> DataFrame:
     """DP21: drafts whose cluster has enough cases already."""
     counts = existing.groupBy("cluster").agg(F.count(F.lit(1)).alias("existing_cases")).where(F.col("existing_cases") >= max_cases)
-    return drafts.join(skew.small(counts), "cluster").select("id", "cluster", "existing_cases")
+    return drafts.join(F.broadcast(counts), "cluster").select("id", "cluster", "existing_cases")
 
 
 def is_failure() -> Column:

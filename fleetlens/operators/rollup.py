@@ -14,25 +14,29 @@ from fleetlens.operators import skew
 KEYS = ["hour", "vehicle_id", "metric_name", "drive_mode"]
 
 
-def measures():
-    """The partial aggregates of the rollup, for batch and stream alike."""
+def measures(readings: DataFrame):
+    """The partial aggregates of the rollup, for batch and stream alike. Readings that name their unit keep it."""
     v = F.col("metric_value")
-    return [F.count(F.lit(1)).alias("readings"), F.sum(v).alias("sum_value"), F.avg(v).alias("avg_value"),
+    return [*_unit(readings), F.count(F.lit(1)).alias("readings"), F.sum(v).alias("sum_value"), F.avg(v).alias("avg_value"),
             F.min(v).alias("min_value"), F.max(v).alias("max_value")]
 
 
+def _unit(df: DataFrame) -> list[Column]:
+    return [F.max("unit").alias("unit")] if "unit" in df.columns else []
+
+
 def hourly(clean: DataFrame) -> DataFrame:
     """AG7: partial sums meet before the shuffle, so a busy vehicle costs one
     row per hour and task. NULL mode is a group."""
     return clean.groupBy(
-        F.date_trunc("hour", "recorded_at").alias("hour"), "vehicle_id", "metric_name", "drive_mode").agg(*measures())
+        F.date_trunc("hour", "recorded_at").alias("hour"), "vehicle_id", "metric_name", "drive_mode").agg(*measures(clean))
 
 
 def rebucket(rollup: DataFrame, seconds: int, keys: list[str]) -> DataFrame:
     """AG8/AG9: wider buckets from rollup rows. The mean comes from the sums and
     counts, never from the hourly means."""
     return rollup.groupBy(timefn.time_bucket(seconds, F.col("hour")).alias("bucket"), *keys).agg(
-        F.sum("readings").alias("readings"), F.sum("sum_value").alias("sum_value"),
+        *_unit(rollup), F.sum("readings").alias("readings"), F.sum("sum_value").alias("sum_value"),
         (F.sum("sum_value") / F.sum("readings")).alias("avg_value"),
         F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens import reference as ref
+from fleetlens import session
 from fleetlens.functions import timefn
 from fleetlens.operators import feedback, matching, opsmetrics
 from fleetlens.plans.bindings import CTES
@@ -60,6 +61,10 @@ def recorded(t):
     return o.select("turn_id", "session_id", "created_at", "vehicle_id", F.to_json(F.struct(*fields)).alias("outcome"))
 
 
+def signed(t):
+    return feedback.signatures(recorded(t))
+
+
 def flags(t):
     o = outcomes(t).select("turn_id", "created_at", "value", "k")
     hour = F.expr("INTERVAL 1 HOUR")
@@ -90,11 +95,11 @@ def flagged_turns(t):
                WHERE rating <> 'up' AND review_status = 'new' GROUP BY 1, 2)
     SELECT cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size, turn_id, flag_id, CASE WHEN flag_id % 10 = 0 THEN 'down' ELSE 'implicit_down' END AS rating FROM o""")
 def review_queue(t):
-    return feedback.queue(feedback.flagged_turns(flags(t), recorded(t)))
+    return feedback.queue(session.cut(feedback.flagged_turns(flags(t), recorded(t)), "flagged"))
 
 
-def promoted(t):
-    o = feedback.with_signature(recorded(t)).select("turn_id", "cluster").join(outcomes(t).select("turn_id", "created_at", "value"), "turn_id")
+def promoted(t, signatures):
+    o = signatures.select("turn_id", "cluster").join(outcomes(t).select("turn_id", "created_at", "value"), "turn_id")
     rows = o.where("value > 150 AND cluster <> 'hit_limit'")
     cases = rows.select(F.concat(F.lit("prm_"), F.col("turn_id").cast("string")).alias("id"), "cluster", F.to_date("created_at").alias("promoted_on"))
     results = rows.where("value > 160 AND cluster <> 'wrong_tool'").select(
@@ -115,17 +120,19 @@ def promoted(t):
     SELECT *, cases - passing - failing AS not_yet_run, CASE WHEN cases > 0 AND passing = cases AND new_since = 0 THEN 'resolved' WHEN cases > 0 AND passing = cases THEN 'recurring'
       WHEN failing > 0 THEN 'fix in progress' WHEN cases > 0 THEN 'awaiting eval run' WHEN open > 0 THEN 'unreviewed' ELSE 'dismissed only' END AS state FROM j""")
 def cluster_status(t):
-    cases, results = promoted(t)
-    return feedback.cluster_status(feedback.flagged_turns(flags(t), recorded(t)), cases, results)
+    signatures = signed(t)
+    cases, results = promoted(t, signatures)
+    return feedback.cluster_status(feedback.flagged_turns(flags(t), signatures), cases, results)
 
 
 @query("dp21_coverage_warnings", """
     WITH e AS (SELECT cluster, count(*) AS existing_cases FROM signed WHERE value > 150 AND cluster <> 'hit_limit' GROUP BY 1 HAVING count(*) >= 3)
     SELECT turn_id AS id, s.cluster, existing_cases FROM signed s JOIN e ON e.cluster = s.cluster WHERE value > 100 AND value <= 150""")
 def coverage_warnings(t):
-    drafts = feedback.with_signature(recorded(t)).join(outcomes(t).select("turn_id", "value"), "turn_id").where("value > 100 AND value <= 150").select(
+    signatures = signed(t)
+    drafts = signatures.join(outcomes(t).select("turn_id", "value"), "turn_id").where("value > 100 AND value <= 150").select(
         F.col("turn_id").alias("id"), "cluster")
-    return feedback.coverage_warnings(drafts, promoted(t)[0])
+    return feedback.coverage_warnings(drafts, promoted(t, signatures)[0])
 
 
 @query("dp21_similar_cases")

@@ -23,9 +23,9 @@ def hourly(readings: DataFrame, late: str = LATE) -> DataFrame:
     return (
         readings.withWatermark("recorded_at", late)
         .groupBy(F.window("recorded_at", "1 hour").alias("_w"), "vehicle_id", "metric_name", "drive_mode")
-        .agg(*rollup.measures())
+        .agg(*rollup.measures(readings))
         .select(F.col("_w.start").alias("hour"), "vehicle_id", "metric_name", "drive_mode",
-                "readings", "sum_value", "avg_value", "min_value", "max_value"))
+                *(["unit"] if "unit" in readings.columns else []), "readings", "sum_value", "avg_value", "min_value", "max_value"))
 
 
 def start_rollup(readings: DataFrame, path: str, every: str = EVERY):

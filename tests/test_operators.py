@@ -502,6 +502,9 @@ def test_rephrase(spark):
         ("r", 4, "why is V-042's range so low", s(0), None), ("r", 5, "Why did range drop on V-042?", s(45), None)],
         "session_id string, turn_id long, question string, created_at timestamp, ended_at timestamp")
     assert rows(feedback.rephrased(turns), "turn_id", "gap_s") == [(1, 12.0)]
+    flags = lambda rating: spark.createDataFrame([(1, rating), (99, "implicit_down")], "turn_id long, rating string")
+    assert rows(feedback.rephrased(turns, flags=flags("down")), "turn_id", "gap_s") == [(1, 12.0)]
+    assert feedback.rephrased(turns, flags=flags("implicit_down")).count() == 0  # flagged already
 
 
 def test_queue_is_biggest_first_one_item_per_turn(spark):
@@ -526,6 +529,19 @@ def test_hash_sample_is_repeatable(spark):
     assert 0.07 < share < 0.13
 
 
+def test_units_are_kept(spark):
+    at = dt.datetime(2024, 1, 1, 5, 30)
+    readings = spark.createDataFrame([(1, "soc", "Eco", at, 50.0, "%"), (1, "soc", "Eco", at, 70.0, None), (2, "temp", None, at, 3.0, None)],
+                                     "vehicle_id long, metric_name string, drive_mode string, recorded_at timestamp, metric_value double, unit string")
+    hours = rollup.hourly(readings)
+    assert rows(hours, "vehicle_id", "avg_value", "unit") == [(1, 60.0, "%"), (2, 3.0, None)]
+    assert rows(rollup.rebucket(hours, 86400, ["vehicle_id"]), "vehicle_id", "readings", "unit") == [(1, 2, "%"), (2, 1, None)]
+    vehicles = spark.createDataFrame([(1, "M"), (2, "M")], "vehicle_id long, model_code string")
+    baselines = spark.createDataFrame([("M", "Eco", "soc", 40.0, 15.0)], "model_code string, drive_mode string, metric_name string, nominal_value double, tolerance_pct double")
+    assert rows(diagnose.compare(readings, vehicles, baselines, ["vehicle_id"]), "vehicle_id", "actual", "unit") == [(1, 60.0, "%")]
+    assert "unit" not in rollup.hourly(readings.drop("unit")).columns
+
+
 # stored tables that change in place
 
 def test_stored_table_rewrites_touched_buckets_only(spark, tmp_path):
