@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens import reference as ref
 from fleetlens import session
 from fleetlens.functions import fuzzy, markdown, plugins, text
 from fleetlens.operators import documents as docs
@@ -14,7 +15,7 @@ from fleetlens.sources.stored import Stored
 NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'),
     '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
 WORDS = r"list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
-STOP = "['a','an','and','are','as','at','be','but','by','can','do','does','for','from','how','i','if','in','is','it','its','of','on','or','so','that','the','their','them','then','there','these','this','to','was','what','when','where','which','who','why','will','with','would','you','your','my','me','we','our','any','all','has','have','had','not','no','than','too','very','just']"
+STOP = "[" + ",".join(f"'{w}'" for w in ref.STOPWORDS) + "]"
 CONTENT_WORDS = "list_filter(" + WORDS + ", lambda w: length(w) > 2 AND NOT list_contains(" + STOP + ", w))"
 STORED = f"""SELECT l.doc_id, sha256({NORM} || CASE WHEN quality = 0 THEN ' old' ELSE '' END) AS content_hash
              FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
@@ -89,7 +90,7 @@ LINES = r"""lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) A
 
 @query("sf19_content_lines", f"""
     WITH {LINES} SELECT doc_id, count(*) AS lines FROM lines WHERE length(line) > 1
-      AND NOT regexp_matches(lower(line), '^(\\d+\\s*min(\\s*read)?|read more:.*|share|table of contents|faqs?|frequently asked questions|home|blogs?)$') GROUP BY 1""")
+      AND NOT regexp_matches(lower(line), '{ref.FURNITURE_PATTERN}') GROUP BY 1""")
 def content_lines(t):
     return t.documents.select("doc_id", F.size(text.content_lines(F.col("text"), 2)).cast("long").alias("lines")).where("lines > 0")
 
@@ -297,7 +298,7 @@ def question_overlap(t):
 
 @query("dp37_cleaned_pages", f"""
     WITH {LINES}, k AS (SELECT doc_id, line, max(pos) AS pos FROM lines WHERE line <> ''
-      AND NOT regexp_matches(lower(line), '^(\\d+\\s*min(\\s*read)?|read more:.*|share|table of contents|faqs?|frequently asked questions|home|blogs?)$') GROUP BY 1, 2),
+      AND NOT regexp_matches(lower(line), '{ref.FURNITURE_PATTERN}') GROUP BY 1, 2),
     b AS (SELECT doc_id, replace(string_agg(line, chr(10) || chr(10) ORDER BY pos), 'MIT License', 'M License') AS body FROM k GROUP BY 1)
     SELECT d.doc_id AS page_id, body, CASE WHEN contains(body, 'Apache License') THEN 'refused' ELSE 'written' END AS status
     FROM b JOIN documents d ON d.doc_id = b.doc_id WHERE d.source <> 'src3'""")

@@ -23,7 +23,6 @@ PRICES = {
 
 # Column synonyms of a comparison row, in order of preference.
 ACTUAL_COLUMNS = ["actual", "actual_value", "observed", "measured", "avg_value", "avg_actual"]
-BASELINE_COLUMNS = ["baseline", "baseline_value", "nominal_value", "nominal", "expected"]
 
 DEFAULT_TOLERANCE_PCT = 10.0
 TIME_ZONE = "Asia/Kolkata"
@@ -70,8 +69,6 @@ CLUSTER_ORDER = [
 
 # Histogram bucket bounds.
 LATENCY_BUCKETS = [1.0, 2.5, 5.0, 10.0, 15.0, 20.0, 30.0, 45.0, 60.0, 90.0, 120.0]
-COST_BUCKETS = [0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.02, 0.05]
-SCORE_BUCKETS = [1.0, 2.0, 3.0, 4.0]
 
 # Chunking sizes, in characters.
 CHUNK_SIZE = 800
