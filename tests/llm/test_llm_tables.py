@@ -246,7 +246,7 @@ def test_sources_of_a_common_prefix_are_told_apart(spark):
     assert len(per) == 25 and max(x["n"] for x in per) <= 4
     bins = {x["value"]: x["bin"] for x in hilbert.value_bins(docs.withColumn("source", F.when(F.col("doc_id") > 9, F.col("source"))), "source").collect()}
     values = sorted(bins)
-    assert len(values) == 50 and all(abs(bins[v] - i * 64 / 50) <= 1 for i, v in enumerate(values)) and len(set(bins.values())) == 50
+    assert len(values) == 50 and all(abs(bins[v] - i * 64 / 50) <= 2 for i, v in enumerate(values)) and [bins[v] for v in values] == sorted(bins.values())
 
 
 # Nearest codes
