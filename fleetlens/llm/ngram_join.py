@@ -315,11 +315,18 @@ def _links(pairs: DataFrame, sets: DataFrame, name: str, similar: int) -> DataFr
     return cut(checked.select(F.col("hub").alias("a"), F.col("node").alias("b")), f"{name}-links")
 
 
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component."""
+    own, hubs = labels.withColumnRenamed("label", "_own"), labels.select(F.col("node").alias("hub"), F.col("label").alias("_hub"))
+    apart = F.coalesce("_own", "node") != F.coalesce("_hub", "hub")
+    return pairs.join(own, "node", "left").join(hubs, "hub", "left").where(apart).select("hub", "node")
+
+
 def link_components(docs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame | None:
     """node and label of the nodes that have a link, of the scanned rows; None if there is none.
 
     A bucket is the nodes of one signature. Signatures go to it as packed blocks, and are written nowhere. First each bucket's hub, its smallest
-    node, is checked against the other nodes: near copies of one text mostly share their hubs, so a bucket of thousands of them costs a few checks a node. Then the buckets whose nodes
+    node, is checked against the other nodes: each node with the hub it shares most buckets with, then with those hubs that this has not brought into its component. Then the buckets whose nodes
     are not all in one component are compared by blocks of nodes, on sizes and sketches alone; only pairs between different components
     that these allow are checked. No such pair is left out, and pairs that the components make needless are not looked at."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -329,8 +336,16 @@ def link_components(docs: DataFrame, rows: DataFrame, words: int = WORDS, simila
         return None
     first = rows.select("node", "doc_id").join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = _sets(docs, cut(first, "join-wanted"), words)
-    edges = _links(buckets.where("node != hub").select("hub", "node"), sets, "hub", similar)
+    pairs = cut(buckets.where("node != hub").groupBy("hub", "node").agg(F.count("*").alias("common")), "hub-pairs")
+    nearest = pairs.groupBy("node").agg(F.max_by("hub", F.struct("common", "hub")).alias("hub")).select("hub", "node")
+    edges = _links(nearest, sets, "nearest", similar)
     labels = None if edges.isEmpty() else components(edges)
+    # What is in one component already need not be checked again, which is most of what near copies have in common.
+    other = pairs.select("hub", "node") if labels is None else _between(pairs.select("hub", "node"), labels)
+    further = _links(other.join(nearest, ["hub", "node"], "left_anti"), sets, "hub", similar)
+    if not further.isEmpty():
+        edges = cut(edges.unionByName(further), "links")
+        labels = components(edges)
 
     # A hub has been checked against its whole bucket, so a bucket of two is done.
     known = buckets.where("size > 2").select("sig", "node", "size")
