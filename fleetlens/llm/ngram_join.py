@@ -325,8 +325,8 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame | None:
     """node and label of the nodes that have a link, of the scanned rows; None if there is none.
 
-    A bucket is the nodes of one signature. Signatures go to it as packed blocks, and are written nowhere. First each bucket's hub, its smallest
-    node, is checked against the other nodes: each node with the hub it shares most buckets with, then with those hubs that this has not brought into its component. Then the buckets whose nodes
+    A bucket is the nodes of one signature. Signatures go to it as packed blocks, and are written nowhere. First each bucket's hub, its
+    node with most shared signatures, is checked against the other nodes: each node with the hub it shares most buckets with, then with those hubs that this has not brought into its component. Then the buckets whose nodes
     are not all in one component are compared by blocks of nodes, on sizes and sketches alone; only pairs between different components
     that these allow are checked. No such pair is left out, and pairs that the components make needless are not looked at."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -336,7 +336,10 @@ def link_components(docs: DataFrame, rows: DataFrame, words: int = WORDS, simila
         return None
     first = rows.select("node", "doc_id").join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = _sets(docs, cut(first, "join-wanted"), words)
-    pairs = cut(buckets.where("node != hub").groupBy("hub", "node").agg(F.count("*").alias("common")), "hub-pairs")
+    degrees = buckets.groupBy("node").agg(F.count("*").alias("degree"))
+    best = buckets.join(degrees, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    pairs = buckets.select("sig", "node").join(best, "sig").where("node != hub").groupBy("hub", "node").agg(F.count("*").alias("common"))
+    pairs = cut(pairs, "hub-pairs")
     nearest = pairs.groupBy("node").agg(F.max_by("hub", F.struct("common", "hub")).alias("hub")).select("hub", "node")
     edges = _links(nearest, sets, "nearest", similar)
     labels = None if edges.isEmpty() else components(edges)
