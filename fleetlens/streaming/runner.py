@@ -11,12 +11,13 @@ from fleetlens.sources import upsert
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stored table as a stream of its files."""
+    """A stored table as a stream of its files: one file, or a folder of them. A pattern of one name stands for both, where
+    a plain path has to be a folder."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{{{name}.parquet}}")
 
 
 def to_folder(path: str) -> Callable[[DataFrame, int], None]:

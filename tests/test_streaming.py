@@ -44,6 +44,21 @@ def test_rollup_stream_equals_batch_and_backfill_catches_up(spark, tmp_path):
     assert rows(rollup.realtime(stored, everything, "2024-01-03 00:00:00"), *cols) == rows(rollup.hourly(everything), *cols)
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_stream_of_a_table_in_one_file_or_a_folder(spark, tmp_path, files):
+    import pandas as pd
+
+    table = tmp_path / "talks.parquet"
+    if files:
+        table.mkdir()
+    for i in range(files or 1):
+        pd.DataFrame({"n": [i, i + 10]}).to_parquet(table / f"part-{i}.parquet" if files else table)
+    (tmp_path / "other.parquet").mkdir()
+    pd.DataFrame({"x": ["no row of talks"]}).to_parquet(tmp_path / "other.parquet" / "part-0.parquet")
+    out = runner.drain(runner.stream_table(spark, str(tmp_path), "talks", 1), "talks")
+    assert rows(out, "n", "batch_id") == sorted([(i + t, i) for i in range(files or 1) for t in (0, 10)], key=str)
+
+
 def test_flags_on_arrival(spark, tmp_path):
     write_files(spark, tmp_path, READING, [[reading(1, 0, 250.0), reading(2, 0, 20.0), reading(3, 0, -100.0, "other")]])
     ranges = spark.createDataFrame([("m", -60.0, 150.0)], "metric_name string, min_value double, max_value double")
