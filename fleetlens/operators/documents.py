@@ -77,9 +77,10 @@ def lookup_table(keys):
         keys, lambda k: k.rlike(ref.LOOKUP_KEY_PATTERN))
 
 
-def promote_codes(docs: DataFrame) -> DataFrame:
+def promote_codes(docs: DataFrame, by_document: bool = False) -> DataFrame:
     """DP6: rows of every table that has a code and a meaning column, under
-    canonical names. A code defined twice keeps its last definition."""
+    canonical names. A code defined twice keeps its last definition: of all documents, or of each one with `by_document`,
+    where documents are manuals of their own that use the same codes."""
     blocks = docs.select("doc_id", F.posexplode(markdown.parse_blocks(F.col("body"))).alias("_block", "b")).where("b.kind = 'table'")
     names = F.create_map(*[F.lit(x) for kv in ref.CODE_COLUMNS.items() for x in kv])
     headers = F.transform("b.headers", lambda h: F.coalesce(F.try_element_at(names, text.column_key(h)), F.lit("")))
@@ -94,7 +95,7 @@ def promote_codes(docs: DataFrame) -> DataFrame:
     wide = rows.select("doc_id", "_block", "_row", *[cell(c) for c in ("code", "subsystem", "meaning", "recommended_action", "severity")])
     valid = wide.where(text.codes(F.col("code")) == F.array(F.col("code"))).where(F.col("meaning").isNotNull())
     values = F.struct("subsystem", "meaning", "recommended_action", "severity", F.col("doc_id").alias("source_document"))
-    last = valid.groupBy("code").agg(F.max_by(values, F.struct("doc_id", "_block", "_row")).alias("v"))
+    last = valid.groupBy("code", *(["doc_id"] if by_document else [])).agg(F.max_by(values, F.struct("doc_id", "_block", "_row")).alias("v"))
     return last.select("code", "v.*")
 
 

@@ -601,3 +601,41 @@ def test_vectors_of_one_model(spark, tmp_path):
     old, new = Stored(spark, path, table.version), Stored(spark, path)
     assert documents.vectors_of(old, "small").where("size(embedding) != 2").count() == 0
     assert documents.vectors_of(new, "large").where("size(embedding) != 3").count() == 0 and new.version == large.version
+
+
+def equals_sql(spark, folder, name):
+    """Rows of a query and of its SQL over the tables in a folder."""
+    import glob
+    import os
+
+    import duckdb
+
+    from fleetlens.plans import catalogue
+    from tools.check import cell
+    db = duckdb.connect()
+    for f in glob.glob(f"{folder}/*.parquet"):
+        db.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    df = catalogue.QUERIES[name](spark, str(folder))
+    cols = sorted(df.columns)
+    cur = db.execute(catalogue.ORACLES[name])
+    have = [d[0] for d in cur.description]
+    want = sorted(str(tuple(cell(r[have.index(c)]) for c in cols)) for r in cur.fetchall())
+    assert sorted(str(tuple(cell(r[c]) for c in cols)) for r in df.collect()) == want and want
+
+
+def write_documents(folder, ids, n_chars):
+    import pandas as pd
+    pd.DataFrame({"doc_id": ids, "text": [f"text of {i}" for i in ids], "lang": "en", "source": [f"src{i % 3}" for i in ids],
+                  "n_chars": pd.array(n_chars, dtype="Int64")}).to_parquet(folder / "documents.parquet")
+
+
+def test_codes_of_many_documents_come_again(spark, tmp_path):
+    ids = [5, 6, 260_005, 520_005]
+    write_documents(tmp_path, ids, [9] * len(ids))
+    equals_sql(spark, tmp_path, "dp06_promoted_codes")
+
+
+def test_numbers_halfway_go_to_the_even_digit(spark, tmp_path):
+    n = [3 * x for x in (0, 1, 9999, 10_000, 12_345, 12_355, 12_346, 99_995, 123_450, 123_550, 123_451, 999_950, 1_234_500)] + [29_998, 29_999, 37_036, 299_986, None]
+    write_documents(tmp_path, list(range(len(n))), n)
+    equals_sql(spark, tmp_path, "sf30_cut_text")
