@@ -21,7 +21,8 @@ HITS = "query_id long, chunk_id long, score double"
 K1, B = 1.2, 0.75
 MAX_QUERIES = 4096
 CELL_ROWS = 50_000
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
+GRID, GRID_ROWS = 8, 32_768
 FOUND = "chunk_id long, domain string, len long, words array<long>, tfs array<long>"
 MAX_WORDS, MAX_ASKED = 500_000, 1_000_000
 
@@ -33,26 +34,57 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _nearest(query_vectors, chunk_ids, chunk_vectors, k: int, best=None):
-    """Scores and ids of the k best chunks so far for each query; equal scores go to the lower id.
-    `best` is what earlier chunks gave. At most BLOCK_BYTES of scores exist at a time."""
-    n = len(query_vectors)
+    """Scores and ids of the k best chunks so far for each query; equal scores go to the lower id. Where there are fewer than k, the
+    scores left are -inf. `best` is what earlier chunks gave. At most BLOCK_BYTES of scores exist at a time.
+
+    Scores are first taken in single precision; those that can reach a query's k-th are taken again in double precision, rounded and
+    sorted. Where they are many (copies), the block is taken again whole."""
+    n, by_id = len(query_vectors), np.argsort(chunk_ids, kind="stable")
     step = max(k, BLOCK_BYTES // (8 * max(n, 1)))
-    for i in range(0, len(chunk_ids), step):
-        by_id = np.argsort(chunk_ids[i:i + step], kind="stable") + i
-        scores = np.round(query_vectors @ chunk_vectors[by_id].T, 6)
+    first = min(step, max(k, 256)) if best is None else 0
+    if best is None:
+        part = by_id[:first]
+        scores = np.round(query_vectors @ chunk_vectors[part].T, 6)
         top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        scores, ids = np.take_along_axis(scores, top, axis=1), chunk_ids[by_id][top]
-        if best is not None:
-            scores, ids = np.concatenate((best[0], scores), axis=1), np.concatenate((best[1], ids), axis=1)
-            top = np.lexsort((ids, -scores), axis=1)[:, :k]
-            scores, ids = np.take_along_axis(scores, top, axis=1), np.take_along_axis(ids, top, axis=1)
-        best = scores, ids
+        pad = ((0, 0), (0, k - top.shape[1]))
+        best = np.pad(np.take_along_axis(scores, top, axis=1), pad, constant_values=-np.inf), np.pad(chunk_ids[part][top], pad)
+    rough, slack = query_vectors.astype("float32"), 6e-7 + 1.2e-7 * (query_vectors.shape[1] + 8)
+    for i in range(first, len(by_id), step):
+        part = by_id[i:i + step]
+        ids, vectors = chunk_ids[part], chunk_vectors[part]
+        last = np.where(np.isnan(best[0][:, -1]), -np.inf, best[0][:, -1])
+        # An equal score counts only for an id below the k-th; ids come in order.
+        least = last + np.where(best[1][:, -1] < ids[0], 4e-7, -6e-7)
+        at = np.flatnonzero(rough @ vectors.astype("float32").T >= (last - slack).astype("float32")[:, None])
+        if len(at) * 64 > n * len(ids):
+            row, col = np.nonzero((scores := query_vectors @ vectors.T) >= least[:, None])
+            score = scores[row, col]
+        else:
+            row, col = np.divmod(at, len(ids))
+            score = np.einsum("ij,ij->i", query_vectors[row], vectors[col])
+            row, col, score = (x[score >= least[row]] for x in (row, col, score))
+        if not len(row):
+            continue
+        own = np.unique(row)
+        rows = np.concatenate((np.repeat(own, k), row))
+        every, found = np.concatenate((best[0][own].ravel(), np.round(score, 6))), np.concatenate((best[1][own].ravel(), ids[col]))
+        order = np.lexsort((found, -every, rows))
+        take = order[np.searchsorted(rows[order], own)[:, None] + np.arange(k)]
+        best[0][own], best[1][own] = every[take], found[take]
     return best
 
 
 def _hits(query_ids, best) -> pd.DataFrame:
     scores, ids = best
-    return pd.DataFrame({"query_id": np.repeat(query_ids, ids.shape[1]), "chunk_id": ids.ravel(), "score": scores.ravel()})
+    there = scores.ravel() > -np.inf
+    there |= np.isnan(scores.ravel())
+    return pd.DataFrame({"query_id": np.repeat(query_ids, ids.shape[1])[there], "chunk_id": ids.ravel()[there], "score": scores.ravel()[there]})
+
+
+def _grid(rows: int, size: int) -> int:
+    """In how many blocks or cells of `size` rows a side is cut. Each meets all of the other side, so beyond GRID of them they
+    hold up to GRID_ROWS rows: what a task holds is bounded, and a row is sent to as few tasks as that allows."""
+    return min(-(-rows // size), max(GRID, -(-rows // GRID_ROWS)))
 
 
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = MAX_QUERIES,
@@ -62,7 +94,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
     Each task scores its chunks as matrix products of bounded size and keeps k per query, so
     pairs are never rows. Up to `max_queries` queries (counted first) travel to
     the tasks and the chunks stay where they are. More queries are cut into
-    blocks, chunks into cells of about `cell_rows` by a hash of their id, and
+    blocks, chunks into cells of about `cell_rows` by a hash of their id (larger ones of many, see `_grid`), and
     each block meets each cell; a domain with most of the chunks has most cells."""
     q = queries.where(F.col("embedding").isNotNull()).select("query_id", "domain", "embedding")
     c = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "domain", "embedding")
@@ -83,8 +115,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
 
         hits = c.mapInPandas(score, HITS)
     else:
-        blocks = int(np.ceil(q.count() / max_queries))
-        cells = int(np.ceil(c.count() / cell_rows))
+        blocks, cells = _grid(q.count(), max_queries), _grid(c.count(), cell_rows)
         left = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
             "_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<long>")))
         right = c.withColumn("_cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells))).withColumn(

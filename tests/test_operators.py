@@ -639,3 +639,29 @@ def test_numbers_halfway_go_to_the_even_digit(spark, tmp_path):
     n = [3 * x for x in (0, 1, 9999, 10_000, 12_345, 12_355, 12_346, 99_995, 123_450, 123_550, 123_451, 999_950, 1_234_500)] + [29_998, 29_999, 37_036, 299_986, None]
     write_documents(tmp_path, list(range(len(n))), n)
     equals_sql(spark, tmp_path, "sf30_cut_text")
+
+
+def test_nearest_in_blocks_equals_all_at_once(monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    v = search._unit(list(np.round(rng.normal(size=(700, 3)), 1)))
+    v[100:400] = v[0]                                     # many copies: ties at every place
+    ids = rng.permutation(700)
+    scores = np.round(v @ v.T, 6)
+    for k in (1, 5, 40):
+        want = [sorted(zip(-row, ids))[:k] for row in scores]
+        for block in (8 * 700 * 3, 8 * 700 * 90, 16 << 20):
+            monkeypatch.setattr(search, "BLOCK_BYTES", block)
+            best = None
+            for part in np.array_split(np.arange(700), 3):
+                best = search._nearest(v, ids[part], v[part], k, best)
+            assert [list(zip(-s, i)) for s, i in zip(*best)] == want
+    few = search._hits(ids, search._nearest(v, ids[:2], v[:2], 5))
+    assert len(few) == 1400
+
+
+def test_nearest_blocks_of_many_rows_stay_few():
+    # Each row is sent once a block or cell of the other side.
+    assert search._grid(1_000, 200) == 5 and search._grid(100_000, 200) == 8
+    assert search._grid(615_000, 200) == search._grid(615_000, 4_096) == 19
+    assert search._grid(100, 4_096) == 1
