@@ -1,7 +1,8 @@
 """Hybrid search of many queries at once.
 
 queries: query_id, domain, query, embedding, terms (array of entity names)
-chunks:  chunk_id, doc_id, domain, content, applies_to_models, embedding"""
+chunks:  chunk_id, doc_id, domain, content, applies_to_models, embedding
+vectors: chunk_id, domain, embedding, where chunks have no vectors of their own: a join that would bring them together shuffles all texts"""
 
 from __future__ import annotations
 
@@ -339,14 +340,15 @@ def with_status(queries: DataFrame, ranked: DataFrame, threshold: float = ref.CO
         "query_id", status.alias("status"), "best_score", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, k: int = ref.CANDIDATE_K) -> DataFrame:
-    fused = fuse(dense_top_k(queries, chunks, k), sparse_top_k(queries, chunks, k))
+def candidates(queries: DataFrame, chunks: DataFrame, k: int = ref.CANDIDATE_K, vectors: DataFrame | None = None) -> DataFrame:
+    fused = fuse(dense_top_k(queries, chunks if vectors is None else vectors, k), sparse_top_k(queries, chunks, k))
     return with_boost(fused, queries, chunks, k=k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, threshold: float = ref.CONFIDENCE_THRESHOLD, score=text.word_overlap) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, threshold: float = ref.CONFIDENCE_THRESHOLD, score=text.word_overlap,
+           vectors: DataFrame | None = None) -> DataFrame:
     """DP16: every query with its status and, one row each, the chunks it keeps."""
-    ranked = session.cut(rerank(candidates(queries, chunks), score, queries=queries, chunks=chunks), "ranked")
+    ranked = session.cut(rerank(candidates(queries, chunks, vectors=vectors), score, queries=queries, chunks=chunks), "ranked")
     kept = ranked.where(F.col("rerank_score") >= threshold).select(
         "query_id", "final_rank", "chunk_id", "doc_id", "rerank_score", (F.col("boost") > 0).alias("boosted"), "rerank_skipped")
     return with_status(queries, ranked, threshold).join(kept, "query_id", "left")

@@ -55,9 +55,14 @@ def side(column):
 
 def chunk_table(t):
     """Every document; one without a vector is found by its words."""
-    return t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left").select(
-        F.col("doc_id").alias("chunk_id"), "doc_id", side("doc_id").alias("domain"), F.col("text").alias("content"),
-        F.array("source").alias("applies_to_models"), "embedding")
+    return t.documents.select(F.col("doc_id").alias("chunk_id"), "doc_id", side("doc_id").alias("domain"), F.col("text").alias("content"),
+                              F.array("source").alias("applies_to_models"))
+
+
+def chunk_vectors(t):
+    """The vectors of the documents that have one."""
+    ids = t.documents.select(F.col("doc_id").alias("chunk_id"))
+    return ids.join(t.embeddings, F.col("chunk_id") == F.col("vec_id")).select("chunk_id", side("chunk_id").alias("domain"), "embedding")
 
 
 def query_table(t):
@@ -104,7 +109,7 @@ def cosine(t):
 
 @query("dp10_dense_candidates", upto(CHUNKS, QUERIES, DENSE) + "SELECT * FROM dense")
 def dense_candidates(t):
-    return search.dense_top_k(query_table(t), chunk_table(t), 50)
+    return search.dense_top_k(query_table(t), chunk_vectors(t), 50)
 
 
 @query("dp11_sparse_candidates", upto(CHUNKS, QUERIES, SPARSE) + "SELECT * FROM sparse")
@@ -116,23 +121,23 @@ def sparse_candidates(t):
 def fused_ranks(t):
     """J8/W8/DP12"""
     q, c = query_table(t), chunk_table(t)
-    return search.fuse(search.dense_top_k(q, c, 50), search.sparse_top_k(q, c, 50)).withColumn("hybrid_score", F.round("hybrid_score", 9))
+    return search.fuse(search.dense_top_k(q, chunk_vectors(t), 50), search.sparse_top_k(q, c, 50)).withColumn("hybrid_score", F.round("hybrid_score", 9))
 
 
 @query("dp13_boosted_candidates", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED) + "SELECT query_id, chunk_id, position, boost::DOUBLE AS boost FROM cand")
 def boosted_candidates(t):
-    return search.candidates(query_table(t), chunk_table(t)).select("query_id", "chunk_id", "position", "boost")
+    return search.candidates(query_table(t), chunk_table(t), vectors=chunk_vectors(t)).select("query_id", "chunk_id", "position", "boost")
 
 
 @query("w09_decisive_leader", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED) + "SELECT query_id, rerank_skipped FROM skip")
 def decisive_leader(t):
-    return search.decisive(search.candidates(query_table(t), chunk_table(t)))
+    return search.decisive(search.candidates(query_table(t), chunk_table(t), vectors=chunk_vectors(t)))
 
 
 @query("dp14_reranked", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED) + "SELECT query_id, chunk_id, final_rank, rerank_score FROM ranked")
 def reranked(t):
     q, c = query_table(t), chunk_table(t)
-    return search.rerank(search.candidates(q, c), queries=q, chunks=c).select("query_id", "chunk_id", "final_rank", "rerank_score")
+    return search.rerank(search.candidates(q, c, vectors=chunk_vectors(t)), queries=q, chunks=c).select("query_id", "chunk_id", "final_rank", "rerank_score")
 
 
 WORD_SETS = """list_filter(list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')), lambda x: x <> '')"""
@@ -144,7 +149,7 @@ def pair_scorer(t):
     """The shortlist scored by a plug-in model in small batches."""
     score = plugins.scorer(plugins.shared_words_model)
     q, c = query_table(t), chunk_table(t)
-    return search.rerank(search.candidates(q, c), score, queries=q, chunks=c).select("query_id", "chunk_id", "final_rank", "rerank_score")
+    return search.rerank(search.candidates(q, c, vectors=chunk_vectors(t)), score, queries=q, chunks=c).select("query_id", "chunk_id", "final_rank", "rerank_score")
 
 
 @query("ud03_encoder", r"""
@@ -161,14 +166,14 @@ def encoder(t):
 @query("dp15_search_status", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED, STATUS) + "SELECT * FROM status")
 def search_status(t):
     q, c = query_table(t), chunk_table(t)
-    return search.with_status(q, search.rerank(search.candidates(q, c), queries=q, chunks=c))
+    return search.with_status(q, search.rerank(search.candidates(q, c, vectors=chunk_vectors(t)), queries=q, chunks=c))
 
 
 @query("dp16_batch_search", upto(CHUNKS, QUERIES, DENSE, SPARSE, FUSED, BOOSTED, RERANKED, STATUS) + """
     SELECT s.*, final_rank, chunk_id, chunk_id AS doc_id, rerank_score, boost > 0 AS boosted, rerank_skipped
     FROM status s LEFT JOIN (SELECT * FROM ranked WHERE rerank_score >= 0.3) r USING (query_id)""")
 def batch_search(t):
-    return search.search(query_table(t), chunk_table(t))
+    return search.search(query_table(t), chunk_table(t), vectors=chunk_vectors(t))
 
 
 EVAL = """near AS (SELECT a.vec_id AS q, a.label AS label, b.label AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s,
@@ -333,7 +338,7 @@ def copies(t):
 def one_sided_hits(t):
     """The full outer join of the two ranked lists: what each side found alone."""
     q, c = query_table(t), chunk_table(t)
-    fused = search.fuse(search.dense_top_k(q, c, 50), search.sparse_top_k(q, c, 50))
+    fused = search.fuse(search.dense_top_k(q, chunk_vectors(t), 50), search.sparse_top_k(q, c, 50))
     d, s = F.col("dense_rank"), F.col("sparse_rank")
     return fused.groupBy("query_id").agg(
         F.count(F.when(d.isNull(), 1)).alias("sparse_only"), F.count(F.when(s.isNull(), 1)).alias("dense_only"),

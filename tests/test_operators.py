@@ -665,3 +665,11 @@ def test_nearest_blocks_of_many_rows_stay_few():
     assert search._grid(1_000, 200) == 5 and search._grid(100_000, 200) == 8
     assert search._grid(615_000, 200) == search._grid(615_000, 4_096) == 19
     assert search._grid(100, 4_096) == 1
+
+
+def test_search_queries_join_no_texts(spark):
+    from fleetlens.plans import retrieval
+    from fleetlens.plans.bindings import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert retrieval.chunk_table(t).select("chunk_id", "content")._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert "text" not in retrieval.chunk_vectors(t)._jdf.queryExecution().optimizedPlan().toString()
