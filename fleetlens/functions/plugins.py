@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.functions.text import slices
+
 WORD = re.compile(r"\w+")
 BATCH = 32
 
@@ -24,11 +26,12 @@ def encoder(factory: Callable[[], Callable[[list[str]], np.ndarray]], batch: int
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for texts in batches:
-            values = texts.fillna("").tolist()
-            vectors: list = []
-            for i in range(0, len(values), batch):
-                vectors.extend(np.asarray(model(values[i:i + batch]), dtype="float32"))
-            yield pd.Series(vectors, dtype="object")
+            for part in slices(texts.fillna("")):
+                values = texts[part].fillna("").tolist()
+                vectors: list = []
+                for i in range(0, len(values), batch):
+                    vectors.extend(np.asarray(model(values[i:i + batch]), dtype="float32"))
+                yield pd.Series(vectors, dtype="object")
 
     return encode
 

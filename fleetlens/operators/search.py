@@ -23,7 +23,8 @@ K1, B = 1.2, 0.75
 MAX_QUERIES = 4096
 CELL_ROWS = 50_000
 BLOCK_BYTES = 16 << 20
-GRID, GRID_ROWS = 8, 32_768
+GRID_ROWS = 32_768
+SLICE_WORDS = 1_000_000
 FOUND = "chunk_id long, domain string, len long, words array<long>, tfs array<long>"
 MAX_WORDS, MAX_ASKED = 500_000, 1_000_000
 
@@ -82,12 +83,6 @@ def _hits(query_ids, best) -> pd.DataFrame:
     return pd.DataFrame({"query_id": np.repeat(query_ids, ids.shape[1])[there], "chunk_id": ids.ravel()[there], "score": scores.ravel()[there]})
 
 
-def _grid(rows: int, size: int) -> int:
-    """In how many blocks or cells of `size` rows a side is cut. Each meets all of the other side, so beyond GRID of them they
-    hold up to GRID_ROWS rows: what a task holds is bounded, and a row is sent to as few tasks as that allows."""
-    return min(-(-rows // size), max(GRID, -(-rows // GRID_ROWS)))
-
-
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = MAX_QUERIES,
                 cell_rows: int = CELL_ROWS) -> DataFrame:
     """J15/DP10: the k nearest chunks of each query within its domain, exact. A query or chunk without a vector takes no part.
@@ -95,7 +90,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
     Each task scores its chunks as matrix products of bounded size and keeps k per query, so
     pairs are never rows. Up to `max_queries` queries (counted first) travel to
     the tasks and the chunks stay where they are. More queries are cut into
-    blocks, chunks into cells of about `cell_rows` by a hash of their id (larger ones of many, see `_grid`), and
+    blocks, chunks into cells of about `cell_rows` by a hash of their id (larger ones of many, see `skew.grid`), and
     each block meets each cell; a domain with most of the chunks has most cells."""
     q = queries.where(F.col("embedding").isNotNull()).select("query_id", "domain", "embedding")
     c = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "domain", "embedding")
@@ -116,7 +111,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
 
         hits = c.mapInPandas(score, HITS)
     else:
-        blocks, cells = _grid(q.count(), max_queries), _grid(c.count(), cell_rows)
+        blocks, cells = skew.grid(q.count(), max_queries, GRID_ROWS), skew.grid(c.count(), cell_rows, GRID_ROWS)
         left = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
             "_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<long>")))
         right = c.withColumn("_cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells))).withColumn(
@@ -132,6 +127,13 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int
     return skew.top_per_key(hits, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
+def _slices(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """A batch of texts in parts of about SLICE_WORDS words: what is computed for a word is bounded, however long the texts are."""
+    upto = np.cumsum(pc.list_value_length(batch.column("_words")).to_numpy())
+    cuts = [0, *(np.flatnonzero(np.diff(upto // SLICE_WORDS)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def _found(asked: DataFrame, chunks: DataFrame, max_words: int) -> DataFrame:
     """chunk_id, domain, len, words, tfs: per chunk its words in all, and which of the asked words it has how often
     (words as numbers). Up to `max_words` different words travel to the texts, which stay where they are; a larger set
@@ -143,7 +145,7 @@ def _found(asked: DataFrame, chunks: DataFrame, max_words: int) -> DataFrame:
         names, numbers = head.column("word").combine_chunks(), head.column("_word").to_numpy()
 
         def count(batches):
-            for batch in batches:
+            for batch in (part for whole in batches for part in _slices(whole)):
                 lists = batch.column("_words")
                 sizes = pc.list_value_length(lists).to_numpy()
                 at = pc.index_in(lists.flatten(), value_set=names)

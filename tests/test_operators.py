@@ -662,9 +662,10 @@ def test_nearest_in_blocks_equals_all_at_once(monkeypatch):
 
 def test_nearest_blocks_of_many_rows_stay_few():
     # Each row is sent once a block or cell of the other side.
-    assert search._grid(1_000, 200) == 5 and search._grid(100_000, 200) == 8
-    assert search._grid(615_000, 200) == search._grid(615_000, 4_096) == 19
-    assert search._grid(100, 4_096) == 1
+    assert skew.grid(1_000, 200, 32_768) == 5 and skew.grid(100_000, 200, 32_768) == 8
+    assert skew.grid(615_000, 200, 32_768) == skew.grid(615_000, 4_096, 32_768) == 19
+    assert skew.grid(100, 4_096, 32_768) == 1
+    assert skew.grid(900_000, 10_000, matching.MOST_CELL) == 8 and skew.grid(5_400_000, 10_000, matching.MOST_CELL) == 21
 
 
 def test_search_queries_join_no_texts(spark):
@@ -672,4 +673,18 @@ def test_search_queries_join_no_texts(spark):
     from fleetlens.plans.bindings import Tables
     t = Tables(spark, "/root/testdata/sf0.001")
     assert retrieval.chunk_table(t).select("chunk_id", "content")._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
-    assert "text" not in retrieval.chunk_vectors(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text:string" not in retrieval.chunk_vectors(t)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_go_through_python_in_slices():
+    import pandas as pd
+
+    from fleetlens.functions import markdown, plugins, text
+    texts = pd.Series(["a b " * 50_000, None, "", "x"] * 30)
+    titles = pd.Series(["t"] * len(texts))
+    parts = list(markdown.split_chunks.func(iter([(texts, titles)])))
+    assert len(parts) > 1 and [c for p in parts for c in p] == [markdown.chunks(s or "", "t") for s in texts]
+    parts = list(plugins.encoder(plugins.hashing_model).func(iter([texts])))
+    assert len(parts) > 1 and sum(map(len, parts)) == len(texts)
+    assert [len(texts[p]) for p in text.slices(["abc", "", "abcd", "a"], 5)] == [3, 1]
+    assert list(text.slices([])) == []
