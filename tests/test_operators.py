@@ -688,3 +688,12 @@ def test_texts_go_through_python_in_slices():
     assert len(parts) > 1 and sum(map(len, parts)) == len(texts)
     assert [len(texts[p]) for p in text.slices(["abc", "", "abcd", "a"], 5)] == [3, 1]
     assert list(text.slices([])) == []
+
+
+def test_ids_are_matched_without_gathering_them_on_the_driver(spark, tmp_path):
+    spark.range(50).write.parquet(str(tmp_path / "ids"))
+    known = spark.read.parquet(str(tmp_path / "ids")).select(F.format_string("V-%06d", "id").alias("known"))
+    raws = known.select(F.concat("known", F.lit("9")).alias("raw"))
+    close = matching.close_pairs(raws.withColumn("q", F.col("raw")), known.withColumn("n", F.col("known")), 78.0)
+    for df in (close, matching.resolve(raws, known), matching.candidate_arms(raws, known)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
