@@ -121,13 +121,19 @@ def signatures(tokens: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
 
 
 def _scan(batches, words: int):
-    """Per row the key, the set's size and its digest."""
+    """Per row the key, the set's size and its digest, and the sketch of a set that the task has not met before."""
+    seen: set[int] = set()
     for batch in batches:
         for a, b, texts in text_slices(batch.column(1)):
             sets = [shingles(t, words) for t in texts]
             digests = [set_digest(tokens) if len(tokens) else None for tokens in sets]
+            sketches = []
+            for tokens, digest in zip(sets, digests):
+                sketches.append(None if digest is None or digest in seen else sketch(tokens))
+                seen.add(digest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b], pa.array([len(tokens) for tokens in sets], pa.int64()), pa.array(digests, pa.int64())], ["doc_id", "n", "node"])
+                [batch.column(0)[a:b], pa.array([len(tokens) for tokens in sets], pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.binary())],
+                ["doc_id", "n", "node", "sketch"])
     _words.clear()  # a worker lives on for other stages
 
 
@@ -215,13 +221,26 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def _counts(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def _may_link(batches, similar: int):
+    """The rows (hub, node, common) whose sizes and sketches (n, hub_n, sketch, hub_sketch) allow a link."""
+    for batch in batches:
+        n, m = batch.column("n").to_numpy(), batch.column("hub_n").to_numpy()
+        least = np.abs(_counts(batch.column("sketch")) - _counts(batch.column("hub_sketch"))).sum(1)
+        fits = pa.array((least <= (n + m) * (100 - similar) // (100 + similar)) & (100 * np.minimum(n, m) >= similar * np.maximum(n, m)))
+        yield batch.select(["hub", "node", "common"]).filter(fits)
+
+
 def _apart(batches, similar: int):
     """Of rows sorted by unit (signature and two blocks): the pairs of nodes of different components that
     sizes and sketches allow to link. A unit has two blocks of nodes at most."""
     def pairs(rows: pa.Table):
         unit = np.stack([rows[c].to_numpy() for c in ("sig", "low", "high")], 1)
         node, label, block, size = (rows[c].to_numpy() for c in ("node", "label", "block", "n"))
-        counts = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        counts = _counts(rows["sketch"])
         cuts = np.nonzero((unit[1:] != unit[:-1]).any(1))[0] + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)]):
             for i in range(a, b - 1):
@@ -274,19 +293,28 @@ def _small(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, set (bytes of sorted hashes), n and sketch of the wanted (doc_id, node) rows, made again from their texts."""
+    """node and set (bytes of sorted hashes) of the wanted (doc_id, node, times) rows, made again from their texts. Only sets of rows that
+    come more than once are shuffled, so that one of them stays."""
     def make(batches):
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            for a, b, texts in text_slices(batch.column(1)):
-                kept = [(n, tokens) for n, tokens in zip(nodes[a:b], (shingles(t, words) for t in texts)) if set_digest(tokens) == n]
+            nodes, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, texts in text_slices(batch.column(2)):
+                kept = [(n, k, tokens) for n, k, tokens in zip(nodes[a:b], times[a:b], (shingles(t, words) for t in texts)) if set_digest(tokens) == n]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, _ in kept], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, s in kept], pa.binary()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array([sketch(s) for _, s in kept], pa.binary())],
-                    ["node", "set", "n", "sketch"])
+                    [pa.array([n for n, _, _ in kept], pa.int64()), pa.array([k for _, k, _ in kept], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, _, s in kept], pa.binary())],
+                    ["node", "times", "set"])
 
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
-    joined = texts.join(_small(wanted, 64), F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
-    return cut(joined.mapInArrow(make, "node long, set binary, n long, sketch binary").dropDuplicates(["node"]), "join-sets")
+    joined = texts.join(_small(wanted, 64), F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "times", "text")
+    made = cut(joined.mapInArrow(make, "node long, times long, set binary"), "join-sets")
+    one = made.where("times = 1").select("node", "set")
+    several = made.where("times > 1")
+    return one if several.isEmpty() else one.unionByName(several.select("node", "set").dropDuplicates(["node"]))
+
+
+def _sketches(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n and sketch of the nodes, of the scanned rows."""
+    return cut(rows.where("sketch is not null").join(_small(nodes, 32), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"]), "join-sketches")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -306,12 +334,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(pairs: DataFrame, sets: DataFrame, name: str, similar: int) -> DataFrame:
-    """The pairs (hub, node) that link, as (a, b). A pair is checked once, whichever of it is the hub."""
+def _once(pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (hub, node), each once, whichever of it is the hub."""
     once = pairs.groupBy(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).agg(F.min("hub").alias("hub"))
-    once = cut(once.select("hub", F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")), f"{name}-pairs")
+    return cut(once.select("hub", F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")), f"{name}-pairs")
+
+
+def _links(once: DataFrame, sets: DataFrame, name: str, similar: int) -> DataFrame:
+    """The pairs of _once() that link, as (a, b). Sets that are in no pair are not sent, where the pairs are few enough to tell."""
     own, hubs = sets.select("node", F.col("set").alias("own")), sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set"))
-    checked = once.join(own, "node").join(hubs, "hub").select("hub", "node", "hub_set", "own").mapInArrow(lambda batches: _check(batches, similar), "hub long, node long")
+    few = once.select("hub").distinct()
+    if few.count() * 32 <= BROADCAST_BYTES:  # else a shuffle by hub for it would be one that Spark can't split at a large hub
+        hubs = hubs.join(F.broadcast(few), "hub", "left_semi")
+    checked = own.join(_small(once, 48), "node").join(hubs, "hub").select("hub", "node", "hub_set", "own").mapInArrow(lambda batches: _check(batches, similar), "hub long, node long")
     return cut(checked.select(F.col("hub").alias("a"), F.col("node").alias("b")), f"{name}-links")
 
 
@@ -322,30 +357,40 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(own, "node", "left").join(hubs, "hub", "left").where(apart).select("hub", "node")
 
 
+def _wanted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, node and times of one row a node of the pairs: the smallest doc_id, and how many rows have both."""
+    nodes = pairs.select("node").union(pairs.select("hub")).distinct()
+    every = rows.select("node", "doc_id").join(_small(nodes, 32), "node", "left_semi").groupBy("node", "doc_id").agg(F.count("*").alias("times"))
+    first = every.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "times")).alias("first"))
+    return cut(first.select("node", "first.doc_id", "first.times"), "join-wanted")
+
+
 def link_components(docs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame | None:
     """node and label of the nodes that have a link, of the scanned rows; None if there is none.
 
     A bucket is the nodes of one signature. Signatures go to it as packed blocks, and are written nowhere. First each bucket's hub, its
-    node with most shared signatures, is checked against the other nodes: each node with the hub it shares most buckets with, then with those hubs that this has not brought into its component. Then the buckets whose nodes
+    node with most shared signatures, meets the other nodes on sizes and sketches, and what these allow is checked: each node with the hub it shares most buckets with, then with those hubs that this has not brought into its component. Then the buckets whose nodes
     are not all in one component are compared by blocks of nodes, on sizes and sketches alone; only pairs between different components
-    that these allow are checked. No such pair is left out, and pairs that the components make needless are not looked at."""
+    that these allow are checked. No such pair is left out, and pairs that the components make needless are not looked at. Sets are made of the nodes of
+    allowed pairs alone: nodes that only share signatures, whose number grows faster than the texts, send their sketches and no sets."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = docs.select("text").mapInArrow(lambda batches: _packed(batches, words, similar, PARTS * parts), "part int, block binary")
     buckets = cut(blocks.repartition(2 * parts, "part").mapInArrow(_buckets, "sig long, node long, hub long, size long"), "buckets")
     if buckets.isEmpty():
         return None
-    first = rows.select("node", "doc_id").join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = _sets(docs, cut(first, "join-wanted"), words)
+    sketches = _sketches(rows, buckets.select("node").distinct())
     degrees = buckets.groupBy("node").agg(F.count("*").alias("degree"))
     best = buckets.join(degrees, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     pairs = buckets.select("sig", "node").join(best, "sig").where("node != hub").groupBy("hub", "node").agg(F.count("*").alias("common"))
-    pairs = cut(pairs, "hub-pairs")
+    about = sketches.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+    pairs = cut(pairs.join(sketches, "node").join(about, "hub").mapInArrow(lambda batches: _may_link(batches, similar), "hub long, node long, common long"), "hub-pairs")
+    sets = _sets(docs, _wanted(rows, pairs), words)
     nearest = pairs.groupBy("node").agg(F.max_by("hub", F.struct("common", "hub")).alias("hub")).select("hub", "node")
-    edges = _links(nearest, sets, "nearest", similar)
+    edges = _links(_once(nearest, "nearest"), sets, "nearest", similar)
     labels = None if edges.isEmpty() else components(edges)
     # What is in one component already need not be checked again, which is most of what near copies have in common.
     other = pairs.select("hub", "node") if labels is None else _between(pairs.select("hub", "node"), labels)
-    further = _links(other.join(nearest, ["hub", "node"], "left_anti"), sets, "hub", similar)
+    further = _links(_once(other.join(nearest, ["hub", "node"], "left_anti"), "hub"), sets, "hub", similar)
     if not further.isEmpty():
         edges = cut(edges.unionByName(further), "links")
         labels = components(edges)
@@ -360,9 +405,12 @@ def link_components(docs: DataFrame, rows: DataFrame, words: int = WORDS, simila
         return labels
     place = F.row_number().over(Window.partitionBy("sig").orderBy("label", "node")) - 1
     block = open_.withColumn("block", F.floor(place / BLOCK).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))))
-    units = block.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label").join(sets.select("node", "n", "sketch"), "node")
+    units = block.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label").join(sketches, "node")
     units = units.repartition(parts, "sig", "low", "high").sortWithinPartitions("sig", "low", "high", "block", "node").select("sig", "low", "high", "block", "node", "label", "n", "sketch")
-    more = _links(units.mapInArrow(lambda batches: _apart(batches, similar), "hub long, node long").distinct(), sets, "block", similar)
+    once = _once(units.mapInArrow(lambda batches: _apart(batches, similar), "hub long, node long"), "block")
+    if once.isEmpty():
+        return labels
+    more = _links(once, _sets(docs, _wanted(rows, once), words), "block", similar)
     if more.isEmpty():
         return labels
     return components(cut(edges.unionByName(more), "links-all"))
@@ -374,13 +422,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR)
 
     Equal sets are one node from the start, so copies cost nothing further. Whole texts are read once for sizes and digests and once for signatures, and
     those of candidate nodes a third time. What is shuffled are signatures (about a third of the number of n-grams), and
-    the sets of nodes that share one. N-grams and sets are told apart by 64-bit hashes.
+    the sets of nodes that share one and whose sketches allow a link. N-grams and sets are told apart by 64-bit hashes.
 
     A text with fewer than `words` words is one n-gram; a null or empty text, or one of white space, has no set and is its own component. A null doc_id
     takes part, but names no component unless there is no other (then component_id is null). Repeated rows are copies. An empty table gives an
     empty result. Other columns are not read."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = cut(slim.mapInArrow(lambda batches: _scan(batches, words), "doc_id long, n long, node long"), "join-rows")
+    rows = cut(slim.mapInArrow(lambda batches: _scan(batches, words), "doc_id long, n long, node long, sketch binary"), "join-rows")
     labels = link_components(slim, rows, words, similar)
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     if labels is None:

@@ -138,6 +138,24 @@ def test_prefix_tree_counts_overlaps(seed):
     assert ngram_join.linked(np.array(hub, np.uint64), [np.array(s, np.uint64) for s in sets]) == want
 
 
+def test_sets_that_can_not_link_are_not_sent(spark, monkeypatch):
+    r = random.Random(3)
+    text = lambda n: " ".join(f"v{r.randrange(9000)}" for _ in range(n))
+    shared, base = text(90), text(120)
+    rows = list(enumerate([text(30) + " " + shared + " " + text(30) for _ in range(60)] + [base, base + " new"]))
+    made, cut = {}, ngram_join.cut
+
+    def kept(df, name):
+        made[name] = cut(df, name)
+        return made[name]
+
+    monkeypatch.setattr(ngram_join, "cut", kept)
+    # One row comes twice: its set is sent once.
+    got = ngram_join.near_duplicates(documents(spark, [*rows, rows[60]]), 5, 80).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: min(i, 60) for i, _ in rows}
+    assert made["buckets"].select("node").distinct().count() > 30 and made["join-sets"].select("node").distinct().count() == 2
+
+
 def test_stage_takes_edited_copies_for_one(spark):
     rows = []
     for n, places in ((100, (30, 60)), (200, (30, 70, 110, 150))):
