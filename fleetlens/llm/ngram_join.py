@@ -7,6 +7,7 @@ as soon as what remains of either side can't reach the overlap that a link needs
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import cache
 from itertools import combinations
 
@@ -31,6 +32,9 @@ BLOCK, BINS = 256, 256
 PARTS, REST = 4, 5
 PAIR = np.dtype([("rest", "u1", (REST,)), ("node", "<i8")])
 
+#: Texts and sets go to the workers in batches of so many bytes; Spark's own bound is 64 MB a task, held on both sides.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -41,6 +45,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@contextmanager
+def _small_batches(spark):
+    """What runs inside gets batches of BATCH_BYTES; the session has its own setting again afterwards."""
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 100_000:
@@ -303,6 +318,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n for n, _, _ in kept], pa.int64()), pa.array([k for _, k, _ in kept], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, _, s in kept], pa.binary())],
                     ["node", "times", "set"])
+        _words.clear()
 
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
     joined = texts.join(_small(wanted, 64), F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "times", "text")
@@ -428,8 +444,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR)
     takes part, but names no component unless there is no other (then component_id is null). Repeated rows are copies. An empty table gives an
     empty result. Other columns are not read."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = cut(slim.mapInArrow(lambda batches: _scan(batches, words), "doc_id long, n long, node long, sketch binary"), "join-rows")
-    labels = link_components(slim, rows, words, similar)
+    with _small_batches(docs.sparkSession):
+        rows = cut(slim.mapInArrow(lambda batches: _scan(batches, words), "doc_id long, n long, node long, sketch binary"), "join-rows")
+        labels = link_components(slim, rows, words, similar)
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     if labels is None:
         named = own.where("copies > 1").select("node", F.col("least").alias("component"))
