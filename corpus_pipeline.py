@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from fleetlens import session  # noqa: E402
 from fleetlens.llm import bpe_automaton, decontaminate, language_id, ngram_join, secret_scan  # noqa: E402
-from fleetlens.llm.frames import cut, table  # noqa: E402
-from fleetlens.session import configure  # noqa: E402
+from fleetlens.llm.frames import BATCH_BYTES, BATCH_KEY, cut, table  # noqa: E402
 
 #: Words of an n-gram, and the similarity in hundredths from which the pipeline takes two documents for one.
 DUPLICATE_WORDS, DUPLICATE_SIMILAR = 5, 80
@@ -19,6 +19,11 @@ DUPLICATE_WORDS, DUPLICATE_SIMILAR = 5, 80
 ORACLE_SQL = None
 
 
+def configure(spark: SparkSession) -> None:
+    """The session's settings, and batches of texts of BATCH_BYTES: a stage is run by whoever writes what it returns, so the setting stays."""
+    session.configure(spark).conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told."""
     configure(spark)
@@ -33,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    configure(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -61,6 +67,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
+    configure(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")

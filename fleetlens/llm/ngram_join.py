@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window
 
-from fleetlens.llm.frames import cut, text_slices
+from fleetlens.llm.frames import BATCH_BYTES, BATCH_KEY, cut, text_slices
 
 #: Words of an n-gram, and the similarity of a link in hundredths, of op8; other callers may pass their own.
 WORDS, SIMILAR = 4, 85
@@ -32,9 +32,6 @@ BLOCK, BINS = 256, 256
 PARTS, REST = 4, 5
 PAIR = np.dtype([("rest", "u1", (REST,)), ("node", "<i8")])
 
-#: Texts and sets go to the workers in batches of so many bytes; Spark's own bound is 64 MB a task, held on both sides.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -348,3 +349,19 @@ def test_pipeline(spark, tmp_path):
 def test_one_query_for_each_operator():
     names = [n for n in queries.QUERIES if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_pipeline_stages_get_small_batches(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "a text", "en", "src1")], "doc_id long, text string, lang string, source string")
+    texts = spark.range(0, 24, 1, 1).select(F.expr("repeat('ab ', 350000 + cast(id as int))").alias("text"))
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], ["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        corpus_pipeline.benchmark(spark, docs, str(tmp_path))
+        assert texts.mapInArrow(largest, "n long").first()["n"] < 10 << 20  # 24 MB in one batch without the setting
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
