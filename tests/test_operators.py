@@ -339,6 +339,24 @@ def test_near_wordings_equal_brute_force(spark, threshold, vocabulary):
     assert {(p["id_a"], p["id_b"]) for p in got} == want and len(got) == len(want) > 20
 
 
+def test_only_pairs_that_agree_become_rows(spark):
+    r = random.Random(5)
+    syllables = ["th", "er", "on", "an", "in", "re", "ed", "es"]
+    texts = [" ".join(sorted({"".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(150)})) for _ in range(60)]
+    texts += [texts[0].replace("there", "thera", 1) + " x", texts[1] + " zz"]
+    forms = spark.createDataFrame([(1, i, 0, t) for i, t in enumerate(texts)], "_g long, _id long, _side int, words string")
+    near = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if fuzzy.token_set(a, b) >= 95}
+    got = {tuple(x) for x in matching._by_letters(forms, 95.0).collect()}
+    assert got == near and {(0, 60), (1, 61)} <= near and len(near) < 10
+    # Blocks of a class of lengths meet each other, and no pair twice.
+    few, matching.UNIT_LETTERS = matching.UNIT_LETTERS, 3_000
+    try:
+        again = [tuple(x) for x in matching._by_letters(forms, 95.0).collect()]
+    finally:
+        matching.UNIT_LETTERS = few
+    assert set(again) == near and len(again) == len(near)
+
+
 def test_near_wordings_need_a_threshold_that_runs_can_prove(spark):
     with pytest.raises(ValueError):
         matching.near_duplicates(spark.createDataFrame([(1, "a b", "x")], "id long, question string, answer string"), 60.0).collect()
