@@ -30,6 +30,9 @@ PARTS = 3
 TIMES = 2
 #: Distinct words a task counts before it hands them on.
 HELD = 200_000
+#: For joins with what is made of the vocabulary. Spark takes their size from the few stored bytes of the words, before these become many keys
+#: each, and would gather them on the driver.
+SHUFFLED = "merge"
 
 Change = Callable[[object, list[bytes]], list[bytes]]
 
@@ -158,7 +161,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         return words.mapInArrow(of, "key long, word string, n long, last int")
 
     a, b = keys(True), keys(False).select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last"))
-    met = a.join(b, "key").where("last <= other_last AND word <> other AND abs(length(word) - length(other)) <= 1")
+    met = a.join(b.hint(SHUFFLED), "key").where("last <= other_last AND word <> other AND abs(length(word) - length(other)) <= 1")
     near = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
     back = near.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     return near.unionByName(back).distinct()
@@ -177,7 +180,7 @@ def variants(words: DataFrame) -> DataFrame:
     pairs = near_pairs(words.where(F.length("word") > GRAM + 1))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("other")))
     per = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("_best"))
-    formed = words.join(per, "word", "left").select(
+    formed = words.join(per.hint(SHUFFLED), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(-F.col("_best.less") >= TIMES * F.col("n"), F.struct(F.col("_best.other").alias("form"), (-F.col("_best.less")).alias("form_n"))).alias("_f"))
     formed = cut(formed.select("word", "n", "n_near", F.col("_f.form").alias("form"), F.col("_f.form_n").alias("form_n")), "forms")
@@ -187,6 +190,6 @@ def variants(words: DataFrame) -> DataFrame:
     reached = 1
     while reached < int(most).bit_length():
         further = steps.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        steps = cut(steps.join(further, "root", "left").select("word", F.coalesce("_next", "root").alias("root")), "roots")
+        steps = cut(steps.join(further.hint(SHUFFLED), "root", "left").select("word", F.coalesce("_next", "root").alias("root")), "roots")
         reached *= 2
-    return formed.join(steps, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(steps.hint(SHUFFLED), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

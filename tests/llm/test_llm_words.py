@@ -120,6 +120,13 @@ def test_variants_equal_brute_force(spark, letters, seed):
     assert variants(spark, counts) == plain_variants(counts)
 
 
+def test_words_are_matched_without_gathering_them_on_the_driver(spark, tmp_path):
+    spark.range(50).selectExpr("concat('word', id) AS word", "3 + id AS n").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    for df in (spelling.near_pairs(words), spelling.variants(words)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_long_chain_ends_at_its_root(spark):
     counts = {"a" * (5 + i): 3 * 2 ** i for i in range(40)}
     got = variants(spark, counts)
