@@ -252,6 +252,24 @@ def test_long_ids_of_a_common_prefix_equal_brute_force(spark, dense):
             assert (got[raw]["status"], got[raw]["value"], got[raw]["suggestions"]) == plain_resolution(raw, known), raw
 
 
+@pytest.mark.parametrize("most", [10_000, 5])
+def test_ids_of_numbers_without_gaps_meet_few_at_the_loose_score(spark, monkeypatch, most):
+    known = [f"V-{i:06d}" for i in range(100000, 100600)]
+    raws = sorted({f"{k[:6]}{k[7]}{k[6]}9" for k in known[::3]} | {f"{k[:5]}X{k[6:]}" for k in known[::40]} | {"V-9", "V-177777"})
+    met, pairs = {}, matching.close_pairs
+
+    def counted(left, right, score):
+        met[score] = left.count()
+        return pairs(left, right, score)
+
+    monkeypatch.setattr(matching, "close_pairs", counted)
+    monkeypatch.setattr(matching, "MOST_LOOSE", most, raising=False)
+    got = resolve(spark, raws, known)
+    for raw in raws:
+        assert (got[raw]["status"], got[raw]["value"], got[raw]["suggestions"]) == plain_resolution(raw, known), raw
+    assert max(met) == ref.AUTO_ACCEPT_SCORE and met[ref.DISAMBIGUATE_SCORE] < met[ref.AUTO_ACCEPT_SCORE] / 4 and len(met) == (3 if most == 5 else 2)
+
+
 def test_pieces_find_every_pair(spark):
     r = random.Random(8)
     left = sorted({"".join(r.choices("AB1", k=r.randint(3, 26))) for _ in range(80)})
