@@ -311,6 +311,41 @@ def test_candidate_arms_equal_brute_force(spark):
     assert matching.trigram_candidates(spelled, k_.limit(0)).collect() == []
 
 
+def test_trigram_search_reads_few_ids_and_finds_the_best(monkeypatch):
+    import numpy as np
+
+    r = random.Random(9)
+    known = sorted({f"V-{i:06d}" for i in range(4000)} | {f"V-{i}" for i in range(40)} | {"TRUCK 7", "V"})
+    numbers = {}
+
+    def grams(s):
+        return np.array([numbers.setdefault(g, len(numbers)) for g in dict.fromkeys(f"  {w} "[i:i + 3] for w in re.findall("[a-z0-9]+", s.lower()) for i in range(len(w) + 1))])
+
+    each = [grams(x) for x in known]
+    index = matching._Trigrams(np.concatenate(each), np.array([len(g) for g in each]))
+    read, sort = [], np.sort
+    for k, least in ((50, 0.2), (3, 0.2), (50, 0.7), (100_000, 0.1)):
+        for raw in [f"V-{r.randrange(4000):05d}9" for _ in range(6)] + ["V", "truck", "V-7", "000", "V-000000", "zzz", known[5], "TRUCK-12 V-000100"]:
+            mine = grams(raw)
+            both = np.array([np.isin(mine, g).sum() for g in each])
+            share = both / (len(mine) + np.array([len(g) for g in each]) - both)
+            want = [i for i in np.argsort(-share, kind="stable").tolist() if share[i] >= least][:k]
+            rows, similar = index.best(mine, k, least)
+            assert rows.tolist() == want and similar.tolist() == share[want].tolist(), (raw, k)
+    monkeypatch.setattr(np, "sort", lambda a: read.append(len(a)) or sort(a))
+    index.best(grams("V-012349"), 5, 0.2)
+    assert sum(read) < len(known) / 4
+
+
+def test_one_cell_of_ids_gives_k_rows_an_id(spark, monkeypatch):
+    known = spark.range(3000).select(F.format_string("V-%06d", "id").alias("known"))
+    raws = known.select(F.concat(F.substring("known", 1, 6), F.lit("x"), F.substring("known", 7, 2)).alias("raw"))
+    many = rows(matching.trigram_candidates(raws, known, 5, block_rows=400, cell_rows=400), "raw", "known", "similarity", "position")
+    monkeypatch.setattr(matching, "MOST_BLOCK", 400)
+    one = matching.trigram_candidates(raws, known, 5, block_rows=100)
+    assert "Window" not in one._jdf.queryExecution().executedPlan().toString() and rows(one, "raw", "known", "similarity", "position") == many
+
+
 def test_near_duplicates_find_every_pair(spark):
     r = random.Random(7)
     vocabulary = ["range", "drop", "why", "did", "battery", "speed", "low", "on", "it", "motor"]
