@@ -185,6 +185,34 @@ def test_trigram_similarity(spark):
     assert one(spark, fuzzy.trigram_similarity(F.col("a"), F.col("b")), a="word", b="two words") == pytest.approx(4 / 11)
 
 
+def test_unlike_texts_are_told_apart_by_their_first_letters():
+    import random
+    r = random.Random(2)
+
+    class Read(str):
+        seen = 0
+
+        def __getitem__(self, at):
+            Read.seen = max(Read.seen, at.stop)
+            return str.__getitem__(self, at)
+
+    for n in range(400):
+        a = "".join(r.choice("abc ") for _ in range(r.randint(0, 150)))
+        b = list(a)
+        for _ in range(r.randint(0, 20)):
+            at = r.randrange(len(b) + 1)
+            b[at:at + r.randint(0, 2)] = [r.choice(["", "a", "c c"])]
+        b = "".join(b)
+        both = fuzzy.common_subsequence(a, b)
+        apart = len(a) + len(b) - 2 * both
+        for most in (0, apart - 1, apart, apart + 7.5, 1000):
+            got = fuzzy.near_subsequence(a, b, most, r.choice([1, 7, 64]))
+            assert got == both if apart <= most else len(a) + len(b) - 2 * got > most
+    a, b = (Read("".join(r.choice("abcdefghijkl") for _ in range(4000))) for _ in range(2))
+    fuzzy.near_subsequence(a, b, 400)
+    assert 0 < Read.seen < 2000
+
+
 TABLE = "| Code | Meaning | Action |\n|---|---|---|\n" + "\n".join(f"| ERR_{i} | thing {i} | fix {i} |" for i in range(400, 440))
 
 

@@ -415,6 +415,18 @@ def test_near_wordings_need_a_threshold_that_runs_can_prove(spark):
         matching.near_duplicates(spark.createDataFrame([(1, "a b", "x")], "id long, question string, answer string"), 60.0).collect()
 
 
+def test_agreement_equals_token_set_where_it_counts():
+    r = random.Random(3)
+    for _ in range(1500):
+        words = ["".join(r.choice("abcé") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 30))]
+        other = [w if r.random() < 0.7 else w[:1] + r.choice("ab") + w[1:] for w in words if r.random() < 0.97] or ["q"]
+        a, b = (" ".join(sorted(set(x))) for x in (words, other))
+        want = fuzzy.token_set(a, b)
+        for threshold in (76.0, 95.0):
+            got = matching._agree(a, b, threshold)
+            assert got == want if want >= threshold else got < threshold
+
+
 def test_similar_cases_equal_brute_force(spark):
     r = random.Random(11)
     texts = wordings(r, 200, ["battery", "range", "it", "a", "temperature", "charging", "low", "speed"])
